@@ -13,14 +13,13 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from pagetide.functions.text import (
     WHITESPACE,
     fix_double_escaping,
     normalize_ws,
     unescape_fully,
-    unescape_text,
 )
 
 # What may remain in a summary.
@@ -137,9 +136,10 @@ def _sanitize_one(prepared: str) -> str | None:
     return cleaned if cleaned and _visible_text(cleaned) else None
 
 
-@F.pandas_udf(StringType())
-def _sanitize(values: pd.Series) -> pd.Series:
-    return values.map(_sanitize_one, na_action="ignore")
+@F.pandas_udf(StructType([StructField("clean", StringType()), StructField("text", StringType())]))
+def _sanitize(values: pd.Series) -> pd.DataFrame:
+    clean = values.map(_sanitize_one, na_action="ignore")
+    return pd.DataFrame({"clean": clean, "text": clean.map(_visible_text, na_action="ignore")})
 
 
 @F.pandas_udf(StringType())
@@ -151,22 +151,23 @@ def _has_markup(value: Column) -> Column:
     return value.rlike("[<&]")
 
 
-def sanitize(value: Column) -> Column:
-    """Allow-listed HTML, or NULL when no visible text is left.
+def sanitize_with_text(value: Column) -> Column:
+    """Struct of the allow-listed HTML (NULL when no visible text is left) and its plain text.
 
     Plain text needs no parser: it is only trimmed, and its `>` and no-break spaces escaped.
     """
     prepared = fix_double_escaping(value)
-    plain = F.regexp_replace(
-        F.regexp_replace(
-            F.regexp_replace(prepared, f"^{WHITESPACE}|{WHITESPACE}$", ""), ">", "&gt;"
-        ),
-        "\u00a0",
-        "&nbsp;",
-    )
-    return F.when(_has_markup(prepared), _sanitize(F.when(_has_markup(prepared), prepared))).otherwise(
-        F.when(normalize_ws(prepared) != "", plain)
-    )
+    trimmed = F.regexp_replace(prepared, f"^{WHITESPACE}|{WHITESPACE}$", "")
+    escaped = F.regexp_replace(F.regexp_replace(trimmed, ">", "&gt;"), "\u00a0", "&nbsp;")
+    text = F.nullif(normalize_ws(prepared), F.lit(""))
+    plain = F.struct(F.when(text.isNotNull(), escaped).alias("clean"), text.alias("text"))
+    marked = _has_markup(prepared)
+    return F.when(marked, _sanitize(F.when(marked, prepared))).otherwise(plain)
+
+
+def sanitize(value: Column) -> Column:
+    """Allow-listed HTML, or NULL when no visible text is left."""
+    return sanitize_with_text(value)["clean"]
 
 
 def strip_tags(value: Column) -> Column:
@@ -201,12 +202,3 @@ def excerpt_of_text(text: Column, length: int = EXCERPT_LENGTH) -> Column:
 def excerpt(value: Column, length: int = EXCERPT_LENGTH) -> Column:
     return excerpt_of_text(strip_tags(value), length)
 
-
-__all__ = [
-    "excerpt",
-    "excerpt_of_text",
-    "sanitize",
-    "strip_tags",
-    "strip_tags_native",
-    "unescape_text",
-]
