@@ -15,10 +15,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from pagetide.functions.binding import bind
 from pagetide.functions.text import (
-    WHITESPACE,
     fix_double_escaping,
     normalize_ws,
+    trim_ws,
     unescape_fully,
 )
 
@@ -131,15 +132,16 @@ def _visible_text(fragment: str) -> str:
     return _BLANKS.sub(" ", unescape_fully(_clean(fragment, frozenset()))).strip()
 
 
-def _sanitize_one(prepared: str) -> str | None:
+def _sanitize_one(prepared: str) -> tuple[str | None, str | None]:
     cleaned = _clean(prepared, ALLOWED_TAGS).strip()
-    return cleaned if cleaned and _visible_text(cleaned) else None
+    text = _visible_text(cleaned) if cleaned else ""
+    return (cleaned, text) if text else (None, None)
 
 
 @F.pandas_udf(StructType([StructField("clean", StringType()), StructField("text", StringType())]))
 def _sanitize(values: pd.Series) -> pd.DataFrame:
-    clean = values.map(_sanitize_one, na_action="ignore")
-    return pd.DataFrame({"clean": clean, "text": clean.map(_visible_text, na_action="ignore")})
+    pairs = [(None, None) if value is None else _sanitize_one(value) for value in values]
+    return pd.DataFrame(pairs, columns=["clean", "text"], dtype=object)
 
 
 @F.pandas_udf(StringType())
@@ -148,7 +150,7 @@ def _strip(values: pd.Series) -> pd.Series:
 
 
 def _has_markup(value: Column) -> Column:
-    return value.rlike("[<&]")
+    return value.contains("<") | value.contains("&")
 
 
 def sanitize_with_text(value: Column) -> Column:
@@ -157,10 +159,12 @@ def sanitize_with_text(value: Column) -> Column:
     Plain text needs no parser: it is only trimmed, and its `>` and no-break spaces escaped.
     """
     prepared = fix_double_escaping(value)
-    trimmed = F.regexp_replace(prepared, f"^{WHITESPACE}|{WHITESPACE}$", "")
-    escaped = F.regexp_replace(F.regexp_replace(trimmed, ">", "&gt;"), "\u00a0", "&nbsp;")
-    text = F.nullif(normalize_ws(prepared), F.lit(""))
-    plain = F.struct(F.when(text.isNotNull(), escaped).alias("clean"), text.alias("text"))
+    escaped = F.replace(
+        F.replace(trim_ws(prepared), F.lit(">"), F.lit("&gt;")), F.lit("\u00a0"), F.lit("&nbsp;")
+    )
+    plain = F.struct(
+        F.nullif(escaped, F.lit("")).alias("clean"), F.nullif(normalize_ws(prepared), F.lit("")).alias("text")
+    )
     marked = _has_markup(prepared)
     return F.when(marked, _sanitize(F.when(marked, prepared))).otherwise(plain)
 
@@ -195,8 +199,12 @@ def strip_tags_native(value: Column) -> Column:
 
 def excerpt_of_text(text: Column, length: int = EXCERPT_LENGTH) -> Column:
     """Cut plain text at `length`, dropping the last partial word and adding an ellipsis."""
-    cut = F.regexp_replace(F.substring(text, 1, length), " [^ ]*$", "")
-    return F.when(F.length(text) <= length, text).otherwise(F.concat(cut, F.lit("…")))
+
+    def shortened(whole: Column) -> Column:
+        cut = F.regexp_replace(F.substring(whole, 1, length), " [^ ]*$", "")
+        return F.when(F.length(whole) <= length, whole).otherwise(F.concat(cut, F.lit("…")))
+
+    return bind(text, shortened)
 
 
 def excerpt(value: Column, length: int = EXCERPT_LENGTH) -> Column:

@@ -15,20 +15,29 @@ DOUBLE_ESCAPED = r"&amp;(#[0-9]{1,7};|#[xX][0-9a-fA-F]{1,6};|[a-zA-Z][a-zA-Z0-9]
 MAX_PASSES = 3
 HASH_SEPARATOR = "\x1f"
 
-# Unicode white space as Python's `\s` sees it; Java's `\s` covers only the ASCII part.
-WHITESPACE = r"[\s\x1c-\x1f\x85\p{Z}]+"
+# White space as Python's str methods see it: Unicode's, and the four ASCII separators.
+_SPACE_RUN = r"(?U)[\s\x1c-\x1f]+"
+_SPACE_CHARS = "".join(map(chr, (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680))) + "".join(
+    map(chr, (*range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
+)
+
+
+def trim_ws(value: Column) -> Column:
+    """Strip white space at both ends, looking at nothing else."""
+    return F.btrim(value, F.lit(_SPACE_CHARS))
 
 
 def fix_double_escaping(value: Column) -> Column:
     """Turn `&amp;eacute;` into `&eacute;`, up to three levels, leaving lone `&amp;` alone."""
+    fixed = value
     for _ in range(MAX_PASSES):
-        value = F.regexp_replace(value, DOUBLE_ESCAPED, "&$1")
-    return value
+        fixed = F.regexp_replace(fixed, DOUBLE_ESCAPED, "&$1")
+    return F.when(value.contains("&amp;"), fixed).otherwise(value)
 
 
 def normalize_ws(value: Column) -> Column:
     """Collapse white space runs to one space and trim."""
-    return F.trim(F.regexp_replace(value, WHITESPACE, " "))
+    return F.btrim(F.regexp_replace(value, _SPACE_RUN, " "))
 
 
 def unescape_fully(value: str) -> str:

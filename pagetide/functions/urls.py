@@ -7,10 +7,10 @@ that keep it reachable are made. The address is cut by one RFC 3986 pattern inst
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+
+from pagetide.functions.binding import bind
 
 # Limits, implicit ports, host prefixes and tracking parameters.
 MAX_URL_LENGTH = 2048
@@ -56,27 +56,16 @@ _SCHEME = r"^([a-zA-Z][a-zA-Z0-9+.\-]*):"
 _PARTS = r"^(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?"
 
 
-@F.pandas_udf(StringType())
-def _to_idna(hosts: pd.Series) -> pd.Series:
-    def encode(host: str) -> str:
-        try:
-            return host.encode("idna").decode("ascii")
-        except UnicodeError:
-            return host
-
-    return hosts.map(encode, na_action="ignore")
-
-
 def _ascii_host(host: Column) -> Column:
-    foreign = host.rlike(r"[^\x00-\x7f]")
-    return F.coalesce(_to_idna(F.when(foreign, host)), host)
+    """Punycode of an international host; one that cannot be encoded is kept as it is."""
+    encoded = F.try_reflect(F.lit("java.net.IDN"), F.lit("toASCII"), host)
+    return F.coalesce(F.when(host.rlike(r"[^\x00-\x7f]"), encoded), host)
 
 
 def _without_mobile_prefix(host: Column) -> Column:
     """Strip one mobile prefix, but only when a full domain is left behind it."""
-    deep_enough = F.length(F.regexp_replace(host, r"[^.]", "")) >= 2
-    pattern = "^(?:" + "|".join(prefix.replace(".", r"\.") for prefix in MOBILE_HOST_PREFIXES) + ")"
-    return F.when(deep_enough, F.regexp_replace(host, pattern, "")).otherwise(host)
+    prefixes = "|".join(prefix.replace(".", r"\.") for prefix in MOBILE_HOST_PREFIXES)
+    return F.regexp_replace(host, rf"^(?:{prefixes})(?=.*\.)", "")
 
 
 def _settle_percent(path: Column) -> Column:
@@ -85,7 +74,6 @@ def _settle_percent(path: Column) -> Column:
     Cutting at every '%' turns the scan into one pass over an array: each piece but the
     first opens with the two hexadecimal digits of its escape, or is no escape at all.
     """
-    pieces = F.split(path, "%", -1)
 
     def settle(piece: Column) -> Column:
         code = F.conv(F.substring(piece, 1, 2), 16, 10).cast("int")
@@ -96,8 +84,11 @@ def _settle_percent(path: Column) -> Column:
             .otherwise(F.concat(F.lit("%"), F.upper(F.substring(piece, 1, 2)), rest))
         )
 
-    tail = F.transform(F.slice(pieces, 2, MAX_URL_LENGTH), settle)
-    settled = F.concat(F.element_at(pieces, 1), F.array_join(tail, ""))
+    def rejoin(pieces: Column) -> Column:
+        tail = F.transform(F.slice(pieces, 2, MAX_URL_LENGTH), settle)
+        return F.concat(F.element_at(pieces, 1), F.array_join(tail, ""))
+
+    settled = bind(F.split(path, "%", -1), rejoin)
     return F.when(path.contains("%"), settled).otherwise(path)
 
 
@@ -115,9 +106,9 @@ def _resolve_dots(segments: Column) -> Column:
 def canonical_path(path: Column) -> Column:
     """Path without empty or dot segments, trailing slash and one final `amp` segment."""
     segments = F.filter(F.split(path, "/", -1), lambda segment: ~segment.isin("", "."))
-    joined = _settle_percent(F.array_join(_resolve_dots(segments), "/"))
-    trimmed = F.regexp_replace(joined, r"(?i)(^|/)amp$", "")
-    return F.when(trimmed == "", "").otherwise(F.concat(F.lit("/"), trimmed))
+    joined = bind(bind(segments, lambda kept: F.array_join(_resolve_dots(kept), "/")), _settle_percent)
+    # The root has no segments; any other path gets its leading slash back.
+    return F.regexp_replace(F.regexp_replace(joined, r"(?i)(^|/)amp$", ""), "^(?=.)", "/")
 
 
 def _decode_component(text: Column) -> Column:
@@ -156,7 +147,7 @@ def canonical_query(query: Column) -> Column:
             _encode_component(pair["key"]), F.lit("="), _encode_component(pair["value"])
         ),
     )
-    return F.when(query == "", "").otherwise(F.array_join(encoded, "&"))
+    return F.array_join(encoded, "&")
 
 
 def canonicalize(
@@ -197,7 +188,7 @@ def canonicalize(
         host, _without_mobile_prefix(_ascii_host(F.regexp_replace(F.lower(bare_host), r"\.+$", "")))
     ).withColumn(port, bare_port)
 
-    number = F.col(port).try_cast("int")
+    number = F.when(F.col(port).rlike("^[0-9]{1,9}$"), F.col(port).cast("int"))
     shown_port = F.when(
         (number > 0) & ~number.isin(*DEFAULT_PORTS), F.concat(F.lit(":"), number.cast("string"))
     ).otherwise("")
@@ -207,7 +198,7 @@ def canonicalize(
         F.col(host),
         shown_port,
         canonical_path(F.col(parts)["path"]),
-        F.when(query == "", "").otherwise(F.concat(F.lit("?"), query)),
+        F.regexp_replace(query, r"^(?=.)", "?"),
     )
     good_port = (F.col(port) == "") | (F.col(port).rlike("^[0-9]+$") & number.between(0, 65535))
     early = (

@@ -58,7 +58,7 @@ def _is_gap(planned: timedelta) -> Column:
     return _length_micros() > threshold // timedelta(microseconds=1)
 
 
-def with_attempt_counts(gaps: DataFrame, attempts: DataFrame) -> DataFrame:
+def with_attempt_counts(gaps: DataFrame, attempts: DataFrame, now: Column) -> DataFrame:
     """Add `missed_attempts`: aborted attempts after each gap's start, up to its end.
 
     A gap's count is the difference of two cumulative counts, looked up by equality at its
@@ -68,17 +68,16 @@ def with_attempt_counts(gaps: DataFrame, attempts: DataFrame) -> DataFrame:
     points = attempts.select(F.col("attempted_at").alias("at"), F.lit(1).alias("n"))
     counts = cumulative_counts(points.unionByName(ends), "at", "n", "through")
 
-    spread = F.when(F.col("ongoing"), F.pmod(F.xxhash64("feed_id"), F.lit(OPEN_END_SLOTS))).otherwise(0)
-    open_end = gaps.filter("ongoing").select(F.col("end").alias("at")).distinct()
-    slots = F.sequence(F.lit(0), F.lit(OPEN_END_SLOTS - 1))
-    at_end = (
-        counts.join(open_end.withColumn("is_open", F.lit(True)), "at", "left")
-        .withColumn("slot", F.explode(F.when(F.col("is_open"), slots).otherwise(F.array(F.lit(0)))))
-        .select(F.col("at").alias("end"), F.col("slot").cast("long"), F.col("through").alias("by_end"))
+    slot = F.when(F.col("ongoing"), F.pmod(F.xxhash64("feed_id"), F.lit(OPEN_END_SLOTS))).otherwise(0)
+    slots = F.when(F.col("at") == now, F.sequence(F.lit(0), F.lit(OPEN_END_SLOTS - 1))).otherwise(
+        F.array(F.lit(0))
+    )
+    at_end = counts.withColumn("slot", F.explode(slots)).select(
+        F.col("at").alias("end"), F.col("slot").cast("long"), F.col("through").alias("by_end")
     )
     at_start = counts.select(F.col("at").alias("start"), F.col("through").alias("by_start"))
     return (
-        gaps.withColumn("slot", spread.cast("long"))
+        gaps.withColumn("slot", slot.cast("long"))
         .join(at_start, "start")
         .join(at_end, ["end", "slot"])
         .withColumn("missed_attempts", F.col("by_end") - F.col("by_start"))
@@ -91,7 +90,7 @@ def coverage_gaps(
 ) -> DataFrame:
     """Periods without a successful run longer than twice the planned interval."""
     gaps = run_intervals(runs, now, segment_seconds=segment_seconds).filter(_is_gap(planned))
-    return with_attempt_counts(gaps, attempts).withColumn("duration_us", _length_micros())
+    return with_attempt_counts(gaps, attempts, now).withColumn("duration_us", _length_micros())
 
 
 def feed_coverage(

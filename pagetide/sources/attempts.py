@@ -5,49 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagetide.functions.dates import parse_zoned
 from pagetide.model import MISSED_REASONS
 
 # Reason of an unreadable or missing one; longest detail kept.
 FALLBACK_REASON = "wrapper_error"
 DETAIL_LENGTH = 2000
 
-# A full date and time with an offset: a time without one is refused, not taken as local.
-_ZONED = (
-    r"^\d{4}-?\d{2}-?\d{2}[T ]\d{2}(?::?\d{2}(?::?\d{2}(?:[.,]\d{1,9})?)?)?"
-    r"(?:Z|[+-]\d{2}(?::?\d{2})?)$"
-)
-_PIECES = (
-    r"^(\d{4})-?(\d{2})-?(\d{2})[T ](\d{2})(?::?(\d{2})(?::?(\d{2})(?:[.,](\d{1,6})\d*)?)?)?"
-    r"(Z|[+-]\d{2}(?::?\d{2})?)$"
-)
-
 # A detail that is no text and counts as none: zero, false, an empty list or object.
 _EMPTY_DETAIL = r'"detail"\s*:\s*(?:-?0(?:\.0*)?|false|\[\s*\]|\{\s*\})\s*[,}]'
 
 
-def _zoned_time(text: Column) -> Column:
-    """ISO 8601 time with an offset, as UTC; NULL for anything else."""
-
-    def padded(index: int) -> Column:
-        piece = F.regexp_extract(text, _PIECES, index)
-        return F.when(piece == "", "00").otherwise(piece)
-
-    zone = F.replace(F.regexp_extract(text, _PIECES, 8), F.lit(":"), F.lit(""))
-    offset = F.when(zone == "Z", "+00:00").otherwise(
-        F.concat(F.substring(zone, 1, 3), F.lit(":"), F.rpad(F.substring(zone, 4, 2), 2, "0"))
-    )
-    written = F.concat(
-        F.regexp_replace(text, _PIECES, "$1-$2-$3T$4:"),
-        padded(5),
-        F.lit(":"),
-        padded(6),
-        F.lit("."),
-        F.rpad(F.regexp_extract(text, _PIECES, 7), 6, "0"),
-        offset,
-    )
-    return F.when(text.rlike(_ZONED), F.try_to_timestamp(written, F.lit("yyyy-MM-dd'T'HH:mm:ss.SSSSSSxxx")))
-
-
 def parse_attempts(lines: DataFrame, drained_at: Column, *, line: str = "value") -> DataFrame:
     """Attempts (attempted_at, reason, detail, drained_at) of a text column.
 
@@ -57,17 +25,15 @@ def parse_attempts(lines: DataFrame, drained_at: Column, *, line: str = "value")
     fields = F.from_json(F.trim(line), "attempted_at string, reason string, detail string")
     parsed = lines.select(fields.alias("f"), F.col(line).rlike(_EMPTY_DETAIL).alias("no_detail"))
     reason = F.col("f.reason")
-    return (
-        parsed.select(
-            _zoned_time(F.col("f.attempted_at")).alias("attempted_at"),
-            F.when(reason.isin(*MISSED_REASONS), reason).otherwise(FALLBACK_REASON).alias("reason"),
-            F.when(
-                (F.col("f.detail") != "") & ~F.col("no_detail"), F.substring("f.detail", 1, DETAIL_LENGTH)
-            ).alias("detail"),
-            drained_at.alias("drained_at"),
-        )
-        .filter(F.col("attempted_at").isNotNull())
+    read = parsed.select(
+        parse_zoned(F.col("f.attempted_at")).alias("attempted_at"),
+        F.when(reason.isin(*MISSED_REASONS), reason).otherwise(FALLBACK_REASON).alias("reason"),
+        F.when(
+            (F.col("f.detail") != "") & ~F.col("no_detail"), F.substring("f.detail", 1, DETAIL_LENGTH)
+        ).alias("detail"),
+        drained_at.alias("drained_at"),
     )
+    return read.filter(F.col("attempted_at").isNotNull())
 
 
 def read_attempts(spark: SparkSession, path: str, drained_at: Column) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from pagetide.functions.dates import parse_datetime, resolve_published
 from pagetide.functions.markup import sanitize_with_text
-from pagetide.functions.text import clean_title, content_hash
+from pagetide.functions.text import clean_title, content_hash, trim_ws
 from pagetide.functions.urls import canonicalize
 
 _RSS_ITEM = (
@@ -32,6 +32,7 @@ _OPTIONS = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
 _ROOT = r"(?s)^\s*(?:<\?.*?\?>\s*|<!--.*?-->\s*|<!DOCTYPE[^>]*>\s*)*<([A-Za-z][\w:.\-]*)"
 _FEED_ROOTS = ("rss", "feed")
 _DECLARED_ENCODING = r"""^\s*<\?xml[^>]*?encoding\s*=\s*["']([\w.\-]+)["']"""
+BYTE_ORDER_MARK = "\ufeff"
 _UTF8_NAMES = ("", "utf-8", "utf8")
 _LATIN_NAMES = ("iso-8859-1", "latin-1", "latin1", "windows-1252", "cp1252", "iso-8859-15")
 
@@ -44,7 +45,7 @@ WARNING_ENCODING = "flux degrade : encodage declare faux"
 
 def _filled(value: Column) -> Column:
     """The trimmed value, NULL when blank."""
-    return F.nullif(F.trim(F.regexp_replace(value, r"^\s+|\s+$", "")), F.lit(""))
+    return F.nullif(trim_ws(value), F.lit(""))
 
 
 def _from_rss(item: Column) -> Column:
@@ -94,9 +95,9 @@ def decode_body(body: Column) -> tuple[Column, Column]:
         F.when(is_latin, F.decode(body, "ISO-8859-1")),
         F.make_valid_utf8(body.cast("string")),
     )
-    ascii_only = ~as_utf8.rlike(r"[^\x00-\x7f]")
+    ascii_only = F.length(as_utf8) == F.octet_length(body)
     wrong = F.when(as_utf8.isNotNull(), ~head.isin(*_UTF8_NAMES) & ~ascii_only).otherwise(~is_latin)
-    return F.regexp_replace(text, "^﻿", ""), F.when(wrong, F.lit(WARNING_ENCODING))
+    return F.ltrim(text, F.lit(BYTE_ORDER_MARK)), F.when(wrong, F.lit(WARNING_ENCODING))
 
 
 def parse_documents(pages: DataFrame, body: str = "body") -> DataFrame:
@@ -105,7 +106,7 @@ def parse_documents(pages: DataFrame, body: str = "body") -> DataFrame:
     staged = pages.withColumn("warning", warning).withColumn("__text", text).drop(body)
     read = staged.withColumn("__doc", F.from_xml("__text", DOCUMENT, _OPTIONS))
     error = (
-        F.when(F.trim(F.regexp_replace("__text", r"\s", "")) == "", ERROR_BLANK)
+        F.when(~F.col("__text").rlike(r"\S"), ERROR_BLANK)
         .when(F.col("__doc._corrupt").isNotNull(), ERROR_MALFORMED)
         .when(~F.regexp_extract("__text", _ROOT, 1).isin(*_FEED_ROOTS), ERROR_NOT_A_FEED)
     )
@@ -121,11 +122,14 @@ def parse_documents(pages: DataFrame, body: str = "body") -> DataFrame:
 
 
 def explode_entries(parsed: DataFrame) -> DataFrame:
-    """One row per entry of the parsed documents, with its position on the page."""
+    """One row per entry of the parsed documents, with its position on the page.
+
+    The outer form keeps the planner from testing for emptiness below the parser, which would
+    parse every document a second time.
+    """
     kept = [c for c in parsed.columns if c not in ("items", "parse_error", "warning")]
-    return parsed.select(*kept, F.posexplode("items").alias("entry_pos", "item")).select(
-        *kept, "entry_pos", "item.*"
-    )
+    exploded = parsed.select(*kept, F.posexplode_outer("items").alias("entry_pos", "item"))
+    return exploded.filter(F.col("item").isNotNull()).select(*kept, "entry_pos", "item.*")
 
 
 def normalize_entries(entries: DataFrame) -> DataFrame:
