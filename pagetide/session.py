@@ -38,11 +38,10 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     Every executor must reach it, so the directory named by the session is used; only when
     the session names none (tests) a temporary one is set.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
         root = tempfile.mkdtemp(prefix="pagetide-")
         spark.sparkContext.setCheckpointDir(root)
-        spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/pagetide/{name}-{uuid.uuid4().hex}"
 
 
