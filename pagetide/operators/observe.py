@@ -79,33 +79,48 @@ def summarize(log: DataFrame) -> DataFrame:
     )
 
 
-def merge_articles(segments: DataFrame, *order: str) -> DataFrame:
-    """Articles from the segment rows of each URL, taken in `order` (default: by segment)."""
+def merge_segments(segments: DataFrame, *order: str) -> DataFrame:
+    """One segment row per URL, from its segment rows taken in `order` (default: by segment).
+
+    A segment changed the content if it did so inside, or by opening with another hash than
+    the segment before left behind.
+    """
     position = F.struct(*(order or ("segment",)))
     before = F.lag(F.struct("closing")).over(W.partitionBy("url_canonical").orderBy(position))
-    same_content = F.col("opening.content_hash").eqNullSafe(before["closing"]["content_hash"])
-    opening_content = F.struct(*(F.col(f"opening.{c}").alias(c) for c in (*REVISABLE, "seen_at")))
-    latest = F.coalesce("revision", F.when(before.isNull() | ~same_content, opening_content))
-    folded = (
+    differs = before.isNotNull() & ~F.col("opening.content_hash").eqNullSafe(before["closing"]["content_hash"])
+    change = F.coalesce("revision", F.when(differs, _opening_content()))
+    return (
         segments.withColumn("__position", position)
-        .withColumn("__latest", latest)
+        .withColumn("__change", change)
         .groupBy("url_canonical")
         .agg(
-            F.min_by("opening", "__position").alias("first"),
-            F.max_by("__latest", F.when(F.col("__latest").isNotNull(), F.col("__position"))).alias("content"),
-            F.max_by("closing", "__position").alias("last"),
+            F.min_by("segment", "__position").alias("segment"),
+            F.min_by("opening", "__position").alias("opening"),
+            F.max_by("__change", F.when(F.col("__change").isNotNull(), F.col("__position"))).alias("revision"),
+            F.max_by("closing", "__position").alias("closing"),
             F.sum("n_observations").alias("n_observations"),
         )
     )
-    return folded.select(
+
+
+def _opening_content() -> Column:
+    return F.struct(*(F.col(f"opening.{c}").alias(c) for c in (*REVISABLE, "seen_at")))
+
+
+def merge_articles(segments: DataFrame, *order: str) -> DataFrame:
+    """Articles from the segment rows of each URL."""
+    merged = merge_segments(segments, *order).withColumn(
+        "content", F.coalesce("revision", _opening_content())
+    )
+    return merged.select(
         "url_canonical",
-        F.col("first.feed_id").alias("first_feed_id"),
-        F.col("first.seq").alias("first_seq"),
+        F.col("opening.feed_id").alias("first_feed_id"),
+        F.col("opening.seq").alias("first_seq"),
         *(F.col(f"content.{c}").alias(c) for c in REVISABLE),
-        F.col("first.published_at").alias("published_at"),
-        F.col("first.date_source").alias("date_source"),
-        F.col("first.seen_at").alias("first_seen_at"),
-        F.col("last.seen_at").alias("last_seen_at"),
+        F.col("opening.published_at").alias("published_at"),
+        F.col("opening.date_source").alias("date_source"),
+        F.col("opening.seen_at").alias("first_seen_at"),
+        F.col("closing.seen_at").alias("last_seen_at"),
         F.col("content.seen_at").alias("updated_at"),
         "n_observations",
     )
@@ -178,8 +193,3 @@ def run_counts(log: DataFrame, known_urls: DataFrame | None = None) -> DataFrame
     return seen.join(new, ["feed_id", "run_id"], "left").select(
         "feed_id", "run_id", "n_seen", F.coalesce("n_new", F.lit(0)).alias("n_new"), "n_duplicates"
     )
-
-
-def known_pages_urls(log: DataFrame, articles: DataFrame) -> DataFrame:
-    """Entries of the log whose article is stored already."""
-    return log.join(articles.select("url_canonical"), "url_canonical", "left_semi")

@@ -12,6 +12,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def exists(spark: SparkSession, folder: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
 def write_delta(df: DataFrame, state: str, table: str, batch: int) -> None:
     df.write.mode("overwrite").parquet(f"{state}/{table}/batch={batch}")
 
@@ -26,8 +31,7 @@ def read_deltas(
     """
     full = T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
     folder = f"{state}/{table}"
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+    if not exists(spark, folder):
         return spark.createDataFrame([], full)
     deltas = spark.read.schema(full).parquet(folder)
     return deltas if before is None else deltas.filter(F.col("batch") < before)

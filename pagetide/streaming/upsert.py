@@ -7,6 +7,7 @@ order that counts is the order of arrival, so there is no watermark.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,40 +19,33 @@ from pagetide.operators.observe import (
     first_in_page,
     fold_sightings,
     merge_articles,
+    merge_segments,
     merge_sightings,
     sighting_rows,
     summarize,
     with_segment,
 )
 from pagetide.plans.ingest import Known, ingest
-from pagetide.streaming.deltas import read_deltas, write_delta
+from pagetide.streaming.deltas import exists, read_deltas, write_delta
 
-# Fixed value: schema of the feed maxima.
 MAXIMA = T.StructType([T.StructField("feed_id", T.LongType()), T.StructField("max_published", T.TimestampType())])
 
 
-def _keep_schema(df: DataFrame, state: str, table: str) -> None:
-    """Record a delta table's schema once, next to its data."""
-    spark = df.sparkSession
-    described = spark.createDataFrame([(df.schema.json(),)], "schema string")
-    described.coalesce(1).write.mode("overwrite").text(f"{state}/_schemas/{table}")
+def _schema_folder(state: str, table: str) -> str:
+    return f"{state}/_schemas/{table}"
 
 
 def _schema(spark: SparkSession, state: str, table: str) -> T.StructType:
-    import json
-
-    row = spark.read.text(f"{state}/_schemas/{table}").first()
+    (row,) = spark.read.text(_schema_folder(state, table)).collect()
     return T.StructType.fromJson(json.loads(row["value"]))
 
 
-def _has_schema(spark: SparkSession, state: str, table: str) -> bool:
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{state}/_schemas/{table}")
-    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
-
-
 def _store(df: DataFrame, state: str, table: str, batch: int) -> None:
-    if not _has_schema(df.sparkSession, state, table):
-        _keep_schema(df, state, table)
+    """Write a batch's delta; the first one records the schema next to the data."""
+    spark = df.sparkSession
+    if not exists(spark, _schema_folder(state, table)):
+        described = spark.createDataFrame([(df.schema.json(),)], "schema string")
+        described.coalesce(1).write.mode("overwrite").text(_schema_folder(state, table))
     write_delta(df, state, table, batch)
 
 
@@ -97,7 +91,7 @@ def stored_runs(spark: SparkSession, state: str) -> DataFrame:
 
 def known_before(spark: SparkSession, state: str, batch: int) -> Known | None:
     """What the batches before `batch` stored; columns the verdicts need, and no texts."""
-    if not _has_schema(spark, state, "segments"):
+    if not exists(spark, _schema_folder(state, "segments")):
         return None
     opening = F.struct(F.col("opening.published_at").alias("published_at"), F.col("opening.date_source").alias("date_source"))
     articles = (
@@ -139,17 +133,17 @@ def compact(spark: SparkSession, state: str, target: str, upto: int) -> None:
     new one when it is complete.
     """
     for table in ("segments", "sightings", "runs", "maxima"):
-        if not _has_schema(spark, state, table):
+        if not exists(spark, _schema_folder(state, table)):
             continue
+        spark.read.text(_schema_folder(state, table)).write.text(_schema_folder(target, table))
         deltas = _deltas(spark, state, table)
-        _keep_schema(deltas.drop("batch"), target, table)
         old, new = deltas.filter(F.col("batch") <= upto), deltas.filter(F.col("batch") > upto)
         if table == "segments":
-            # Segments of one URL and slice merge only in order, so they are renumbered by batch.
-            old = old.repartition("url_canonical")
+            old = merge_segments(old, "batch", "segment")
         elif table == "sightings":
             old = merge_sightings(old)
         elif table == "maxima":
             old = old.groupBy("feed_id").agg(F.max("max_published").alias("max_published"))
-        write_delta(old.drop("batch"), target, table, upto)
+        columns = [field.name for field in _schema(spark, state, table)]
+        write_delta(old.select(*columns), target, table, upto)
         new.write.mode("append").partitionBy("batch").parquet(f"{target}/{table}")
