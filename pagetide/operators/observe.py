@@ -19,9 +19,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pagetide.operators.sequences import HOUR, time_segment
+from pagetide.operators.sequences import time_segment
 from pagetide.session import require_zoned
 
+# Seconds of a segment: short enough that a URL relayed by every feed stays small within one,
+# long enough that a URL seen without pause has some fifty thousand segments a year.
+SEGMENT_SECONDS = 600
+
 REVISABLE = ("title", "author", "raw_summary", "summary_clean", "content_hash")
 OBSERVED = (
     "feed_id",
@@ -40,7 +44,7 @@ OBSERVED = (
 def with_segment(log: DataFrame, segment: Column | None = None) -> DataFrame:
     """Add the time segment; it must be the same for all entries of a page and grow with `seq`."""
     require_zoned(log, "seen_at", "published_at")
-    return log.withColumn("segment", time_segment(F.col("seen_at"), HOUR) if segment is None else segment)
+    return log.withColumn("segment", time_segment(F.col("seen_at"), SEGMENT_SECONDS) if segment is None else segment)
 
 
 def first_in_page(log: DataFrame) -> DataFrame:

@@ -605,7 +605,7 @@ UNION ALL SELECT min(id), 'duplicate_url' FROM d GROUP BY url HAVING count(*) >
     "attempt_log": f"""WITH {_ATTEMPT_LINES}
 SELECT epoch_us(attempted_at) AS attempted_at_us, reason, arg_min(struct_pack(d := detail), coalesce(detail, '')).d AS detail
 FROM parsed p
-WHERE NOT (attempted_at < TIMESTAMP '2024-01-05' AND reason <> 'wrapper_error')
+WHERE NOT (attempted_at < TIMESTAMP '2024-01-05' AND reason = 'docker_unavailable')
 GROUP BY attempted_at, reason""",
     "stream_attempts": f"""WITH {_ATTEMPT_LINES}
 SELECT DISTINCT epoch_us(attempted_at) AS attempted_at_us, reason FROM parsed""",

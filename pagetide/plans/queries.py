@@ -505,7 +505,9 @@ def attempt_log_query(spark: SparkSession, folder: str) -> DataFrame:
     parsed = attempt_log.parse_attempts(attempt_lines(spark, folder), roles.now())
     # Attempts of the first days are stored already.
     early = F.col("attempted_at") < F.lit("2024-01-05 00:00:00+00:00").cast("timestamp")
-    stored = parsed.filter(early).filter(F.col("reason") != "wrapper_error")
+    stored = roles.attempts(spark, folder).filter(early).select(
+        F.date_trunc("second", "attempted_at").alias("attempted_at"), "reason"
+    )
     fresh = attempt_log.insert_or_ignore(stored, parsed)
     return fresh.select(micros("attempted_at"), "reason", "detail")
 
@@ -643,8 +645,8 @@ def ingest_documents(spark: SparkSession, folder: str) -> DataFrame:
 
 def stream_upsert(spark: SparkSession, folder: str) -> DataFrame:
     """The observation log, arriving in three parts, folded batch by batch."""
-    log = roles.observations(spark, folder)
     base = shared_folder(spark, "stream-upsert")
+    log = ingest.stage(roles.observations(spark, folder), f"{base}/log")
     seen = F.year("seen_at")
     for part in (seen < 1997, seen.between(1997, 1999), seen > 1999):
         log.filter(part).write.mode("append").parquet(f"{base}/landed")

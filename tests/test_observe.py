@@ -112,7 +112,7 @@ def test_merged_segments_can_be_merged_again(spark):
     rows = random_log(random.Random(11))
     log = spark.createDataFrame(rows, SCHEMA)
     segments = observe.summarize(observe.first_in_page(observe.with_segment(log)))
-    early, late = segments.filter("segment <= 473354"), segments.filter("segment > 473354")
+    early, late = segments.filter("segment <= 2840160"), segments.filter("segment > 2840160")
     assert early.count() and late.count()
     again = observe.merge_articles(observe.merge_segments(early).unionByName(late))
     whole = observe.merge_articles(segments)
