@@ -16,7 +16,7 @@ UTC = dt.UTC
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session("*", partitions=4)
+    session = local_session("*", partitions=2)
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

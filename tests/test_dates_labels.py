@@ -3,7 +3,6 @@ from __future__ import annotations
 import datetime as dt
 from email.utils import parsedate_to_datetime
 
-import pytest
 from conftest import at, utc
 from pyspark.sql import functions as F
 
@@ -56,25 +55,25 @@ def test_atom_forms_only_on_request(spark):
     assert loose == [at("2026-08-19T15:14:00"), at("2026-08-19T15:14:25"), at("2026-08-19T13:14:00")]
 
 
-@pytest.mark.parametrize(
-    ("published", "updated", "wanted", "source"),
-    [
-        ("2026-08-19T10:00:00", "2026-08-19T11:00:00", "2026-08-19T10:00:00", "published"),
-        (None, "2026-08-19T11:00:00", "2026-08-19T11:00:00", "updated"),
-        (None, None, "2026-08-19T12:00:00", "fetched"),
-        ("2026-09-18T12:00:00", "2026-08-19T11:00:00", "2026-08-19T11:00:00", "updated"),
-        ("2026-08-19T13:00:00", None, "2026-08-19T13:00:00", "published"),
-        ("2026-08-19T14:00:00", None, "2026-08-19T14:00:00", "published"),
-        ("2026-08-19T14:00:01", None, "2026-08-19T12:00:00", "fetched"),
-        ("1970-01-01T00:00:00", None, "2026-08-19T12:00:00", "fetched"),
-        ("2000-01-01T00:00:00", None, "2000-01-01T00:00:00", "published"),
-    ],
-)
-def test_fallback_order(spark, published, updated, wanted, source):
-    row = (published and at(published), updated and at(updated), FETCHED)
-    frame = spark.createDataFrame([row], "p timestamp, u timestamp, f timestamp")
-    got = frame.select(dates.resolve_published(F.col("p"), F.col("u"), F.col("f")).alias("r")).first()["r"]
-    assert (utc(got["published_at"]), got["date_source"]) == (at(wanted), source)
+FALLBACKS = [
+    ("2026-08-19T10:00:00", "2026-08-19T11:00:00", "2026-08-19T10:00:00", "published"),
+    (None, "2026-08-19T11:00:00", "2026-08-19T11:00:00", "updated"),
+    (None, None, "2026-08-19T12:00:00", "fetched"),
+    ("2026-09-18T12:00:00", "2026-08-19T11:00:00", "2026-08-19T11:00:00", "updated"),
+    ("2026-08-19T13:00:00", None, "2026-08-19T13:00:00", "published"),
+    ("2026-08-19T14:00:00", None, "2026-08-19T14:00:00", "published"),
+    ("2026-08-19T14:00:01", None, "2026-08-19T12:00:00", "fetched"),
+    ("1970-01-01T00:00:00", None, "2026-08-19T12:00:00", "fetched"),
+    ("2000-01-01T00:00:00", None, "2000-01-01T00:00:00", "published"),
+]
+
+
+def test_fallback_order(spark):
+    rows = [(i, p and at(p), u and at(u), FETCHED) for i, (p, u, _, _) in enumerate(FALLBACKS)]
+    frame = spark.createDataFrame(rows, "i int, p timestamp, u timestamp, f timestamp")
+    resolved = frame.select("i", dates.resolve_published(F.col("p"), F.col("u"), F.col("f")).alias("r"))
+    got = [(utc(x["r"]["published_at"]), x["r"]["date_source"]) for x in resolved.orderBy("i").collect()]
+    assert got == [(at(wanted), source) for _, _, wanted, source in FALLBACKS]
 
 
 def test_relative_dates(spark):

@@ -73,7 +73,7 @@ def plain(row, fields):
     return {f: utc(row[f]) if hasattr(row[f], "astimezone") else row[f] for f in fields}
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
+@pytest.mark.parametrize("seed", [1, 2])
 def test_fold_equals_the_sequential_rules(spark, seed):
     rows = random_log(random.Random(seed))
     log = spark.createDataFrame(rows, SCHEMA)
@@ -91,7 +91,7 @@ def test_fold_equals_the_sequential_rules(spark, seed):
     assert per_run == counts
 
 
-@pytest.mark.parametrize("cuts", [(100,), (20, 90), (5, 6, 7, 120)])
+@pytest.mark.parametrize("cuts", [(20, 45), (5, 6, 7, 50)])
 def test_batches_equal_the_whole(spark, cuts):
     """Segments of separate batches merge to the articles of the whole log, in arrival order."""
     rows = random_log(random.Random(9))
