@@ -546,6 +546,11 @@ FROM documents GROUP BY 1 HAVING count(*) > 1""",
 SELECT page_id, {_clean('''regexp_replace(regexp_replace(regexp_replace(html,
   '(?is)<(?:script|style)\\b[^>]*>.*?</(?:script|style)\\s*>', '', 'g'),
   '(?s)<!--.*?-->', '', 'g'), '(?s)</?[a-zA-Z!?][^>]*>', '', 'g')''')} AS text
+FROM pages""",
+    "clean_titles": f"""
+SELECT page_id, {_clean("""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+  regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'),
+  '&quot;?', '"', 'g'), '&#(?:39|x27);?', '''', 'g'), '&amp;?', '&', 'g')""")} AS title
 FROM pages""",
     "excerpts": f"""
 SELECT doc_id, CASE WHEN length(t) <= 240 THEN t

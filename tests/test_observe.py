@@ -8,7 +8,6 @@ from conftest import at, utc
 from pyspark.sql import functions as F
 
 from pagetide.operators import observe
-from pagetide.operators.observe import OBSERVED
 
 BASE = at("2024-01-01T00:00:00")
 SCHEMA = (
