@@ -21,7 +21,6 @@ ERROR_KINDS = {
     "FetchError": "reseau",
     "FeedParseError": "flux",
     "InvalidUrlError": "flux",
-    "VeilleError": "flux",
 }
 ERROR_KIND_LABELS = {"reseau": "réseau", "flux": "flux", "interne": "interne"}
 
@@ -46,13 +45,18 @@ def gap_label(value: Column) -> Column:
     return F.coalesce(_lookup(GAP_LABELS, value), F.lit(""))
 
 
-def error_kind(message: Column) -> Column:
-    """'reseau', 'flux', 'interne' or '' from the exception name that opens the message."""
+def error_kind(message: Column, more_kinds: dict[str, str] | None = None) -> Column:
+    """'reseau', 'flux', 'interne' or '' from the exception name that opens the message.
+
+    `more_kinds` classifies exception names of other collectors whose run logs are read.
+    """
     name = F.trim(F.substring_index(message, ":", 1))
     return F.coalesce(
-        _lookup(ERROR_KINDS, name), F.when(name.endswith("Error"), "interne"), F.lit("")
+        _lookup(ERROR_KINDS | (more_kinds or {}), name),
+        F.when(name.endswith("Error"), "interne"),
+        F.lit(""),
     )
 
 
-def error_kind_label(message: Column) -> Column:
-    return F.coalesce(_lookup(ERROR_KIND_LABELS, error_kind(message)), F.lit(""))
+def error_kind_label(message: Column, more_kinds: dict[str, str] | None = None) -> Column:
+    return F.coalesce(_lookup(ERROR_KIND_LABELS, error_kind(message, more_kinds)), F.lit(""))

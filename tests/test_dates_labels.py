@@ -131,6 +131,8 @@ def test_error_kinds(spark):
     frame = spark.createDataFrame([*enumerate(cases), (99, None)], "i int, v string")
     rows = frame.select("i", labels.error_kind(F.col("v")).alias("x")).orderBy("i").collect()
     assert [r["x"] for r in rows] == [*cases.values(), ""]
+    other = spark.range(1).select(labels.error_kind(F.lit("OtherError: x"), {"OtherError": "flux"}))
+    assert other.first()[0] == "flux"
 
 
 def test_labels(spark):
