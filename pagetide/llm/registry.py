@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pagetide.llm import exact_dedup, mixing
+from pagetide.llm import exact_dedup, jaccard_join, mixing
 
-MODULES = (exact_dedup, mixing)
+MODULES = (exact_dedup, jaccard_join, mixing)
 
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
