@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pagetide.llm import decontamination, exact_dedup, jaccard_join, language_id, mixing
+from pagetide.llm import decontamination, exact_dedup, html_text, jaccard_join, language_id, mixing
 
-MODULES = (language_id, jaccard_join, exact_dedup, decontamination, mixing)
+MODULES = (language_id, jaccard_join, exact_dedup, decontamination, mixing, html_text)
 
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
