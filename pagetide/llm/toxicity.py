@@ -36,7 +36,7 @@ SAMPLE = 3000  # labelled documents of each kind that the model is fitted on, at
 SAMPLE_WORDS = 1_500_000  # and words of each kind
 DIMENSIONS = 1 << 18
 FEATURES = 6
-EVIDENT, OFTENER = 12.0, 5.0  # log likelihood ratio, and how much oftener in toxic documents
+EVIDENT, OFTENER = 8.0, 5.0  # log likelihood ratio, and how much oftener in toxic documents
 EPOCHS, BATCH, RATE, DECAY = 4, 64, 0.3, 1e-6
 BLOCK = 128  # words that a block of a chain holds
 
