@@ -23,10 +23,6 @@ from pagetide.model import LANGS, TOPICS
 PAGE_SIZE = 50
 TOPIC_EXPANSION = {"ai": ("ai", "both"), "sec": ("sec", "both"), "both": ("both",)}
 
-# Sorting keeps `offset + size` rows per task; beyond this offset the page is located first.
-SHALLOW_OFFSET = 100_000
-_LOCATING_UNITS = ("year", "month", "day", "hour", "minute", "second")
-
 
 @dataclass(frozen=True)
 class Page:
@@ -55,34 +51,10 @@ def select_articles(
 
 
 def _slice(ordered_by_time: DataFrame, offset: int, size: int, tie: str) -> DataFrame:
-    newest_first = (F.col("published_at").desc(), F.col(tie).desc())
+    newest_first = (F.col("published_at").desc_nulls_last(), F.col(tie).desc())
     return ordered_by_time.orderBy(*newest_first).offset(offset).limit(size)
 
 
-def _locate(rows: DataFrame, offset: int) -> tuple[DataFrame, int]:
-    """Narrow to the times around a deep offset, by counting per year, month, ... second.
-
-    Each step reads back at most a few hundred counts. What is left out lies entirely before
-    the page (and is subtracted from the offset); the rest keeps every row at or after it.
-    """
-    for unit in _LOCATING_UNITS:
-        if offset <= SHALLOW_OFFSET:
-            break
-        slot = F.date_trunc(unit, "published_at")
-        counts = rows.groupBy(slot.alias("slot")).count().orderBy(F.col("slot").desc())
-        passed, start = 0, None
-        for row in counts.toLocalIterator():
-            if passed + row["count"] > offset:
-                start = row["slot"]
-                break
-            passed += row["count"]
-        if start is None:
-            return rows.limit(0), 0
-        rows = rows.filter(slot <= F.lit(start))
-        offset -= passed
-    return rows, offset
-
-
 def list_articles(
     articles: DataFrame,
     feeds: DataFrame,
@@ -93,21 +65,25 @@ def list_articles(
     page_size: int = PAGE_SIZE,
     tie: str = "first_seq",
 ) -> Page:
-    """A page of the listing, newest first, ties by arrival; pages below 1 mean the first."""
+    """A page of the listing, newest first, ties by arrival; pages below 1 mean the first.
+
+    Rows without a date come last. Every page is one lazy plan: the rows are range-partitioned
+    by time, sorted, and the offset is skipped by counting whole partitions.
+    """
     page = max(1, page)
     chosen = select_articles(articles, feeds, lang=lang, topic=topic)
-    rows, offset = chosen, (page - 1) * page_size
-    if offset > SHALLOW_OFFSET:
-        rows, offset = _locate(chosen, offset)
-    return Page(rows=_slice(rows, offset, page_size, tie), info=page_info(chosen, page, page_size))
+    rows = _slice(chosen, (page - 1) * page_size, page_size, tie)
+    return Page(rows=rows, info=page_info(chosen, page, page_size))
 
 
 def articles_after(
     articles: DataFrame, published_at: Column, tie_value: Column, *, size: int = PAGE_SIZE, tie: str = "first_seq"
 ) -> DataFrame:
-    """The page following a known last row, without counting or skipping."""
-    later = (F.col("published_at") < published_at) | (
-        (F.col("published_at") == published_at) & (F.col(tie) < tie_value)
+    """The page following a known last row, without counting or skipping; its date may be NULL."""
+    later = (
+        (F.col("published_at") < published_at)
+        | (published_at.isNotNull() & F.col("published_at").isNull())
+        | (F.col("published_at").eqNullSafe(published_at) & (F.col(tie) < tie_value))
     )
     return _slice(articles.filter(later), 0, size, tie)
 

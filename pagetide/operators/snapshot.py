@@ -74,13 +74,14 @@ def take_snapshot(tables: dict[str, DataFrame], root: str, stamp: str) -> DataFr
     spark = next(iter(tables.values())).sparkSession
     for name, table in tables.items():
         table.write.mode("overwrite").parquet(f"{root}/snapshot={stamp}/{name}")
-    written = fingerprints(_read(spark, root, stamp, list(tables)))
-    source = fingerprints(tables)
-    if not compare(source, written).isEmpty():
+    # One row per table: computed once, so what is recorded is what was compared.
+    schema = "table_name string, n_rows long, fingerprint string"
+    written = spark.createDataFrame(fingerprints(_read(spark, root, stamp, list(tables))).collect(), schema)
+    if not compare(fingerprints(tables), written).isEmpty():
         raise ValueError(f"snapshot {stamp} does not read back as written")
-    entry = source.withColumn("stamp", F.lit(stamp))
-    entry.coalesce(1).write.mode("overwrite").parquet(f"{root}/{_MANIFEST}/stamp={stamp}")
-    return source
+    entry = written.withColumn("stamp", F.lit(stamp)).coalesce(1)
+    entry.write.mode("overwrite").parquet(f"{root}/{_MANIFEST}/stamp={stamp}")
+    return written
 
 
 def list_snapshots(spark: SparkSession, root: str, keep: int = KEEP) -> DataFrame:

@@ -29,7 +29,7 @@ from pagetide.operators.saturation import (
 )
 from pagetide.operators.sequences import DAY, time_segment
 from pagetide.session import require_zoned
-from pagetide.sources.fetchlog import MAX_ATTEMPTS, classify_runs
+from pagetide.sources.fetchlog import classify_runs, unknown_feed_runs
 from pagetide.sources.pages import explode_entries, normalize_entries, parse_documents
 
 
@@ -49,6 +49,7 @@ class Ingested:
     sightings: DataFrame
     runs: DataFrame
     maxima: DataFrame
+    unknown: DataFrame  # runs of feeds that are not declared
 
 
 def stage(df: DataFrame, path: str) -> DataFrame:
@@ -63,9 +64,7 @@ def fetched_pages(log: DataFrame, feeds: DataFrame) -> DataFrame:
     Documents are parsed where the log is read; the join moves parsed items, not bodies.
     """
     outcomes = classify_runs(log, feeds)
-    bodies = log.filter((F.col("http_status") == 200) & (F.col("attempt") <= MAX_ATTEMPTS)).select(
-        "feed_id", "run_id", "attempt", "body"
-    )
+    bodies = log.filter(F.col("http_status") == 200).select("feed_id", "run_id", "attempt", "body")
     pages = outcomes.join(parse_documents(bodies), ["feed_id", "run_id", "attempt"], "left")
     fetched = F.col("status") == "ok"
     failed = fetched & F.col("parse_error").isNotNull()
@@ -131,7 +130,7 @@ def assessed_runs(pages: DataFrame, entries: DataFrame, known: Known | None = No
     warnings = F.concat_ws(
         " | ",
         F.col("warning"),
-        F.when(F.col("n_skipped") > 0, F.concat(F.col("n_skipped").cast("string"), F.lit(" entree(s) ignoree(s)"))),
+        F.when(F.col("n_skipped") > 0, F.concat(F.col("n_skipped").cast("string"), F.lit(" lien(s) inutilisable(s)"))),
     )
     ok = F.col("status") == "ok"
     runs = assessed.select(
@@ -176,4 +175,5 @@ def ingest(log: DataFrame, feeds: DataFrame, workspace: str, known: Known | None
         sightings=fold_sightings(deduplicated),
         runs=runs,
         maxima=maxima.groupBy("feed_id").agg(F.max("run_max").alias("max_published")),
+        unknown=unknown_feed_runs(log, feeds),
     )

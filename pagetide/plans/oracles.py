@@ -403,6 +403,17 @@ _TABLE_COLUMNS = {
 
 # --- the statements ---------------------------------------------------------------------
 
+# Three attempts a run; ten feeds take turns, and every seventh run is of a feed without number.
+_ATTEMPTS = """attempts AS (
+  SELECT CASE WHEN (event_id // 3) % 7 = 6 THEN -1 ELSE (event_id // 3) % 10 END AS feed_id, event_id // 3 AS run_id,
+         event_id % 3 + 1 AS attempt, event_type, ts,
+         CASE WHEN event_type = 'click' AND value < 10 THEN NULL WHEN event_type = 'view' THEN 304
+              WHEN event_type = 'error' THEN 503 WHEN event_type = 'signup' THEN 404 ELSE 200 END AS code,
+         event_type = 'error' AND value < 20 AS lost
+  FROM events
+)"""
+
+
 ORACLES: dict[str, str] = {
     "coverage_gaps": f"""WITH {_INTERVALS}
 SELECT feed_id, epoch_us(start_at) AS start_us, epoch_us(end_at) AS end_us, ongoing, missed_attempts,
@@ -608,7 +619,7 @@ UNION ALL SELECT id, 'lang' FROM d WHERE c_nationkey >= 20
 UNION ALL SELECT id, 'topic' FROM d WHERE c_mktsegment = 'BUILDING'
 UNION ALL SELECT min(id), 'duplicate_url' FROM d GROUP BY url HAVING count(*) > 1""",
     "attempt_log": f"""WITH {_ATTEMPT_LINES}
-SELECT epoch_us(attempted_at) AS attempted_at_us, reason, arg_min(struct_pack(d := detail), coalesce(detail, '')).d AS detail
+SELECT epoch_us(attempted_at) AS attempted_at_us, reason, arg_min(struct_pack(d := detail), struct_pack(n := detail IS NULL, d := detail)).d AS detail
 FROM parsed p
 WHERE NOT (attempted_at < TIMESTAMP '2024-01-05' AND reason = 'docker_unavailable')
 GROUP BY attempted_at, reason""",
@@ -678,26 +689,37 @@ SELECT feed_id, run_id, 'ok' AS status, n_new, n_seen,
             THEN epoch_us(TIMESTAMP '2024-01-01 00:00:00') + oldest * 3600000000 END AS oldest_in_page_us,
        epoch_us(TIMESTAMP '2024-01-01 00:00:00') + known * 3600000000 AS prev_max_published_us
 FROM judged""",
-    "run_outcomes": """
-WITH attempts AS (
-  SELECT (event_id // 2) % 10 AS feed_id, event_id // 2 AS run_id, event_id % 2 + 1 AS attempt, event_type,
-         CASE event_type WHEN 'view' THEN 304 WHEN 'error' THEN 503 WHEN 'signup' THEN 404 ELSE 200 END AS code,
-         event_type = 'error' AND value < 20 AS lost
-  FROM events
-),
+    "run_outcomes": f"""WITH {_ATTEMPTS},
 decided AS (
   SELECT *, row_number() OVER (
     PARTITION BY run_id
-    ORDER BY CASE WHEN attempt = 1 AND event_type <> 'error' THEN 0 ELSE 1 END, attempt DESC) AS nth
+    ORDER BY CASE WHEN event_type <> 'error' THEN attempt ELSE 4 END, attempt DESC) AS nth
   FROM attempts
 )
 SELECT feed_id, run_id, attempt, CASE WHEN NOT lost THEN code END AS http_status,
-       CASE WHEN lost OR code IN (404, 503) OR event_type = 'purchase' THEN 'error'
+       CASE WHEN lost OR code IS NULL OR code IN (404, 503) OR event_type = 'purchase' THEN 'error'
             WHEN code = 304 THEN 'not_modified' ELSE 'ok' END AS status,
        'FetchError: feed-' || feed_id || ' : ' ||
-         CASE WHEN lost THEN 'timed out' WHEN code IN (404, 503) THEN 'HTTP ' || code
-              WHEN event_type = 'purchase' THEN 'corps vide (HTTP 200)' END AS error_message
+         CASE WHEN lost THEN 'timed out' WHEN code IS NULL THEN 'reponse sans statut'
+              WHEN code IN (404, 503) THEN 'HTTP ' || code
+              WHEN event_type = 'purchase' THEN 'HTTP 200 sans contenu' END AS error_message
 FROM decided WHERE nth = 1 AND feed_id IN (SELECT user_id FROM events)""",
+    "unknown_feed_runs": f"""WITH {_ATTEMPTS}
+SELECT feed_id, run_id, count(*) AS n_attempts, epoch_us(min(ts)) AS started_at_us FROM attempts
+WHERE feed_id NOT IN (SELECT user_id FROM events) GROUP BY feed_id, run_id""",
+    "page_encodings": """
+WITH d AS (SELECT doc_id, '€ œ ’ ' || coalesce(text, '') AS t,
+  CASE WHEN regexp_matches(coalesce(text, ''), '[^\\x{0}-\\x{7F}\\x{A0}-\\x{A3}\\x{A7}\\x{A9}-\\x{B3}\\x{B5}-\\x{B7}\\x{BF}-\\x{FF}]') THEN 0
+       ELSE doc_id % 5 END AS form FROM documents)
+SELECT doc_id,
+  md5(CASE WHEN form = 2 THEN replace(replace(replace(t, '€', '?'), 'œ', '?'), '’', '?')
+           WHEN form = 4 THEN replace(t, '’', '?') ELSE t END) AS text_md5,
+  CASE WHEN form = 1 THEN 'encodage autre que celui declare' END AS warning
+FROM d""",
+    "article_listing_deep": f"""WITH {_ARTICLES}, chosen AS (SELECT * FROM articles JOIN doc_feeds ON first_feed_id = feed_id)
+SELECT url_canonical, title, slug, lang, topic, epoch_us(published_at) AS published_at_us, first_seq
+FROM chosen ORDER BY published_at DESC NULLS LAST, first_seq DESC
+LIMIT 50 OFFSET (SELECT greatest(0, (count(*) - 1) // 50 * 50) FROM chosen)""",
     "validators": """
 SELECT feed_id, v.etag AS etag, v.last_modified AS last_modified FROM (
   SELECT user_id AS feed_id,

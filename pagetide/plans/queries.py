@@ -16,7 +16,7 @@ from pagetide.plans import ingest, roles
 from pagetide.session import shared_folder
 from pagetide.sources import attempts as attempt_log
 from pagetide.sources import declarations, fetchlog
-from pagetide.sources.pages import explode_entries, normalize_entries, parse_documents
+from pagetide.sources.pages import decode_body, explode_entries, normalize_entries, parse_documents
 from pagetide.streaming import drain, upsert
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -127,6 +127,16 @@ def listing_table(spark: SparkSession, folder: str) -> DataFrame:
     return reports.listing_table(page.rows, now=roles.now())
 
 
+def article_listing_deep(spark: SparkSession, folder: str) -> DataFrame:
+    """The last page of the whole listing."""
+    articles, feeds = roles.articles(spark, folder), roles.document_feeds(spark, folder)
+    last = reports.list_articles(articles, feeds).info.first()["pages"]
+    page = reports.list_articles(articles, feeds, page=last)
+    return page.rows.select(
+        "url_canonical", "title", "slug", "lang", "topic", micros("published_at"), "first_seq"
+    )
+
+
 def listing_page_info(spark: SparkSession, folder: str) -> DataFrame:
     chosen = reports.select_articles(
         roles.articles(spark, folder), roles.document_feeds(spark, folder), topic="sec"
@@ -334,12 +344,6 @@ def strip_tags_native(spark: SparkSession, folder: str) -> DataFrame:
     return pages.select("page_id", markup.strip_tags_native(F.col("html")).alias("text"))
 
 
-def sanitized_pages(spark: SparkSession, folder: str) -> DataFrame:
-    pages = roles.table(spark, folder, "pages").select("page_id", "html")
-    cleaned = pages.withColumn("summary", markup.sanitize_with_text(F.col("html")))
-    return cleaned.select("page_id", "summary.clean", "summary.text")
-
-
 def clean_titles(spark: SparkSession, folder: str) -> DataFrame:
     pages = roles.table(spark, folder, "pages")
     title = F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1)
@@ -587,16 +591,18 @@ def page_entries(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def run_outcomes(spark: SparkSession, folder: str) -> DataFrame:
-    """Events in pairs as the two attempts of a run; ten feeds take turns."""
+def _attempt_log(spark: SparkSession, folder: str) -> DataFrame:
+    """Events in threes as the attempts of a run; every seventh run is of an unknown feed."""
     kind, number = F.col("event_type"), F.col("event_id")
-    log = roles.table(spark, folder, "events").select(
-        (F.floor(number / 2) % 10).alias("feed_id"),
-        F.floor(number / 2).alias("run_id"),
+    run = F.floor(number / 3)
+    return roles.table(spark, folder, "events").select(
+        F.when(run % 7 == 6, -1).otherwise(run % 10).alias("feed_id"),
+        run.alias("run_id"),
         F.lit(0).alias("feed_pos"),
         F.col("ts").alias("started_at"),
-        (number % 2 + 1).cast("int").alias("attempt"),
-        F.when(kind == "view", 304)
+        (number % 3 + 1).cast("int").alias("attempt"),
+        F.when((kind == "click") & (F.col("value") < 10), None)
+        .when(kind == "view", 304)
         .when(kind == "error", 503)
         .when(kind == "signup", 404)
         .otherwise(200)
@@ -607,10 +613,46 @@ def run_outcomes(spark: SparkSession, folder: str) -> DataFrame:
         F.lit(None).cast("string").alias("last_modified"),
         F.col("ts").alias("fetched_at"),
     )
-    outcomes = fetchlog.classify_runs(log, roles.event_feeds(spark, folder))
+
+
+def run_outcomes(spark: SparkSession, folder: str) -> DataFrame:
+    outcomes = fetchlog.classify_runs(_attempt_log(spark, folder), roles.event_feeds(spark, folder))
     return outcomes.select("feed_id", "run_id", "attempt", "http_status", "status", "error_message")
 
 
+def unknown_feed_runs(spark: SparkSession, folder: str) -> DataFrame:
+    found = fetchlog.unknown_feed_runs(_attempt_log(spark, folder), roles.event_feeds(spark, folder))
+    return found.select("feed_id", "run_id", "n_attempts", micros("started_at"))
+
+
+def page_encodings(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents as bytes of several encodings, declared far behind padding, and read back.
+
+    Texts with characters that a code page lacks stay UTF-8.
+    """
+    text = F.concat(F.lit("€ œ ’ "), F.coalesce("text", F.lit("")))
+    western = r"^[\x00-\x7F\xA0-\xA3\xA7\xA9-\xB3\xB5-\xB7\xBF-\xFF]*$"
+    form = F.when(F.coalesce("text", F.lit("")).rlike(western), F.col("doc_id") % 5).otherwise(0)
+
+    def page(name: str) -> Column:
+        return F.concat(F.lit(f"<?xml version='1.0'{' ' * 300}encoding='{name}'?>"), text)
+
+    def as_bytes(name: str, own: str, other: str) -> Column:
+        return F.encode(F.translate(page(name), own, other), "ISO-8859-1")
+
+    body = (
+        F.when(form == 0, F.encode(page("UTF-8"), "UTF-8"))
+        .when(form == 1, F.encode(page("ISO-8859-1"), "UTF-8"))
+        .when(form == 2, as_bytes("latin-1", "€œ’", "???"))
+        .when(form == 3, as_bytes("windows-1252", "€œ’", "\x80\x9c\x92"))
+        .otherwise(as_bytes("iso-8859-15", "€œ’", "\xa4\xbd?"))
+    )
+    pages = roles.table(spark, folder, "documents").select("doc_id", body.alias("body"))
+    read, warning = decode_body(F.col("body"))
+    content = F.regexp_replace(read, r"^<\?xml[^>]*\?>", "")
+    return pages.select("doc_id", F.md5(content).alias("text_md5"), warning.alias("warning"))
+
+
 def validators(spark: SparkSession, folder: str) -> DataFrame:
     kind = F.col("event_type")
     runs = roles.table(spark, folder, "events").select(
@@ -673,6 +715,7 @@ QUERIES: dict[str, Query] = {
     "feed_health": feed_health,
     "health_table": health_table,
     "article_listing": article_listing,
+    "article_listing_deep": article_listing_deep,
     "listing_table": listing_table,
     "listing_page_info": listing_page_info,
     "newest_article": newest_article,
@@ -693,7 +736,6 @@ QUERIES: dict[str, Query] = {
     "duplicate_texts": duplicate_texts,
     "double_escapes": double_escapes,
     "strip_tags_native": strip_tags_native,
-    "sanitized_pages": sanitized_pages,
     "clean_titles": clean_titles,
     "excerpts": excerpts,
     "dates_resolved": dates_resolved,
@@ -709,6 +751,8 @@ QUERIES: dict[str, Query] = {
     "purge_preview": purge_preview,
     "page_entries": page_entries,
     "run_outcomes": run_outcomes,
+    "unknown_feed_runs": unknown_feed_runs,
+    "page_encodings": page_encodings,
     "validators": validators,
     "ingest_documents": ingest_documents,
     "stream_upsert": stream_upsert,

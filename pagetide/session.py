@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -35,13 +36,15 @@ def local_session(cores: int | str = "*", partitions: int = 8) -> SparkSession:
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder below the cluster's checkpoint directory.
 
-    Every executor must reach it, so the directory named by the session is used; only when
-    the session names none (tests) a temporary one is set.
+    Every executor must reach it, so it is the directory that the session names. Only where
+    driver and executors are one process, a session without one gets a temporary directory.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="pagetide-")
-        spark.sparkContext.setCheckpointDir(root)
+        spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/pagetide/{name}-{uuid.uuid4().hex}"
 
 

@@ -13,17 +13,24 @@ FALLBACK_REASON = "wrapper_error"
 DETAIL_LENGTH = 2000
 
 # A detail that is no text and counts as none: zero, false, an empty list or object.
-_EMPTY_DETAIL = r'"detail"\s*:\s*(?:-?0(?:\.0*)?|false|\[\s*\]|\{\s*\})\s*[,}]'
+_EMPTY_DETAIL = r"^(?:-?0(?:\.0*)?(?:[eE][+-]?[0-9]+)?|false|\[\s*\]|\{\s*\})$"
+_STRICT = {"allowSingleQuotes": "false", "mode": "PERMISSIVE"}
 
 
 def parse_attempts(lines: DataFrame, drained_at: Column, *, line: str = "value") -> DataFrame:
     """Attempts (attempted_at, reason, detail, drained_at) of a text column.
 
-    Lines that are no JSON object, or whose time is missing, unreadable or without offset, are
+    Lines that are no JSON object and nothing else, or whose time is missing, unreadable or without offset, are
     dropped. A missing or unknown reason becomes the fallback.
     """
-    fields = F.from_json(F.trim(line), "attempted_at string, reason string, detail string")
-    parsed = lines.select(fields.alias("f"), F.col(line).rlike(_EMPTY_DETAIL).alias("no_detail"))
+    # As the only element of an array, an object with anything behind it is malformed.
+    alone = F.concat(F.lit("["), F.col(line), F.lit("]"))
+    objects = F.from_json(alone, "array<struct<attempted_at: string, reason: string, detail: string>>", _STRICT)
+    typed = F.from_json(alone, "array<struct<detail: variant>>", _STRICT)
+    parsed = lines.select(
+        F.when(F.size(objects) == 1, F.get(objects, 0)).alias("f"),
+        F.coalesce(F.to_json(F.get(typed, 0)["detail"]).rlike(_EMPTY_DETAIL), F.lit(False)).alias("no_detail"),
+    )
     reason = F.col("f.reason")
     attempt = F.struct(
         parse_zoned(F.col("f.attempted_at")).alias("attempted_at"),
@@ -44,10 +51,11 @@ def read_attempts(spark: SparkSession, path: str, drained_at: Column) -> DataFra
 def insert_or_ignore(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     """Incoming attempts whose (attempted_at, reason) is not stored, one per key.
 
-    Of lines with equal keys the smallest detail is kept, so that a replay picks the same.
+    Of lines with equal keys one with a detail is preferred, then the smallest, so that a replay
+    picks the same.
     """
     unique = incoming.groupBy("attempted_at", "reason").agg(
-        F.min_by(F.struct("detail", "drained_at"), F.coalesce("detail", F.lit(""))).alias("kept")
+        F.min_by(F.struct("detail", "drained_at"), F.struct(F.col("detail").isNull(), "detail")).alias("kept")
     )
     fresh = unique.join(stored.select("attempted_at", "reason"), ["attempted_at", "reason"], "left_anti")
     return fresh.select("attempted_at", "reason", "kept.detail", "kept.drained_at")

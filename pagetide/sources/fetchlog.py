@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from pagetide.model import FETCH_LOG
 
-# Attempts per run, and the statuses worth a second one.
-MAX_ATTEMPTS = 2
+# The statuses worth another attempt.
 RETRYABLE_STATUSES = (429, 500, 502, 503, 504)
 
 
@@ -24,18 +23,19 @@ def stream_fetch_log(spark: SparkSession, path: str, *, files_per_batch: int | N
 
 
 def _decides() -> Column:
-    """Does this attempt end its run? A retryable status does so only as the last attempt."""
-    retried = F.col("http_status").isin(*RETRYABLE_STATUSES) & (F.col("attempt") < MAX_ATTEMPTS)
+    """Does this attempt end its run, wherever it stands? Failing all, the last one does."""
+    retried = F.col("http_status").isin(*RETRYABLE_STATUSES)
     return F.col("transport_error").isNull() & ~F.coalesce(retried, F.lit(False))
 
 
 def classify_runs(log: DataFrame, slugs: DataFrame) -> DataFrame:
     """One row per run: status, http_status, error_message, validators and deciding attempt.
 
-    `slugs` has (feed_id, slug). Bodies stay out of the aggregation: only their emptiness is
+    `slugs` has (feed_id, slug); runs of other feeds are those of `unknown_feed_runs`. A run has
+    as many attempts as were logged. An answer without status is an error. Bodies stay out of the aggregation: only their emptiness is
     read, so no document is shuffled to classify its run.
     """
-    attempts = log.filter(F.col("attempt") <= MAX_ATTEMPTS).withColumn(
+    attempts = log.withColumn(
         "is_empty", F.coalesce(F.octet_length("body") == 0, F.lit(True))
     )
     answer = F.struct(
@@ -54,10 +54,11 @@ def classify_runs(log: DataFrame, slugs: DataFrame) -> DataFrame:
     lost = F.col("answer.transport_error").isNotNull()
     message = (
         F.when(lost, F.concat(F.lit("FetchError: "), slug, F.lit(" : "), F.col("answer.transport_error")))
+        .when(code.isNull(), F.concat(F.lit("FetchError: "), slug, F.lit(" : reponse sans statut")))
         .when(code == 304, None)
         .when(code != 200, F.concat(F.lit("FetchError: "), slug, F.lit(" : HTTP "), code.cast("string")))
         .when(
-            F.col("answer.is_empty"), F.concat(F.lit("FetchError: "), slug, F.lit(" : corps vide (HTTP 200)"))
+            F.col("answer.is_empty"), F.concat(F.lit("FetchError: "), slug, F.lit(" : HTTP 200 sans contenu"))
         )
     )
     return decided.join(slugs.select("feed_id", "slug"), "feed_id").select(
@@ -77,6 +78,19 @@ def classify_runs(log: DataFrame, slugs: DataFrame) -> DataFrame:
     )
 
 
+def unknown_feed_runs(log: DataFrame, feeds: DataFrame) -> DataFrame:
+    """Runs whose feed is not declared: what the log holds of them, as they cannot be ingested."""
+    return (
+        log.join(feeds.select("feed_id"), "feed_id", "left_anti")
+        .groupBy("feed_id", "run_id")
+        .agg(
+            F.count(F.lit(1)).alias("n_attempts"),
+            F.min("started_at").alias("started_at"),
+            F.max("fetched_at").alias("finished_at"),
+        )
+    )
+
+
 def current_validators(runs: DataFrame) -> DataFrame:
     """Validators each feed's next request must send: those of its last successful run.
 

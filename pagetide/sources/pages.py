@@ -31,16 +31,26 @@ _OPTIONS = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
 
 _ROOT = r"(?s)^\s*(?:<\?.*?\?>\s*|<!--.*?-->\s*|<!DOCTYPE[^>]*>\s*)*<([A-Za-z][\w:.\-]*)"
 _FEED_ROOTS = ("rss", "feed")
-_DECLARED_ENCODING = r"""^\s*<\?xml[^>]*?encoding\s*=\s*["']([\w.\-]+)["']"""
+# The declaration is read to its end, however far it is padded.
+_DECLARED_ENCODING = r"""^\ufeff?\s*<\?xml[^>]*?encoding\s*=\s*["']([\w.\-]+)["']"""
 BYTE_ORDER_MARK = "\ufeff"
 _UTF8_NAMES = ("", "utf-8", "utf8")
-_LATIN_NAMES = ("iso-8859-1", "latin-1", "latin1", "windows-1252", "cp1252", "iso-8859-15")
+_LATIN_NAMES = ("iso-8859-1", "latin-1", "latin1")
+_WINDOWS_NAMES = ("windows-1252", "cp1252")
+_LATIN9_NAMES = ("iso-8859-15", "latin-9", "latin9")
+
+
+def _differences(codec: str) -> tuple[str, str]:
+    """Characters that ISO-8859-1 reads where this code page has others, and those others."""
+    pairs = [(chr(c), bytes([c]).decode(codec, "ignore")) for c in range(128, 256)]
+    changed = [(a, b) for a, b in pairs if b and a != b]
+    return "".join(a for a, _ in changed), "".join(b for _, b in changed)
 
 # Messages of unusable documents and of usable ones with a defect.
-ERROR_BLANK = "FeedParseError: corps vide"
-ERROR_MALFORMED = "FeedParseError: flux illisible : document XML mal forme"
-ERROR_NOT_A_FEED = "FeedParseError: document non reconnu comme un flux RSS ou Atom"
-WARNING_ENCODING = "flux degrade : encodage declare faux"
+ERROR_BLANK = "FeedParseError: document sans contenu"
+ERROR_MALFORMED = "FeedParseError: le document n'est pas du XML bien forme"
+ERROR_NOT_A_FEED = "FeedParseError: racine inconnue, ni RSS ni Atom"
+WARNING_ENCODING = "encodage autre que celui declare"
 
 
 def _filled(value: Column) -> Column:
@@ -84,15 +94,18 @@ def _from_atom(entry: Column) -> Column:
 def decode_body(body: Column) -> tuple[Column, Column]:
     """Text of a body and a warning, if its declared encoding is not what it holds.
 
-    Valid UTF-8 is read as such whatever is declared; other bytes by the declared Latin
-    encoding, or with replacement characters.
+    Valid UTF-8 is read as such whatever is declared; other bytes by the declared Western code
+    page, or with replacement characters.
     """
     as_utf8 = F.try_validate_utf8(body.cast("string"))
-    head = F.lower(F.regexp_extract(F.decode(F.substring(body, 1, 200), "ISO-8859-1"), _DECLARED_ENCODING, 1))
-    is_latin = head.isin(*_LATIN_NAMES)
+    as_latin = F.decode(body, "ISO-8859-1")
+    head = F.lower(F.regexp_extract(F.coalesce(as_utf8, as_latin), _DECLARED_ENCODING, 1))
+    is_latin = head.isin(*_LATIN_NAMES, *_WINDOWS_NAMES, *_LATIN9_NAMES)
     text = F.coalesce(
         as_utf8,
-        F.when(is_latin, F.decode(body, "ISO-8859-1")),
+        F.when(head.isin(*_LATIN_NAMES), as_latin)
+        .when(head.isin(*_WINDOWS_NAMES), F.translate(as_latin, *_differences("cp1252")))
+        .when(head.isin(*_LATIN9_NAMES), F.translate(as_latin, *_differences("iso-8859-15"))),
         F.make_valid_utf8(body.cast("string")),
     )
     ascii_only = F.length(as_utf8) == F.octet_length(body)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from datetime import timedelta
 
+import pytest
 from conftest import at, utc
 from pyspark.sql import functions as F
 
@@ -177,7 +178,9 @@ OUTCOMES = [
     ([(None, "timed out"), (None, "reset")], "error", None, "FetchError: s : reset"),
     ([(503, None), (None, "timed out")], "error", None, "FetchError: s : timed out"),
     ([(404, None), (200, None)], "error", 404, "FetchError: s : HTTP 404"),
-    ([(503, None), (503, None), (200, None)], "error", 503, "FetchError: s : HTTP 503"),
+    ([(503, None), (503, None), (200, None)], "ok", 200, None),
+    ([(503, None), (429, None), (None, "reset"), (500, None)], "error", 500, "FetchError: s : HTTP 500"),
+    ([(None, None)], "error", None, "FetchError: s : reponse sans statut"),
 ]
 
 
@@ -194,7 +197,22 @@ def test_run_outcomes(spark):
 def test_empty_body_and_unknown_feed(spark):
     rows = [response(1, 1, ""), response(9, 1, SOUND)]
     (row,) = fetchlog.classify_runs(log_of(spark, *rows), feeds_of(spark, "s")).collect()
-    assert row["error_message"] == "FetchError: s : corps vide (HTTP 200)"
+    assert row["error_message"] == "FetchError: s : HTTP 200 sans contenu"
+    (unknown,) = fetchlog.unknown_feed_runs(log_of(spark, *rows), feeds_of(spark, "s")).collect()
+    assert (unknown["feed_id"], unknown["run_id"], unknown["n_attempts"]) == (9, 1, 1)
+
+
+@pytest.mark.parametrize(
+    ("name", "codec", "warned"),
+    [("utf-8", "utf-8", False), ("iso-8859-1", "utf-8", True), ("windows-1252", "cp1252", False), ("ISO-8859-15", "iso-8859-15", False)],
+)
+def test_encodings_are_read_behind_padding(spark, name, codec, warned):
+    text = "dîner à 5 € – l’œuvre ž" if codec in ("utf-8", "cp1252") else "dîner à 5 € œuvre ž"
+    body = f"<?xml version='1.0' {' ' * 500} encoding='{name}' ?><rss/>{text}".encode(codec)
+    frame = spark.createDataFrame([(body,)], "body binary")
+    read, warning = pages.decode_body(F.col("body"))
+    row = frame.select(read.alias("t"), warning.alias("w")).first()
+    assert row["t"].endswith(f"<rss/>{text}") and (row["w"] is not None) == warned
 
 
 def test_validators_move_only_with_success(spark):
@@ -249,7 +267,7 @@ def check_stories(runs, articles, sightings):
     }
     assert runs[2, 1]["error_message"] == pages.ERROR_MALFORMED
     assert runs[3, 2]["error_message"] == "FetchError: relais : HTTP 503" and runs[3, 2]["http_status"] == 503
-    assert runs[3, 4]["error_message"] == "1 entree(s) ignoree(s)"
+    assert runs[3, 4]["error_message"] == "1 lien(s) inutilisable(s)"
     # The bound is what was known before the run, and its own page never enters it.
     assert utc(runs[1, 3]["prev_max_published"]) == at("2026-08-19T06:30:00")
     assert utc(runs[1, 3]["oldest_in_page"]) == NOW + timedelta(days=3)
