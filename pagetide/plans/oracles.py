@@ -541,6 +541,23 @@ SELECT event_id, CASE WHEN reliable AND NOT coalesce(degenerate, false) THEN 'pu
 FROM paged JOIN facts USING (page_id)""",
     "canonical_urls": f"""WITH {_CANONICAL}
 SELECT page_id, url_canonical, CAST(NULL AS VARCHAR) AS reject_reason FROM canonical""",
+    "canonical_variants": f"""WITH {_CANONICAL}, forms AS (
+  SELECT page_id % 13 AS form, p.* FROM parts p
+)
+SELECT page_id,
+  CASE WHEN form NOT IN (7, 10, 11, 12) THEN 'https://'
+    || CASE form WHEN 8 THEN 'xn--bcher-kva.' || lower((SELECT host FROM cut WHERE cut.page_id = forms.page_id)) ELSE host END
+    || CASE form WHEN 2 THEN ':8080' WHEN 9 THEN '/~z%2Fz' ELSE '' END
+    || CASE WHEN path = '' THEN '' ELSE '/' || path END
+    || CASE WHEN query = '' THEN '' ELSE '?' || query END END AS url_canonical,
+  CASE form WHEN 7 THEN 'scheme' WHEN 10 THEN 'port' WHEN 11 THEN 'missing' WHEN 12 THEN 'host' END AS reject_reason
+FROM forms""",
+    "embedding_fingerprint": """
+SELECT 'embeddings' AS table_name, count(*) AS n_rows,
+  CAST(sum(CAST(('0x' || substr(md5(
+    array_to_string(list_transform(embedding, lambda x: CAST(CAST(floor(CAST(x AS DOUBLE) * 1000000 + 0.5) AS BIGINT) AS VARCHAR)), ',')
+    || chr(31) || label || chr(31) || vec_id), 1, 15)) AS BIGINT)) AS VARCHAR) AS fingerprint
+FROM embeddings""",
     "canonical_duplicates": f"""WITH {_CANONICAL}
 SELECT url_canonical, count(*) AS n_pages, min(page_id) AS first_page_id FROM canonical GROUP BY url_canonical""",
     "content_hashes": f"""

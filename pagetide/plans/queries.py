@@ -310,6 +310,33 @@ def canonical_urls(spark: SparkSession, folder: str) -> DataFrame:
     return urls.canonicalize(pages, "url").select("page_id", "url_canonical", "reject_reason")
 
 
+def canonical_variants(spark: SparkSession, folder: str) -> DataFrame:
+    """The given addresses, written in thirteen ways that a canonical URL undoes or refuses."""
+    page = F.col("page_id") % 13
+    scheme = F.regexp_extract("url", "^(https?://)", 1)
+    host = F.regexp_extract("url", "^https?://([^/?#]*)", 1)
+    rest = F.regexp_extract("url", "^https?://[^/?#]*(.*)$", 1)
+    forms = {
+        1: (F.lit("http://"), host, F.lit(":443"), rest),
+        2: (scheme, host, F.lit(":8080"), rest),
+        3: (scheme, host, F.lit("/zig/.."), rest),
+        4: (scheme, host, F.lit("//."), rest),
+        5: (scheme, F.lit("nom:mot@"), host, rest),
+        6: (F.lit("//"), host, rest),
+        7: (F.lit("ftp://"), host, rest),
+        8: (scheme, F.lit("bücher."), host, rest),
+        9: (scheme, host, F.lit("/%7Ez%2fz"), rest),
+        10: (scheme, host, F.lit(":x9"), rest),
+        11: (F.lit("  "),),
+        12: (scheme, F.lit("/"), rest),
+    }
+    raw = F.col("url")
+    for number, parts in forms.items():
+        raw = F.when(page == number, F.concat(*parts)).otherwise(raw)
+    pages = roles.table(spark, folder, "pages").select("page_id", raw.alias("raw"))
+    return urls.canonicalize(pages, "raw").select("page_id", "url_canonical", "reject_reason")
+
+
 def canonical_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return canonical_urls(spark, folder).groupBy("url_canonical").agg(
         F.count(F.lit(1)).alias("n_pages"), F.min("page_id").alias("first_page_id")
@@ -552,7 +579,10 @@ def table_fingerprint(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def embedding_fingerprint(spark: SparkSession, folder: str) -> DataFrame:
-    return snapshot.fingerprint(roles.table(spark, folder, "embeddings"), "embeddings")
+    """Components as millionths: whole numbers print alike in every engine."""
+    scaled = F.transform("embedding", lambda x: F.floor(x.cast("double") * 1_000_000 + 0.5).cast("string"))
+    vectors = roles.table(spark, folder, "embeddings").withColumn("embedding", F.array_join(scaled, ","))
+    return snapshot.fingerprint(vectors, "embeddings")
 
 
 def purge_preview(spark: SparkSession, folder: str) -> DataFrame:
@@ -731,6 +761,7 @@ QUERIES: dict[str, Query] = {
     "degenerate_pages": degenerate_pages,
     "demoted_dates": demoted_dates,
     "canonical_urls": canonical_urls,
+    "canonical_variants": canonical_variants,
     "canonical_duplicates": canonical_duplicates,
     "content_hashes": content_hashes,
     "duplicate_texts": duplicate_texts,

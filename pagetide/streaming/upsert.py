@@ -26,7 +26,7 @@ from pagetide.operators.observe import (
     with_segment,
 )
 from pagetide.plans.ingest import Known, ingest
-from pagetide.streaming.deltas import exists, read_deltas, write_delta
+from pagetide.streaming.deltas import exists, mark_compacted, read_deltas, write_compacted, write_delta
 
 MAXIMA = T.StructType([T.StructField("feed_id", T.LongType()), T.StructField("max_published", T.TimestampType())])
 
@@ -126,18 +126,16 @@ def ingest_stream(
     return _run(log, state, work, available_now=available_now)
 
 
-def compact(spark: SparkSession, state: str, target: str, upto: int) -> None:
-    """Write the state of batches up to `upto` as one delta of a new state folder.
+def compact(spark: SparkSession, state: str, upto: int) -> None:
+    """Merge the batches up to `upto`, which must be finished, into one; the stream goes on from it.
 
-    Later batches are copied unchanged. The old folder is left as it is: readers move to the
-    new one when it is complete.
+    Run it between triggers or from the stream's driver. A crash before the mark leaves the
+    state as it was; batches are kept for replays until their owner removes them.
     """
     for table in ("segments", "sightings", "runs", "maxima"):
         if not exists(spark, _schema_folder(state, table)):
             continue
-        spark.read.text(_schema_folder(state, table)).write.text(_schema_folder(target, table))
-        deltas = _deltas(spark, state, table)
-        old, new = deltas.filter(F.col("batch") <= upto), deltas.filter(F.col("batch") > upto)
+        old = _deltas(spark, state, table, upto + 1)
         if table == "segments":
             old = merge_segments(old, "batch", "segment")
         elif table == "sightings":
@@ -145,5 +143,5 @@ def compact(spark: SparkSession, state: str, target: str, upto: int) -> None:
         elif table == "maxima":
             old = old.groupBy("feed_id").agg(F.max("max_published").alias("max_published"))
         columns = [field.name for field in _schema(spark, state, table)]
-        write_delta(old.select(*columns), target, table, upto)
-        new.write.mode("append").partitionBy("batch").parquet(f"{target}/{table}")
+        write_compacted(old.select(*columns), state, table, upto)
+    mark_compacted(spark, state, upto)
