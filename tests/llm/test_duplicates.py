@@ -127,7 +127,7 @@ def edited(draw, words, n):
 @pytest.mark.parametrize(("width", "percent"), [(3, 90), (5, 80)])
 def test_near_duplicates(spark, monkeypatch, width, percent):
     # small blocks and leaves, so that short lists are cut and descended as long ones are
-    for name, value in (("BLOCK", 16), ("LEAF", 4), ("FANOUT", 2)):
+    for name, value in (("BLOCK", 16), ("GROUP_BLOCK", 12), ("LEAF", 4), ("FANOUT", 2)):
         monkeypatch.setattr(jaccard_join, name, value)
     draw = random.Random(percent)
     rows = []
