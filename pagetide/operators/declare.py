@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 # Columns a declaration governs; any other column of a feed is kept.
 SYNCED = ("name", "url", "lang", "topic", "source_type")
+# What a synchronization can do with a feed.
+ACTIONS = ("created", "updated", "unchanged", "deactivated")
 
 
 def sync_actions(feeds: DataFrame, declarations: DataFrame) -> DataFrame:
@@ -32,9 +34,10 @@ def sync_actions(feeds: DataFrame, declarations: DataFrame) -> DataFrame:
 
 
 def sync_report(actions: DataFrame) -> DataFrame:
-    """Number of feeds per action."""
-    counts = actions.filter(F.col("action") != "absent").groupBy("action")
-    return counts.agg(F.count(F.lit(1)).alias("n_feeds"))
+    """Number of feeds per action, also of actions that nothing needed."""
+    counted = actions.agg(*(F.count_if(F.col("action") == name).alias(name) for name in ACTIONS))
+    rows = (F.struct(F.lit(name).alias("action"), F.col(name).alias("n_feeds")) for name in ACTIONS)
+    return counted.select(F.inline(F.array(*rows)))
 
 
 def apply_sync(feeds: DataFrame, declarations: DataFrame, now: Column) -> DataFrame:

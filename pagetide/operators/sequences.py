@@ -24,18 +24,18 @@ def time_segment(at: Column, seconds: int) -> Column:
 def successors(df: DataFrame, key: str, at: str, *, seconds: int = DAY) -> DataFrame:
     """Rows (key, start, end): each time of a key with the key's next one, NULL for the last."""
     cut = df.select(key, F.col(at).alias("start"), time_segment(F.col(at), seconds).alias("segment"))
-    within = W.partitionBy(key, "segment")
-    paired = cut.select(
-        "*",
-        F.lead("start").over(within.orderBy("start")).alias("end"),
-        F.min("start").over(within).alias("opens_at"),
+    # One row per segment: the first time of the key's next segment follows its last time.
+    following = (
+        cut.groupBy(key, "segment")
+        .agg(F.min("start").alias("opens_at"))
+        .select(key, "segment", F.lead("opens_at").over(W.partitionBy(key).orderBy("segment")).alias("beyond"))
     )
-    inside = paired.filter(F.col("end").isNotNull()).select(key, "start", "end")
-    # One row per segment: its last time, followed by the first time of the next segment.
-    crossing = paired.filter(F.col("end").isNull()).select(
-        key, "start", F.lead("opens_at").over(W.partitionBy(key).orderBy("segment")).alias("end")
+    inside = F.lead("start").over(W.partitionBy(key, "segment").orderBy("start"))
+    return (
+        cut.withColumn("inside", inside)
+        .join(following, [key, "segment"])
+        .select(key, "start", F.coalesce("inside", "beyond").alias("end"))
     )
-    return inside.unionByName(crossing)
 
 
 def running_max_before(
@@ -101,23 +101,32 @@ def grouped_median(df: DataFrame, key: str, value: str, into: str, *, width: int
 def cumulative_counts(points: DataFrame, at: str, weight: str, into: str, *, seconds: int = HOUR) -> DataFrame:
     """Distinct times with the total weight of all points up to and including each.
 
-    Points are summed per distinct time first, so neither a busy instant nor a busy hour can
-    grow a task; the totals of earlier slices are one row per slice of history.
+    Points are summed per distinct time first, so a busy instant is one row. Three levels add up:
+    slices of `seconds` over all history, seconds within a slice, times within a second. So only
+    the times of one second meet in a task.
     """
     distinct = (
         points.groupBy(at)
         .agg(F.sum(weight).alias("n"))
         .withColumn("segment", time_segment(F.col(at), seconds))
+        .withColumn("second", time_segment(F.col(at), 1))
     )
+    ticks = distinct.groupBy("segment", "second").agg(F.sum("n").alias("total"))
+    within = F.sum("total").over(W.partitionBy("segment").orderBy("second")) - F.col("total")
     # Bounded by the calendar: ten years of hours are 87,600 rows, whatever the data volume.
     slices = (
-        distinct.groupBy("segment")
-        .agg(F.sum("n").alias("total"))
+        ticks.groupBy("segment")
+        .agg(F.sum("total").alias("total"))
         .select("segment", (F.sum("total").over(W.orderBy("segment")) - F.col("total")).alias("before"))
     )
-    inner = F.sum("n").over(W.partitionBy("segment").orderBy(at))
+    earlier = (
+        ticks.withColumn("within", within)
+        .join(slices, "segment")
+        .select("second", (F.col("before") + F.col("within")).alias("earlier"))
+    )
+    inner = F.sum("n").over(W.partitionBy("second").orderBy(at))
     return (
         distinct.withColumn("inner", inner)
-        .join(slices, "segment")
-        .select(at, (F.col("before") + F.col("inner")).alias(into))
+        .join(earlier, "second")
+        .select(at, (F.col("earlier") + F.col("inner")).alias(into))
     )

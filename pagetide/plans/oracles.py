@@ -616,7 +616,9 @@ SELECT event_id, {_absolute('ts')} AS absolute, {_attribute('ts')} AS attribute,
        {_relative('age', f'({_NOW} - to_microseconds(age))')} AS relative, {_duration('age')} AS duration
 FROM aged""",
     "declaration_sync": f"WITH {_SYNC} SELECT slug, action FROM actions",
-    "sync_report": f"WITH {_SYNC} SELECT action, count(*) AS n_feeds FROM actions WHERE action <> 'absent' GROUP BY action",
+    "sync_report": f"""WITH {_SYNC}
+SELECT name AS action, (SELECT count(*) FROM actions WHERE action = name) AS n_feeds
+FROM (VALUES ('created'), ('updated'), ('unchanged'), ('deactivated')) AS a(name)""",
     "synced_feeds": f"""WITH {_SYNC}
 SELECT slug, CASE WHEN action IN ('created', 'updated') THEN new_name ELSE old_name END AS name, lang,
        CASE WHEN action IN ('created', 'updated') THEN true WHEN action = 'deactivated' THEN false
@@ -745,3 +747,6 @@ SELECT feed_id, v.etag AS etag, v.last_modified AS last_modified FROM (
                  struct_pack(ts := ts, id := event_id)) AS v
   FROM events WHERE event_type IN ('click', 'purchase') GROUP BY user_id)""",
 }
+
+# The stream must store what the batch computes.
+ORACLES["stream_ingest"] = ORACLES["ingest_documents"]

@@ -206,7 +206,15 @@ def run_new_seen(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def prev_max_by_run(spark: SparkSession, folder: str) -> DataFrame:
-    log = roles.observations(spark, folder)
+    # One row per feed, run and URL, written once: everything below is derived from it.
+    first = F.min(F.struct("seq", "published_at", "date_source")).alias("first")
+    log = ingest.stage(
+        roles.observations(spark, folder)
+        .groupBy("feed_id", "run_id", "url_canonical")
+        .agg(first)
+        .select("feed_id", "run_id", "url_canonical", "first.*"),
+        shared_folder(spark, "prev-max"),
+    )
     sighted = log.groupBy("url_canonical", "feed_id").agg(F.min_by("run_id", "seq").alias("run_id"))
     frozen = (
         log.groupBy("url_canonical")
@@ -702,7 +710,29 @@ def ingest_documents(spark: SparkSession, folder: str) -> DataFrame:
         roles.document_feeds(spark, folder),
         shared_folder(spark, "ingest"),
     )
-    return done.runs.select(
+    return _run_columns(done.runs)
+
+
+def stream_ingest(spark: SparkSession, folder: str) -> DataFrame:
+    """The same log, arriving in three batches, with a compaction after which the stream goes on."""
+    base = shared_folder(spark, "stream-ingest")
+    feeds = roles.document_feeds(spark, folder)
+    log = ingest.stage(roles.document_log(spark, folder), f"{base}/log")
+    # Runs are numbered in the order of their time; the cuts are thirds of that range.
+    last = log.agg(F.max("run_id").alias("last")).first()["last"] or 0
+    third = last // 3 + 1
+    for batch in range(3):
+        log.filter(F.floor(F.col("run_id") / third) == batch).write.mode("append").parquet(f"{base}/landed")
+        upsert.ingest_stream(
+            fetchlog.stream_fetch_log(spark, f"{base}/landed"), feeds, f"{base}/state"
+        ).awaitTermination()
+        if batch == 1:
+            upsert.compact(spark, f"{base}/state", batch)
+    return _run_columns(upsert.stored_runs(spark, f"{base}/state"))
+
+
+def _run_columns(runs: DataFrame) -> DataFrame:
+    return runs.select(
         "feed_id",
         "run_id",
         "status",
@@ -786,6 +816,7 @@ QUERIES: dict[str, Query] = {
     "page_encodings": page_encodings,
     "validators": validators,
     "ingest_documents": ingest_documents,
+    "stream_ingest": stream_ingest,
     "stream_upsert": stream_upsert,
     "stream_attempts": stream_attempts,
 }

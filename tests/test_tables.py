@@ -132,7 +132,7 @@ def test_sync_and_its_idempotence(spark):
     assert rows["renamed"]["name"] == "New name" and rows["renamed"]["feed_id"] == 2
     assert utc(rows["same"]["updated_at"]) == NOW and utc(rows["gone"]["updated_at"]) == NOW + timedelta(1)
     again = {r["action"]: r["n_feeds"] for r in declare.sync_report(declare.sync_actions(synced, declared)).collect()}
-    assert again == {"unchanged": 4}
+    assert again == {"created": 0, "updated": 0, "unchanged": 4, "deactivated": 0}
     found, missing = declare.match_declarations(declared, stored)
     assert found.count() == 3 and [r["id"] for r in missing.collect()] == ["fresh"]
 
