@@ -91,6 +91,29 @@ def unknown_feed_runs(log: DataFrame, feeds: DataFrame) -> DataFrame:
     )
 
 
+def updated_feeds(feeds: DataFrame, runs: DataFrame) -> DataFrame:
+    """The feed table after these runs: validators and `updated_at` of each feed's last success."""
+    moved = (
+        runs.filter(F.col("status") == "ok")
+        .groupBy("feed_id")
+        .agg(
+            F.max_by(
+                F.struct("etag", "last_modified", F.col("finished_at").alias("updated_at")),
+                F.struct("started_at", "run_id"),
+            ).alias("__success")
+        )
+    )
+
+    def after(column: str) -> Column:
+        new = F.col(f"__success.{column}")
+        return F.when(F.col("__success").isNotNull(), new).otherwise(F.col(column)).alias(column)
+
+    governed = ("etag", "last_modified", "updated_at")
+    return feeds.join(moved, "feed_id", "left").select(
+        *(after(c) if c in governed else F.col(c) for c in feeds.columns)
+    )
+
+
 def current_validators(runs: DataFrame) -> DataFrame:
     """Validators each feed's next request must send: those of its last successful run.
 

@@ -1,6 +1,6 @@
-"""Page documents: RSS 2.0 and Atom bodies to entry rows.
+"""Page documents: RSS (0.9x, 1.0, 2.0) and Atom bodies to entry rows.
 
-Documents are parsed by `from_xml` with one schema for both formats, where the rows are; only
+Documents are parsed by `from_xml` with one schema for all formats, where the rows are; only
 entries leave the stage. A document that cannot be parsed yields an error as a whole page,
 never part of its entries.
 """
@@ -26,11 +26,15 @@ _ATOM_ENTRY = (
     "summary string, content array<string>>"
 )
 # The column of malformed records must come last.
-DOCUMENT = f"channel struct<title string, item array<{_RSS_ITEM}>>, entry array<{_ATOM_ENTRY}>, _corrupt string"
+# RSS 1.0 has its items beside the channel, older and newer dialects within it.
+DOCUMENT = (
+    f"channel struct<title string, item array<{_RSS_ITEM}>>, item array<{_RSS_ITEM}>, "
+    f"entry array<{_ATOM_ENTRY}>, _corrupt string"
+)
 _OPTIONS = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
 
 _ROOT = r"(?s)^\s*(?:<\?.*?\?>\s*|<!--.*?-->\s*|<!DOCTYPE[^>]*>\s*)*<([A-Za-z][\w:.\-]*)"
-_FEED_ROOTS = ("rss", "feed")
+_FEED_ROOTS = ("rss", "feed", "rdf:RDF")
 # The declaration is read to its end, however far it is padded.
 _DECLARED_ENCODING = r"""^\ufeff?\s*<\?xml[^>]*?encoding\s*=\s*["']([\w.\-]+)["']"""
 BYTE_ORDER_MARK = "\ufeff"
@@ -125,6 +129,7 @@ def parse_documents(pages: DataFrame, body: str = "body") -> DataFrame:
     )
     items = F.concat(
         F.coalesce(F.transform("__doc.channel.item", _from_rss), F.array()),
+        F.coalesce(F.transform("__doc.item", _from_rss), F.array()),
         F.coalesce(F.transform("__doc.entry", _from_atom), F.array()),
     )
     return (

@@ -215,6 +215,35 @@ def test_encodings_are_read_behind_padding(spark, name, codec, warned):
     assert row["t"].endswith(f"<rss/>{text}") and (row["w"] is not None) == warned
 
 
+def test_rss_1_has_its_items_beside_the_channel(spark):
+    body = (
+        "<?xml version='1.0'?><rdf:RDF xmlns:rdf='http://www.w3.org/1999/02/22-rdf-syntax-ns#' xmlns='http://purl.org/rss/1.0/' "
+        "xmlns:dc='http://purl.org/dc/elements/1.1/'><channel><title>c</title></channel>"
+        "<item><title>Premier</title><link>https://un.test/a</link><dc:date>2024-05-01T10:00:00Z</dc:date></item>"
+        "<item><title>Second</title><link>https://un.test/b</link></item></rdf:RDF>"
+    )
+    frame = spark.createDataFrame([(1, bytearray(body.encode()))], "page long, body binary")
+    rows = pages.explode_entries(pages.parse_documents(frame)).orderBy("entry_pos").collect()
+    assert [(r["title"], r["url_original"], r["updated"]) for r in rows] == [
+        ("Premier", "https://un.test/a", "2024-05-01T10:00:00Z"), ("Second", "https://un.test/b", None)
+    ]
+
+
+def test_feeds_after_runs(spark):
+    feeds = spark.createDataFrame(
+        [(1, "a", "e0", "l0", NOW), (2, "b", "e0", None, NOW), (3, "c", "e0", "l0", NOW)],
+        "feed_id long, slug string, etag string, last_modified string, updated_at timestamp",
+    )
+    later = NOW + timedelta(1)
+    runs = spark.createDataFrame(
+        [(1, 1, NOW, NOW, "ok", "old", None), (1, 2, later, later, "ok", None, "l1"), (2, 1, later, later, "error", "x", "x")],
+        "feed_id long, run_id long, started_at timestamp, finished_at timestamp, status string, etag string, last_modified string",
+    )
+    rows = {r["feed_id"]: r for r in fetchlog.updated_feeds(feeds, runs).collect()}
+    assert (rows[1]["etag"], rows[1]["last_modified"], utc(rows[1]["updated_at"])) == (None, "l1", later)
+    assert [(rows[k]["etag"], utc(rows[k]["updated_at"])) for k in (2, 3)] == [("e0", NOW), ("e0", NOW)]
+
+
 def test_validators_move_only_with_success(spark):
     rows = [
         (1, 1, NOW, "ok", "v1"), (1, 2, NOW + timedelta(1), "error", "v2"), (1, 3, NOW + timedelta(2), "not_modified", None),
