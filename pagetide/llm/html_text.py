@@ -28,6 +28,7 @@ from pagetide.llm.common import table
 
 WINDOW = 3  # lines in a block
 SURGE = 86  # characters that a block needs, where no article is marked
+SHORT = 40  # characters of a line that may stand at the edge of the text
 LINKED = 0.5  # share of link text from which a line is a menu
 
 # Element names of HTML by their role here.
@@ -41,15 +42,18 @@ _VOID = frozenset("area base br col embed hr img input link meta source track wb
 _ASIDE = frozenset("nav footer aside form dialog menu search fieldset".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu".split())
 _NAMES = frozenset(
-    """ad ads adv advert adverts advertisement adsense banner breadcrumb breadcrumbs comment comments
-    consent cookie cookies copyright disqus footer gdpr header hidden login masthead menu modal nav navbar
-    navigation newsletter notice pager pagination popup promo promoted promotion recommended related
-    replies reply respond share sharing sidebar signup skip social sponsor sponsored subscribe toolbar
-    widget""".split()
+    """ad adbox ads adv advert advertisement advertisements advertising adverts adsense alert banner breadcrumb
+    breadcrumbs comment commentform commentlist comments consent cookie cookiebar cookies copyright disclaimer
+    discussion disqus feedback footer gdpr header hidden legal login masthead menu menubar modal nav navbar
+    navigation newsletter notice notices pager pagination popup promo promoted promotion recommended related
+    replies reply respond response responses share sharing sidebar signup sitenav skip social sponsor sponsored
+    sponsors subscribe subscription toolbar topbar topnav widget widgets""".split()
 )
 # "has-sidebar" and the like name what a wrapper holds, not what it is
 _WRAPS = frozenset("with without has no main".split())
 
+_ENDS = tuple(".!?…:;\"'”’»)")
+
 _TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<({_RAW})\b[^>]*(?:>.*?(?:</\1\s*>|\Z)|\Z)|<(/?)([a-z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)",
     re.IGNORECASE | re.DOTALL,
@@ -79,9 +83,12 @@ def _beside(name: str, attributes: str, inside: bool) -> bool:
     return False
 
 
-def lines_of(page: str) -> tuple[list[tuple[str, float, bool]], bool]:
-    """(text, link share, inside an article) of each block outside the side matter; any article?"""
-    lines: list[tuple[str, float, bool]] = []
+def lines_of(page: str) -> tuple[list[tuple[str, float, bool, str]], bool]:
+    """(text, link share, inside an article, element) of each block; any article?
+
+    What stands beside the article leaves its block without text.
+    """
+    lines: list[tuple[str, float, bool, str]] = []
     stack: list[tuple[str, bool, bool, bool]] = []  # name, beside, inside, linked
     text: list[str] = []
     plain = linked = 0
@@ -91,16 +98,12 @@ def lines_of(page: str) -> tuple[list[tuple[str, float, bool]], bool]:
         nonlocal plain, linked
         whole = " ".join(html.unescape("".join(text)).split())
         text.clear()
-        if whole and not was_beside:
-            lines.append((whole, linked / max(1, plain + linked), was_inside))
-        else:
-            lines.append(("", 0.0, was_inside))
+        lines.append((whole, linked / max(1, plain + linked), inside, stack[-1][0] if stack else ""))
         plain = linked = 0
 
-    was_beside = was_inside = False
     at = 0
     for token in _TOKEN.finditer(page):
-        if token.start() > at:
+        if token.start() > at and not beside:
             piece = page[at : token.start()]
             text.append(piece)
             length = len(piece.strip())
@@ -114,7 +117,6 @@ def lines_of(page: str) -> tuple[list[tuple[str, float, bool]], bool]:
             text.append(" ")
             continue
         if name in _BLOCKS:
-            was_beside, was_inside = beside, inside
             end_line()
         if token[2]:
             for k in range(len(stack) - 1, -1, -1):
@@ -129,19 +131,31 @@ def lines_of(page: str) -> tuple[list[tuple[str, float, bool]], bool]:
             marked = marked or inside_now and not beside_now
             stack.append((name, beside_now, inside_now and not beside_now, link or name == "a"))
         _, beside, inside, link = stack[-1] if stack else ("", False, False, False)
-    text.append(page[at:])
-    was_beside, was_inside = beside, inside
+    if not beside:
+        text.append(page[at:])
     end_line()
     return lines, marked
 
 
+def _edges(lines: list[tuple[str, float, bool, str]]) -> list[str]:
+    """Texts of a stretch whose borders the window blurs: from its main heading, else its first
+    long line and the heading before it, to the last line that is long or ends like a sentence."""
+    texts = [text for text, *_ in lines]
+    full = [k for k, text in enumerate(texts) if len(text) >= SHORT or text[-1:] in _ENDS]
+    first = full[0] if full else 0
+    heads = [k for k, line in enumerate(lines) if line[3] == "h1"]
+    heads += [k for k, line in enumerate(lines[:first]) if line[3] in ("h2", "h3")]
+    start = heads[0] if heads else first
+    return texts[start : full[-1] + 1 if full and full[-1] >= start else len(texts)]
+
+
 def main_text(page: str) -> str:
     lines, marked = lines_of(page)
-    marked = marked and any(text and inside for text, _, inside in lines)
+    marked = marked and any(text and inside for text, _, inside, _ in lines)
     if marked:  # inside an article every word counts, a line of links included
-        weights = [len(text) if inside else 0 for text, _, inside in lines]
+        weights = [len(text) if inside else 0 for text, _, inside, _ in lines]
     else:
-        weights = [len(text) if share < LINKED else 0 for text, share, _ in lines]
+        weights = [len(text) if share < LINKED else 0 for text, share, *_ in lines]
     blocks = [sum(weights[i : i + WINDOW]) for i in range(len(weights))]
     surge = 1 if marked else min(SURGE, max(blocks, default=0))
     kept, i = [], 0
@@ -152,7 +166,8 @@ def main_text(page: str) -> str:
         dive = i
         while dive < len(blocks) and blocks[dive]:
             dive += 1
-        kept += [lines[k][0] for k in range(i, dive) if weights[k]]
+        stretch = [lines[k] for k in range(i, dive) if weights[k]]
+        kept += [text for text, *_ in stretch] if marked else _edges(stretch)
         i = dive
     return "\n".join(kept)
 

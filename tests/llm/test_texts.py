@@ -143,6 +143,8 @@ PAGES = [
     (f"<html><head><title>T</title><style>p{{}}</style></head><body>{MENU}<article><h1>Head &amp; line</h1><p>One <b>bo</b>ld\n  line<br>more<p>Two &lt;b&gt; &eacute;&#8364;</article>{COMMENTS}<footer>&copy; all</footer>", "Head & line\nOne bold line more\nTwo <b> é€"),
     (f"<body><header><h2>Site</h2></header>{MENU}<main><header><h1>Own title</h1></header><div class=\"ad\">Buy now</div><p>Text.</p><aside>See also</aside><p>End.</p><form><label>Mail</label><input></form></main><script>var a='</p><p>no';</script>", "Own title\nText.\nEnd."),
     ("<article><p>cut in a ta<b", "cut in a ta"),
+    ("<article><p>kept <span class='ad'>not kept</span>and kept</p><ol class=commentlist><li>no</ol></article>", "kept and kept"),
+    (f"<body><div>Site name</div><div>Today</div><div><h1>A title</h1><p>{'Long text of it. ' * 9}</p><p>Fin.</p></div><div>Imprint</div>", "A title\n" + ("Long text of it. " * 9).strip() + "\nFin."),
     ("<article><p>seen<!-- never closed <p>hidden", "seen"),
     ("<article><p>a &lt; b < c</p><p hidden>not shown</p><p style='display: none'>nor this</p></article>", "a < b < c"),
     (f"<body><div class='cookie-notice'>We use cookies on this site, and that takes a long, long sentence to say.</div>{MENU}<div class='page has-sidebar'><h1>The name of it</h1><p>{'Many words are written here. ' * 8}</p><p>Short.</p></div><div id=\"sidebar\"><p>{'Other stories that we have. ' * 9}</p></div>{COMMENTS}", "The name of it\n" + ("Many words are written here. " * 8).strip() + "\nShort."),
