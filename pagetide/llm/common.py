@@ -2,32 +2,29 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from pagetide.session import shared_folder
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
-def working_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; only where none is named, one of our own."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return (root or "/tmp/checkpoints").rstrip("/")
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write the rows to the shared folder once and go on from there.
 
     A lost executor then costs a read of files, not a repetition of everything before.
     """
     spark = df.sparkSession
-    path = f"{working_folder(spark)}/llm/{name}-{uuid.uuid4().hex}"
+    path = shared_folder(spark, f"llm/{name}")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -47,36 +44,37 @@ def pieces(batches: Iterable[pa.RecordBatch], column: str, size: int = 1 << 20)
     for batch in batches:
         if not batch.num_rows:
             continue
-        lengths = batch.column(column).cast(pa.binary()).to_pandas().str.len().fillna(0).to_numpy()
-        cut = np.cumsum(lengths) // size
+        lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        cut = np.cumsum(lengths, dtype=np.int64) // size
         starts = np.concatenate(([0], np.flatnonzero(np.diff(cut)) + 1, [batch.num_rows])).astype(int)
         for a, b in zip(starts[:-1], starts[1:], strict=True):
             if b > a:
                 yield batch.slice(a, b - a)
 
 
-def bit_map(keys: DataFrame, column: str, bits: int) -> np.ndarray:
+MAP_BITS = 26
+
+
+def bit_map(keys: DataFrame, column: str, bits: int = MAP_BITS) -> np.ndarray:
     """A bounded picture of a set of longs: one bit for each residue of a hash that occurs.
 
-    The picture takes 2**bits / 8 bytes, whatever the number of keys, so it may be sent to
-    every task; a key of the set always finds its bit, others do with the share of set bits.
+    The picture takes 2**bits / 8 bytes (8 MB), whatever the number of keys, so it may be sent
+    to every task; a key of the set always finds its bit, others do with the share of set bits.
     Slices are built by the executors, the driver only puts them side by side.
     """
     block = 16
     index = F.shiftrightunsigned(F.xxhash64(column), 64 - bits)
     slots = keys.select(index.alias("slot")).distinct()
 
-    def fold(pdf):
-        import pandas as pd
-
-        slots = pdf["slot"].to_numpy()
+    def fold(rows: pa.Table) -> pa.Table:
+        found = rows["slot"].to_numpy()
         low = np.zeros(1 << block, dtype=np.uint8)
-        low[slots & ((1 << block) - 1)] = 1
-        return pd.DataFrame({"part": [int(slots[0] >> block)], "bytes": [np.packbits(low).tobytes()]})
+        low[found & ((1 << block) - 1)] = 1
+        return pa.table({"part": [int(found[0] >> block)], "bytes": [np.packbits(low).tobytes()]})
 
     rows = (
         slots.groupBy(F.shiftright("slot", block).alias("part_key"))
-        .applyInPandas(fold, "part long, bytes binary")
+        .applyInArrow(fold, "part long, bytes binary")
         .collect()
     )
     whole = np.zeros(1 << max(0, bits - 3), dtype=np.uint8)
@@ -86,17 +84,27 @@ def bit_map(keys: DataFrame, column: str, bits: int) -> np.ndarray:
     return whole
 
 
-def on_map(column: str, picture, bits: int):
+def on_map(column: str, picture, bits: int = MAP_BITS):
     """Is the bit of this long set? `picture` is a broadcast `bit_map` of the same width."""
 
-    @F.pandas_udf("boolean")
-    def test(slot):
-        import pandas as pd
-
+    @F.arrow_udf(T.BooleanType())
+    def test(slot: pa.Array) -> pa.Array:
         slots = slot.to_numpy()
-        return pd.Series((picture.value[slots >> 3] >> (7 - (slots & 7)) & 1).astype(bool))
+        return pa.array((picture.value[slots >> 3] >> (7 - (slots & 7)) & 1).astype(bool))
 
     return test(F.shiftrightunsigned(F.xxhash64(column), 64 - bits))
 
 
+def without(docs: DataFrame, ids: DataFrame, column: str = "doc_id") -> DataFrame:
+    """The rows whose id is not among `ids`.
+
+    Rows off the bounded picture of the ids stay where they are; only the others, about as many
+    as there are ids, are shuffled for the join that decides.
+    """
+    dropped = written(ids.select(column).filter(F.col(column).isNotNull()).distinct(), "dropped")
+    hit = on_map(column, docs.sparkSession.sparkContext.broadcast(bit_map(dropped, column)))
+    doubtful = docs.filter(hit).join(dropped, column, "left_anti").select(docs.columns)
+    return docs.filter(~hit).unionAll(doubtful)
+
+
 Query = Callable[[SparkSession, str], DataFrame]

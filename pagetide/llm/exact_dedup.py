@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagetide.llm.common import as_bytes, partitions_of, table, written
+from pagetide.llm.common import as_bytes, partitions_of, table, without, written
 
 QUOTIENT_BITS = 26  # the merged filter's map of repeated quotients: 8 MB at any size
 
@@ -166,8 +166,7 @@ def keep_last(docs: DataFrame, id_column: str = "doc_id", text_column: str = "te
     Rows of texts that occur once pass; a join by id is needed only for ids to drop.
     """
     dropped = exact_groups(docs, id_column, text_column).filter(~F.col("kept"))
-    dropped = dropped.select(F.col("id").alias(id_column)).distinct()
-    return docs.join(dropped, id_column, "left_anti").select(docs.columns)
+    return without(docs, dropped.select(F.col("id").alias(id_column)), id_column)
 
 
 def op5_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
