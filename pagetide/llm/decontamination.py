@@ -2,7 +2,7 @@
 
 Items and documents are normalised alike: A-Z in lower case, everything that is neither a
 digit, a-z nor outside ASCII is a separator. The automaton reads word numbers, so one pass
-over a document finds every window; byte offsets stay those of the original, because
+over a document, from run to run of words that items have, finds every window; byte offsets stay those of the original, because
 normalising replaces bytes one by one.
 
 An automaton holds `SLICE_WORDS` words of items at most; a larger benchmark is cut into slices
@@ -56,16 +56,20 @@ class Windows:
             self.automaton.add_word(row, (len(row), frozenset(n for n in names if n is not None)))
         if found:
             self.automaton.make_automaton()
-        self.some = bool(found)
+        # a window lies within a run of words that items have
+        least = min(map(len, found), default=1)
+        self.runs = re.compile(b"\x01{%d,}" % least) if found else None
 
     def scan(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
         """Ranges of words (end exclusive, joined where they touch) inside windows, and the items."""
         ranges, items = [], set()
-        if self.some and words:
-            number = self.numbers.get
-            for end, (length, names) in self.automaton.iter(tuple([number(w, 0) for w in words])):
+        known = bytes(map(self.numbers.__contains__, words)) if self.runs else b""
+        for run in self.runs.finditer(known) if known else ():
+            offset = run.start()
+            part = tuple(map(self.numbers.__getitem__, words[offset : run.end()]))
+            for end, (length, names) in self.automaton.iter(part):
                 items |= names
-                start, end = end - length + 1, end + 1
+                start, end = offset + end - length + 1, offset + end + 1
                 while ranges and ranges[-1][1] >= start:
                     start = min(start, ranges.pop()[0])
                 ranges.append((start, end))
