@@ -10,6 +10,9 @@ which a logistic curve fitted on the same sample turns into a chance.
 
 The sample is bounded: `SAMPLE` documents of each label, chosen by a hash of their text's
 smallest three-word run, one for each such value, so that copies do not count as evidence.
+Every chosen document is learned from. Token labels and the logistic curve read the whole of
+it; the chains read the whole of it too, unless those of a label have over `SAMPLE_WORDS` words
+together: then the documents above an equal allowance of words give pieces at random places.
 Scoring reads every word of every document.
 
 Defined results: null and word-less texts get the score of an empty sum; without labels of
@@ -22,6 +25,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +37,8 @@ from pyspark.sql import types as T
 from pagetide.llm.common import pieces, table
 
 SAMPLE = 3000  # labelled documents of each kind that the model is fitted on, at most
-SAMPLE_WORDS = 1_500_000  # and words of each kind
+SAMPLE_WORDS = 1_500_000  # and words of each kind in the chains, at most; long documents give pieces
+PIECE = 1000  # words of such a piece
 DIMENSIONS = 1 << 18
 FEATURES = 6
 EVIDENT, OFTENER = 8.0, 5.0  # log likelihood ratio, and how much oftener in toxic documents
@@ -135,24 +140,52 @@ def _labelled_words(docs: list[list[int]], table_: np.ndarray, toxic: np.ndarray
     return [marking[types] & bool(label) for types, label in zip(docs, toxic, strict=True)]
 
 
+def allowance(lengths: np.ndarray, most: int) -> int:
+    """The largest number of words that each document may give without all giving over `most`; 1 at least."""
+    low, high = 1, max(1, int(lengths.max(initial=1)))
+    while low < high:
+        middle = (low + high + 1) // 2
+        low, high = (middle, high) if np.minimum(lengths, middle).sum() <= most else (low, middle - 1)
+    return low
+
+
+def chains_of(lengths: np.ndarray, toxic: np.ndarray, most: int, random: np.random.Generator) -> list[tuple[int, int, int]]:
+    """(document, first, end) of the words to learn from; each document with words has a part."""
+    given = [allowance(lengths[toxic == kind], most) for kind in (0, 1)]
+    parts = []
+    for d, (n, kind) in enumerate(zip(lengths.tolist(), toxic.tolist(), strict=True)):
+        if n <= given[kind]:
+            parts += [(d, 0, n)] if n else []
+            continue
+        size = min(PIECE, given[kind])
+        # equal steps from a random start; what the start leaves over is a place of its own
+        start = int(random.integers(size))
+        places = [(max(0, a), min(n, a + size)) for a in range(start - size, n, size) if a + size > 0]
+        for k in sorted(random.choice(len(places), given[kind] // size, replace=False).tolist()):
+            parts.append((d, *places[k]))
+    return parts
+
+
 def fit(texts: list[str], toxic: np.ndarray, counts: np.ndarray, seed: int = 7) -> dict[str, np.ndarray]:
     """Weights, moves and the logistic curve, by Adagrad on the conditional likelihood."""
     number: dict[str, int] = {}
-    docs = [np.array([number.setdefault(w, len(number)) for w in _WORD.findall(t.lower())], dtype=np.int64) for t in texts]
-    table_ = np.array([features_of(w) for w in number], dtype=np.int64).reshape(-1, FEATURES)
+    docs = [np.array([number.setdefault(w, len(number)) for w in _WORD.findall(t.lower())], dtype=np.int32) for t in texts]
+    hashed = chain.from_iterable(map(features_of, number))
+    table_ = np.fromiter(hashed, np.int32, FEATURES * len(number)).reshape(-1, FEATURES)
+    del number
     labels = _labelled_words(docs, table_, toxic)
     w, square = np.zeros(DIMENSIONS), np.full(DIMENSIONS, 1e-6)
     bias, moves = -4.0, np.zeros((2, 2))
     bias_square, moves_square = 1e-6, np.full((2, 2), 1e-6)
     random = np.random.default_rng(seed)
-    some = [k for k in range(len(docs)) if len(docs[k])]
+    chains = chains_of(np.array([len(d) for d in docs]), toxic, SAMPLE_WORDS, random)
     for _ in range(EPOCHS):
-        order = random.permutation(some)
+        order = random.permutation(len(chains))
         for k in range(0, len(order), BATCH):
-            part = order[k : k + BATCH]
-            types, at = np.unique(np.concatenate([docs[d] for d in part]), return_inverse=True)
-            y = np.concatenate([labels[d] for d in part])
-            lengths = np.array([len(docs[d]) for d in part])
+            part = [chains[c] for c in order[k : k + BATCH]]
+            types, at = np.unique(np.concatenate([docs[d][a:b] for d, a, b in part]), return_inverse=True)
+            y = np.concatenate([labels[d][a:b] for d, a, b in part])
+            lengths = np.array([b - a for _, a, b in part])
             starts = np.zeros(len(at), dtype=bool)
             starts[np.cumsum(lengths) - lengths] = True
             scores = (w[table_[types]].sum(axis=1) + bias)[at]
@@ -180,7 +213,8 @@ def fit(texts: list[str], toxic: np.ndarray, counts: np.ndarray, seed: int = 7)
             moves_square += turn**2
             moves -= 0.3 * RATE * turn / np.sqrt(moves_square)
     model = {"w": w.astype(np.float32), "bias": np.array(bias), "moves": np.exp(moves)}
-    x = np.array([evidence(score_words(t, model)) for t in texts])
+    cache = WordScores(model)
+    x = np.array([evidence(score_words(t, model, cache)) for t in texts])
     model["curve"] = _curve(x, toxic, counts)
     return model
 
@@ -229,7 +263,7 @@ def _named(labels: DataFrame) -> DataFrame:
 
 
 def sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame:
-    """(toxic, text): at most `most` labelled documents of each kind, distinct by a hash of runs."""
+    """(toxic, text, run): at most `most` labelled documents of each kind, distinct by a hash of runs."""
 
     @F.arrow_udf(T.LongType())
     def least_run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -250,7 +284,7 @@ def sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame:
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     keyed = texts.withColumn("run", least_run("text")).dropDuplicates(["toxic", "run"])
     ordered = [
-        keyed.filter(F.col("toxic") == kind).orderBy(F.xxhash64("run"), "run").limit(most).select("toxic", "text")
+        keyed.filter(F.col("toxic") == kind).orderBy(F.xxhash64("run"), "run").limit(most).select("toxic", "text", "run")
         for kind in (0, 1)
     ]
     return ordered[0].unionAll(ordered[1])
@@ -262,15 +296,10 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> dict[str, n
     counts = np.array([sum(r["count"] for r in kinds if r.toxic == k) for k in (0, 1)], dtype=float)
 
     def fitted(rows: pa.Table) -> pa.Table:
-        kept = sorted(zip(rows["toxic"].to_pylist(), rows["text"].to_pylist(), strict=True), key=lambda r: (r[0], r[1] or ""))
-        texts, toxic, words = [], [], [0, 0]
-        for label, text in kept:
-            words[label] += len(text or "") // 6
-            if words[label] <= SAMPLE_WORDS or label not in toxic:
-                texts.append(text or "")
-                toxic.append(label)
-        y = np.array(toxic)
-        if len(set(toxic)) < 2:
+        rows = rows.sort_by([("toxic", "ascending"), ("run", "ascending")])  # unique; only for equal results of reruns
+        texts = [text or "" for text in rows["text"].to_pylist()]
+        y = np.array(rows["toxic"].to_pylist())
+        if len(set(y.tolist())) < 2:
             return pa.table({"name": ["share"], "value": [np.array([y.mean()]).astype("<f8").tobytes()]})
         model = fit(texts, y, counts)
         return pa.table({"name": list(model), "value": [v.astype("<f4" if k == "w" else "<f8").tobytes() for k, v in model.items()]})

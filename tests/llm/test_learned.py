@@ -142,6 +142,45 @@ def test_learns_words_and_stems(spark):
     assert all(r.held_out == out(r.doc_id, 5, 0) for r in rows_.values())
 
 
+def test_one_huge_text_hides_no_other(spark, monkeypatch):
+    """Labelled texts that sort behind a huge one, those of other scripts included, are learned from."""
+    monkeypatch.setattr(toxicity, "SAMPLE_WORDS", 20_000)
+    draw = random.Random(6)
+    rows, labels = [], []
+    for k in range(240):
+        script, vile = (("w", "vile"), ("слово", "гадость"))[k % 2]
+        words = [f"{script}{draw.randrange(300)}" for _ in range(draw.randrange(5, 40))]
+        toxic = k % 6 < 2
+        if toxic:
+            for _ in range(3):
+                words.insert(draw.randrange(len(words)), vile)
+        rows.append((k, " ".join(words)))
+        labels.append((k, int(toxic)))
+    for toxic in (0, 1):
+        i = next(i for i in range(900 + toxic * 50, 1000) if not out(i, 5, 0))
+        rows.append((i, " ".join(["a", *(f"w{draw.randrange(300)}" for _ in range(60_000)), *["vile"] * toxic])))
+        labels.append((i, toxic))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: r.predicted for r in toxicity.toxicity(docs, spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
+    held = [(k, t) for k, t in labels if out(k, 5, 0)]
+    assert len(held) > 30 and all(found[k] == t for k, t in held)
+
+
+def test_chains_leave_no_document_out():
+    draw = np.random.default_rng(1)
+    lengths = np.array([0, 5, 9_000_000, 40, 3000, 2_500_000, 7, 0, 1, 4000])
+    toxic = np.array([0, 0, 0, 0, 0, 1, 1, 1, 1, 1])
+    parts = toxicity.chains_of(lengths, toxic, 50_000, draw)
+    assert {d for d, _, _ in parts} == set(np.flatnonzero(lengths).tolist())
+    assert all(0 <= a < b <= lengths[d] for d, a, b in parts)
+    given = np.bincount([d for d, _, _ in parts], [b - a for _, a, b in parts], minlength=10)
+    small = lengths < 5000
+    assert (given[small] == lengths[small]).all()
+    assert all(45_000 <= given[toxic == k].sum() <= 50_000 for k in (0, 1))
+    # with room for all, each document is one chain
+    assert toxicity.chains_of(lengths, toxic, 10**8, draw) == [(d, 0, n) for d, n in enumerate(lengths.tolist()) if n]
+
+
 def test_toxicity_without_labels(spark, odd, nothing):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert {(r.score, r.predicted) for r in toxicity.toxicity(odd, none).collect()} == {(0.0, 0)}
