@@ -2,10 +2,14 @@
 
 Markup is stripped into lines, one for each block of the page in page order. The weight of a
 line is the length of its text; lines made of links and lines inside elements that announce
-themselves as navigation, notices, adverts, forms or comments weigh nothing, and where the
-page marks an article, so do lines outside it. Summed over a sliding window of lines, the
-weights rise steeply where the article begins (surge) and fall to nothing behind it (dive).
-The lines with weight between surge and dive are the text.
+themselves as navigation, notices, adverts, forms or comments weigh nothing. Summed over a
+sliding window of lines, the weights rise steeply where the article begins (surge) and fall to
+nothing behind it (dive). The lines with weight between surge and dive are the text.
+
+An <article> or <main> is evidence, not proof: its words weigh `GAIN` times as much. If one of
+them then weighs no less than the heaviest stretch between surge and dive outside, the marked
+elements are the text, every word of them. Otherwise the page is read like one without marks;
+where several elements are marked on it, they are teasers and not part of the text.
 
 Defined results: a null or empty page, or one without text, has the empty text; an open tag,
 comment or script at the end of a cut page runs to its end; repeated rows are rows of their
@@ -17,7 +21,9 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -30,6 +36,7 @@ WINDOW = 3  # lines in a block
 SURGE = 86  # characters that a block needs, where no article is marked
 SHORT = 40  # characters of a line that may stand at the edge of the text
 LINKED = 0.5  # share of link text from which a line is a menu
+GAIN = 4  # weight of a word that stands in a marked article
 
 # Element names of HTML by their role here.
 _RAW = "script|style|noscript|template|svg|math|textarea|select|iframe|object|title|button"
@@ -38,6 +45,11 @@ _BLOCKS = frozenset(
     footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre search section
     summary table tbody td tfoot th thead tr ul""".split()
 )
+# elements that are parts of a running text, and those that only hold such parts
+_LISTED = frozenset("li dd dt".split())
+_RUNNING = _LISTED | frozenset("p pre blockquote td th".split())
+_HEADS = frozenset("h1 h2 h3 h4 h5 h6".split())
+_HOLDERS = (_RUNNING | _HEADS | frozenset("ul ol dl table tbody thead tr caption".split())) - {"td", "th"}
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _ASIDE = frozenset("nav footer aside form dialog menu search fieldset".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu".split())
@@ -83,24 +95,44 @@ def _beside(name: str, attributes: str, inside: bool) -> bool:
     return False
 
 
-def lines_of(page: str) -> tuple[list[tuple[str, float, bool, str]], bool]:
-    """(text, link share, inside an article, element) of each block; any article?
+class Line(NamedTuple):
+    text: str
+    linked: float  # share of link text
+    article: int  # number of the outermost marked article around it; 0 outside
+    element: str
+    holder: int  # number of the element that holds the running text of which it is a part
+
+
+def lines_of(page: str) -> tuple[list[Line], list[list[int]]]:
+    """The blocks of a page; for each holder, the numbers of its first line and of the line behind its last.
 
     What stands beside the article leaves its block without text.
     """
-    lines: list[tuple[str, float, bool, str]] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # name, beside, inside, linked
+    lines: list[Line] = []
+    holders: list[list[int]] = [[0, -1]]
+    # name, beside, article, linked, holder
+    stack: list[tuple[str, bool, int, bool, int]] = []
     text: list[str] = []
-    plain = linked = 0
-    beside = inside = link = marked = False
+    plain = linked = articles = article = 0
+    beside = link = False
 
     def end_line():
         nonlocal plain, linked
         whole = " ".join(html.unescape("".join(text)).split())
         text.clear()
-        lines.append((whole, linked / max(1, plain + linked), inside, stack[-1][0] if stack else ""))
+        name, *_, holder = stack[-1] if stack else ("", 0)
+        lines.append(Line(whole, linked / max(1, plain + linked), article, name, holder))
         plain = linked = 0
 
+    def close(k: int):
+        for *_, holder in stack[k:]:
+            holders[holder][1] = len(lines)
+        del stack[k:]
+        if stack:  # a holder that goes on is closed later
+            holders[stack[-1][-1]][1] = -1
+        else:
+            holders[0][1] = -1
+
     at = 0
     for token in _TOKEN.finditer(page):
         if token.start() > at and not beside:
@@ -121,55 +153,99 @@ def lines_of(page: str) -> tuple[list[tuple[str, float, bool, str]], bool]:
         if token[2]:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
-                    del stack[k:]
+                    close(k)
                     break
         elif name not in _VOID and not token[4].endswith("/") and (name in _BLOCKS or name == "a" or token[4]):
             if name in ("p", "li", "dd", "dt", "tr", "td", "th", "option") and stack and stack[-1][0] == name:
-                stack.pop()  # these close themselves
-            inside_now = inside or name in ("article", "main") and not beside
-            beside_now = beside or _beside(name, token[4], inside)
-            marked = marked or inside_now and not beside_now
-            stack.append((name, beside_now, inside_now and not beside_now, link or name == "a"))
-        _, beside, inside, link = stack[-1] if stack else ("", False, False, False)
+                close(len(stack) - 1)  # these close themselves
+            article_now = article if not stack else stack[-1][2]
+            beside_now = beside or _beside(name, token[4], bool(article_now))
+            if name in ("article", "main") and not article_now and not beside_now:
+                articles += 1
+                article_now = articles
+            holder = stack[-1][-1] if stack else 0
+            if name in _BLOCKS and name not in _HOLDERS:
+                holders.append([len(lines), -1])
+                holder = len(holders) - 1
+            stack.append((name, beside_now, 0 if beside_now else article_now, link or name == "a", holder))
+        _, beside, article, link, _ = stack[-1] if stack else ("", False, 0, False, 0)
     if not beside:
         text.append(page[at:])
     end_line()
-    return lines, marked
+    for holder in holders:
+        holder[1] = len(lines) if holder[1] < 0 else holder[1]
+    return lines, holders
 
 
-def _edges(lines: list[tuple[str, float, bool, str]]) -> list[str]:
-    """Texts of a stretch whose borders the window blurs: from its main heading, else its first
-    long line and the heading before it, to the last line that is long or ends like a sentence."""
-    texts = [text for text, *_ in lines]
-    full = [k for k, text in enumerate(texts) if len(text) >= SHORT or text[-1:] in _ENDS]
-    first = full[0] if full else 0
-    heads = [k for k, line in enumerate(lines) if line[3] == "h1"]
-    heads += [k for k, line in enumerate(lines[:first]) if line[3] in ("h2", "h3")]
-    start = heads[0] if heads else first
-    return texts[start : full[-1] + 1 if full and full[-1] >= start else len(texts)]
+def _edges(lines: list[Line], stretch: list[int], holders: list[list[int]]) -> list[int]:
+    """The stretch between the edges that the window blurs.
 
-
-def main_text(page: str) -> str:
-    lines, marked = lines_of(page)
-    marked = marked and any(text and inside for text, _, inside, _ in lines)
-    if marked:  # inside an article every word counts, a line of links included
-        weights = [len(text) if inside else 0 for text, _, inside, _ in lines]
+    It goes from its main heading, else from its first long line and the heading before it, to the
+    last line that is long or ends like a sentence. Short list items before that and short
+    paragraphs, items and cells behind belong to it where they stand in the same element.
+    """
+    full = [k for k in stretch if len(lines[k].text) >= SHORT or lines[k].text[-1:] in _ENDS]
+    if not full:
+        first = last = None
     else:
-        weights = [len(text) if share < LINKED else 0 for text, share, *_ in lines]
+        first, last = full[0], full[-1]
+        low, high = holders[lines[first].holder][0], holders[lines[last].holder][1]
+        for k in reversed([k for k in stretch if low <= k < first]):
+            if lines[k].element not in _LISTED:
+                break
+            first = k
+        for k in [k for k in stretch if last < k < high]:
+            if lines[k].element in _RUNNING:
+                last = k
+            elif lines[k].element not in _HEADS:
+                break
+    heads = [k for k in stretch if lines[k].element == "h1"]
+    heads += [k for k in stretch if lines[k].element in ("h2", "h3") and first is not None and k < first]
+    start = heads[0] if heads else stretch[0] if first is None else first
+    end = stretch[-1] if last is None or last < start else last
+    return [k for k in stretch if start <= k <= end]
+
+
+def _stretches(lines: list[Line], weights: list[int], holders: list[list[int]]) -> list[list[int]]:
+    """Numbers of the lines with weight from each surge to its dive.
+
+    Headings, and short parts of the same running text, that lead to the surge belong to it.
+    """
     blocks = [sum(weights[i : i + WINDOW]) for i in range(len(weights))]
-    surge = 1 if marked else min(SURGE, max(blocks, default=0))
-    kept, i = [], 0
+    surge = min(SURGE, max(blocks, default=0))
+    found, i = [], 0
     while i < len(blocks):
         if not blocks[i] or blocks[i] < surge:
             i += 1
             continue
-        dive = i
+        start = dive = i
+        low = holders[lines[next(k for k in range(i, len(weights)) if weights[k])].holder][0]
+        while start and blocks[start - 1]:
+            name = lines[start - 1].element
+            if weights[start - 1] and name not in _HEADS and not (name in _RUNNING and start > low):
+                break
+            start -= 1
         while dive < len(blocks) and blocks[dive]:
             dive += 1
-        stretch = [lines[k] for k in range(i, dive) if weights[k]]
-        kept += [text for text, *_ in stretch] if marked else _edges(stretch)
+        found.append([k for k in range(start, dive) if weights[k]])
         i = dive
-    return "\n".join(kept)
+    return found
+
+
+def main_text(page: str) -> str:
+    lines, holders = lines_of(page)
+    plain = [len(x.text) if x.linked < LINKED else 0 for x in lines]
+    marked: Counter[int] = Counter()
+    for x in lines:
+        if x.article and x.text:
+            marked[x.article] += GAIN * len(x.text)
+    if marked:
+        beside = [0 if x.article else w for x, w in zip(lines, plain, strict=True)]
+        heaviest = max((sum(beside[k] for k in found) for found in _stretches(lines, beside, holders)), default=0)
+        if max(marked.values()) >= heaviest:  # every word of an article counts, a line of links included
+            return "\n".join(x.text for x in lines if x.article and x.text)
+        plain = beside if len(marked) > 1 else plain
+    return "\n".join(lines[k].text for found in _stretches(lines, plain, holders) for k in _edges(lines, found, holders))
 
 
 @F.arrow_udf(T.StringType())

@@ -156,6 +156,34 @@ def test_main_text(page, text):
     assert html_text.main_text(page or "") == text
 
 
+SENTENCE = "A sentence of the text stands here. "
+BODY = f"<h1>The title</h1><p>{SENTENCE * 9}</p><p>{SENTENCE * 6}</p><p>{SENTENCE * 8}</p>"
+BODY_TEXT = "\n".join(["The title", *((SENTENCE * k).strip() for k in (9, 6, 8))])
+TEASER = '<article class="card"><h3><a href="/{0}">Other story {0}</a></h3><p>It tells in a few lines what went on elsewhere, as teasers do, {0} times at the most.</p></article>'
+TEASERS = f"<div class=grid>{''.join(TEASER.format(k) for k in range(4))}</div>"
+SITE, END = "<div>Site name</div>", "<div>Imprint</div>"
+LIST = "<h2>You need</h2><ul><li>two eggs</li><li>salt</li></ul>"
+DEALT = [
+    # the body stands outside the marked elements, which are teasers
+    (f"<body>{SITE}<div class=post>{BODY}</div>{TEASERS}{END}", BODY_TEXT),
+    (f"<body>{TEASERS}<div class=post>{BODY}</div>{END}", BODY_TEXT),
+    # marked and short, beside a longer stretch of no name: the mark weighs
+    (f"<body><div>{SENTENCE * 4}</div><article><h1>Brief</h1><p>{SENTENCE * 2}</p></article>", "Brief\n" + (SENTENCE * 2).strip()),
+    # a marked element that is far too light is read as if unmarked, not dropped
+    (f"<body><div>{BODY}<article><p>{SENTENCE * 3}</p></article></div>", BODY_TEXT + "\n" + (SENTENCE * 3).strip()),
+    # short lists at the edges of an unmarked text
+    (f"<body>{SITE}<div>{BODY}{LIST}</div>{END}", BODY_TEXT + "\nYou need\ntwo eggs\nsalt"),
+    (f"<body>{SITE}<div>{BODY}<ol><li>one<li>two</ol></div>{END}", BODY_TEXT + "\none\ntwo"),
+    (f"<body>{SITE}<div><ul><li>first<li>second</ul><p>{SENTENCE * 5}</p></div>{END}", "first\nsecond\n" + (SENTENCE * 5).strip()),
+    (f"<body><div>{BODY}</div><ul><li>Contact<li>Terms</ul>", BODY_TEXT),
+]
+
+
+@pytest.mark.parametrize(("page", "text"), DEALT)
+def test_main_text_by_weight(page, text):
+    assert html_text.main_text(page) == text
+
+
 def test_pages(spark):
     rows = [(k, None if k == 1 else f"u{k}", p, "clash") for k, (p, _) in enumerate(PAGES)] * 2 + [(None, None, None, "clash")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
