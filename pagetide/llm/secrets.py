@@ -3,7 +3,10 @@
 A vocabulary learned from natural text spends few tokens on words and many on random strings.
 Long runs of the characters that keys are written in are counted in tokens; where fewer than
 `EFFICIENCY` characters come on a token, the run is reported as `random`, unless it is a
-digest of a known length, a UUID or a plain number, or touches a span found by its form.
+digest of a known length, a UUID or a plain number. The parts of a run between `/` and `=` that
+touch a span found by its form divide it into runs that are tested on their own. Where such a
+run is not random as a whole, neighbouring parts of it that are, each on its own, are tested
+together: a readable path does not hide the key behind it.
 
 Spans are code points, end exclusive, of the whole match (an assignment with its name).
 
@@ -40,6 +43,7 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 # whole runs only: the same as all runs of any length, without the short ones
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{16,}")
 _RUN = re.compile(rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{LEAST},}}")
+_PART = re.compile(r"[^/=]+")
 _NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 # Hexadecimal lengths of MD5, SHA-1, SHA-224, SHA-256, SHA-384, SHA-512
 _DIGESTS = frozenset((32, 40, 56, 64, 96, 128))
@@ -90,12 +94,44 @@ def random_spans(text: str, found: list[tuple[int, int, str]], encoding: tiktoke
     spans = []
     for m in _RUN.finditer(text):
         a, b = m.span()
-        if not known(m[0]) and not any(x < b and a < y for x, y, _ in found):
-            if b - a < EFFICIENCY * tokens_of(m[0], encoding):
-                spans.append((a, b, "random"))
+        touching = [(x, y) for x, y, _ in found if x < b and a < y]
+        if not touching:
+            spans += _random_parts(text, a, b, encoding)
+            continue
+        parts = [(a + p.start(), a + p.end()) for p in _PART.finditer(m[0])]
+        free = [not any(x < q and p < y for x, y in touching) for p, q in parts]
+        for p, q in _groups(parts, free):
+            spans += _random_parts(text, p, q, encoding)
     return spans
 
 
+def _groups(parts: list[tuple[int, int]], chosen: list[bool]) -> list[tuple[int, int]]:
+    """(first, end) of each sequence of chosen neighbours that is long enough for a test."""
+    groups: list[tuple[int, int]] = []
+    last = False
+    for (p, q), now in zip(parts, chosen, strict=True):
+        if now and last:
+            groups[-1] = (groups[-1][0], q)
+        elif now:
+            groups.append((p, q))
+        last = now
+    return [(p, q) for p, q in groups if q - p >= LEAST]
+
+
+def _random_parts(text: str, a: int, b: int, encoding: tiktoken.Encoding) -> list[tuple[int, int, str]]:
+    """The run from a to b if it is random as a whole, else what is random between its readable parts."""
+    run = text[a:b]
+    if known(run):
+        return []
+    if b - a < EFFICIENCY * tokens_of(run, encoding):
+        return [(a, b, "random")]
+    parts = [p.span() for p in _PART.finditer(run)]
+    if parts == [(0, b - a)]:
+        return []
+    odd = [not known(run[p:q]) and q - p < EFFICIENCY * tokens_of(run[p:q], encoding) for p, q in parts]
+    return [(a + p, a + q, "random") for p, q in _groups(parts, odd)]
+
+
 def _joined(spans) -> str:
     return ",".join(f"{kind}:{a}:{b}" for a, b, kind in spans)
 

@@ -248,6 +248,29 @@ def test_random_strings():
     assert secrets.tokens_of("ab" * 500_000, encoding) > 0
 
 
+def test_random_strings_in_readable_runs():
+    """A path before or behind a key, or a hexadecimal part in it, does not hide the key."""
+    encoding = secrets.encoder(secrets.read_vocabulary(secrets.VOCABULARY))
+    draw = random.Random(8)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    for head, tail in (("/account/password/reset/confirm/", ""), ("/download/shared/documents/", "/details/overview"), ("session=", "")):
+        found = 0
+        for _ in range(200):
+            key = "".join(draw.choices(letters, k=32))
+            text = f"see {head}{key}{tail} there"
+            at = text.index(key)
+            found += any(a <= at and at + 32 <= b for a, b, _ in secrets.random_spans(text, [], encoding))
+        assert found >= 195, head
+    key = "".join(draw.choices(letters, k=32))
+    text = f"see /files/0123456789abcdef/{key} there"
+    base = secrets.base_spans(text)
+    assert [k for *_, k in base] == ["hex"]
+    at = text.index(key)
+    assert secrets.random_spans(text, base, encoding) == [(at, at + 32, "random")]
+    for path in ("/account/password/reset/confirm/", "/files/123e4567-e89b-12d3-a456-426614174000/overview/of/documents"):
+        assert secrets.random_spans(path, [], encoding) == []
+
+
 def test_secrets_of_odd_rows(odd, nothing):
     assert len(secrets.secrets(odd).collect()) == 10
     assert secrets.secrets(nothing).collect() == []
