@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import tempfile
 import uuid
 
@@ -30,21 +29,26 @@ def local_session(cores: int | str = "*", partitions: int = 8) -> SparkSession:
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.session.timeZone", "UTC")
     )
-    return configure(builder.getOrCreate())
+    spark = configure(builder.getOrCreate())
+    if not _shared_root(spark):
+        # driver and executors are this one process: its own temporary folder is shared by all
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="pagetide-"))
+    return spark
+
+
+def _shared_root(spark: SparkSession) -> str | None:
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder below the cluster's checkpoint directory.
 
-    Every executor must reach it, so it is the directory that the session names. Only where
-    driver and executors are one process, a session without one gets a temporary directory.
+    Every executor must reach it, so it is the directory that the session names; a session that
+    names none is refused.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    root = _shared_root(spark)
     if not root:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="pagetide-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     return f"{root.rstrip('/')}/pagetide/{name}-{uuid.uuid4().hex}"
 
 

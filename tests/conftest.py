@@ -1,6 +1,5 @@
 from __future__ import annotations
 
-import datetime as dt
 import os
 import sys
 
@@ -11,8 +10,6 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from pagetide.session import local_session  # noqa: E402
 
-UTC = dt.UTC
-
 
 @pytest.fixture(scope="session")
 def spark():
@@ -20,12 +17,3 @@ def spark():
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
-
-
-def at(text: str) -> dt.datetime:
-    return dt.datetime.fromisoformat(text).replace(tzinfo=UTC)
-
-
-def utc(value: dt.datetime | None) -> dt.datetime | None:
-    """Collected timestamps come back in the machine's zone, which the tests do not rely on."""
-    return None if value is None else value.astimezone(UTC)

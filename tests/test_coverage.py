@@ -3,7 +3,7 @@ from __future__ import annotations
 from datetime import timedelta
 
 import pytest
-from conftest import at, utc
+from support import at, utc
 from pyspark.sql import functions as F
 
 from pagetide.operators import coverage

@@ -3,7 +3,7 @@ from __future__ import annotations
 import datetime as dt
 from email.utils import parsedate_to_datetime
 
-from conftest import at, utc
+from support import at, utc
 from pyspark.sql import functions as F
 
 from pagetide.functions import dates, labels

@@ -7,7 +7,7 @@ import statistics
 from datetime import timedelta
 
 import pytest
-from conftest import at, utc
+from support import at, utc
 
 from pagetide.operators.sequences import cumulative_counts, grouped_median, running_max_before, successors
 

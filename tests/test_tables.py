@@ -6,7 +6,7 @@ import json
 from datetime import timedelta
 
 import pytest
-from conftest import at, utc
+from support import at, utc
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
