@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 
 import corpus_pipeline
 import pytest
-from conftest import FOLDER, documents
+from llm_support import FOLDER, documents
 from pyspark.sql import functions as F
 from test_duplicates import near
 from test_texts import hits, water
