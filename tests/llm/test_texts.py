@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import pytest
@@ -194,6 +195,80 @@ def test_pages(spark):
     assert html_text.main_texts(pages.limit(0)).collect() == []
 
 
+WRAPPERS = (
+    "overflow-hidden", "elementor-widget-container", "md:hidden", "header-fixed", "ad-free", "share-article",
+    "layout--sidebar-left", "nav-fixed", "widget", "page-header-fixed", "comments-open",
+)
+
+
+@pytest.mark.parametrize("name", WRAPPERS)
+@pytest.mark.parametrize("body", [BODY, f"<article>{BODY}</article>", "<div class={0}><h1>The title</h1></div><div class={0}>" + BODY[18:] + "</div>"])
+def test_names_of_wrappers(name, body):
+    """A name that stands around the text says nothing, one beside it does."""
+    page = f'<body>{MENU}<div class="{name}">{body.format(name)}</div><div class="sidebar"><p>{SENTENCE * 3}</p></div>{COMMENTS}<footer>&copy; all</footer>'
+    assert html_text.main_text(page) == BODY_TEXT
+
+
+@pytest.mark.parametrize("body", [f"<div>{BODY}</div>", f"<article>{BODY}</article>"])
+def test_page_in_a_form(body):
+    assert html_text.main_text(f"<body><form id=f action='/x'>{MENU}{body}{COMMENTS}</form>") == BODY_TEXT
+
+
+def test_replies_longer_than_the_text():
+    replies = f"<section class=comments>{'<article><p>' + SENTENCE * 5 + '</p></article>'}</section>" * 6
+    assert html_text.main_text(f"<body><div>{BODY}</div>{replies}</body>") == BODY_TEXT
+    assert html_text.main_text(f"<body><article><h1>Brief</h1><p>{SENTENCE}</p></article>{replies}</body>") == "Brief\n" + SENTENCE.strip()
+
+
+def test_quoted_attributes():
+    assert html_text.main_text('<article><p title="a>b">x</p><p title=\'<p>"\'>y</p></article>') == "x\ny"
+
+
+@pytest.mark.parametrize("many", ["<b class=x>", "<b class=x></i>", '<a "', "<a '\"", "<div class=ad>", "</p>", "<p><div hidden>"])
+def test_many_tags_take_linear_time(many):
+    started = time.monotonic()
+    assert html_text.main_text("<article><p>hello " + many * 100_000).startswith("hello")
+    assert time.monotonic() - started < 20
+
+
+def made_page(draw):
+    """A page made around known paragraphs, with side matter of many kinds around and between them."""
+    words = [f"w{k}" for k in range(300)]
+
+    def sentence(n):
+        return " ".join(draw.choice(words) for _ in range(n)) + "."
+
+    text = ["Title of " + sentence(4), *(sentence(draw.randrange(12, 60)) for _ in range(draw.randrange(3, 9)))]
+    side = [
+        lambda: MENU,
+        lambda: f"<div class='{draw.choice(['ad', 'promo-box', 'newsletter signup', 'share'])}'>{sentence(draw.randrange(2, 12))}</div>",
+        lambda: f"<script>var x = '<p>{sentence(5)}</p>';</script>",
+        lambda: f"<aside><h3>More</h3><p>{sentence(9)}</p></aside>",
+        lambda: f"<form><label>{sentence(3)}</label><input title='>'></form>",
+        lambda: f"<!-- <p>{sentence(5)} -->",
+    ]
+    inner = f"<h1>{text[0]}</h1>"
+    for paragraph in text[1:]:
+        inner += draw.choice(side)() if draw.random() < 0.3 else ""
+        inner += f"<p data-x='a>b'>{paragraph}</p>" if draw.random() < 0.8 else f"<blockquote>{paragraph}</blockquote>"
+    for _ in range(draw.randrange(3)):
+        inner = f"<div class='{draw.choice([*WRAPPERS, 'x'])}'>{inner}</div>"
+    if draw.random() < 0.5:
+        mark = draw.choice(["article", "main"])
+        inner = f"<{mark}>{inner}</{mark}>"
+    around = [f"<header class=top>{sentence(3)}</header>", draw.choice(side)(), inner, draw.choice(side)()]
+    around += [f"<section class=comments><article><p>{sentence(20)}</p></article></section>", f"<footer>{sentence(6)}</footer>"]
+    return f"<html><head><title>{sentence(3)}</title></head><body>{''.join(around)}</body></html>", "\n".join(text)
+
+
+def test_text_of_made_pages():
+    """Of 400 pages made around known text, all words are found and nothing else."""
+    draw = random.Random(17)
+    made = [made_page(draw) for _ in range(400)]
+    wrong = [k for k, (page, text) in enumerate(made) if html_text.main_text(page) != text]
+    assert not wrong
+
+
 def test_very_long_page():
     words = "word " * 200
     page = "<article>" + f"<p>{words}</p>" * 300 + "<div>" * 5000 + "x" + "<" * 3000
