@@ -18,6 +18,7 @@ from pagetide.functions.labels import (
 )
 from pagetide.functions.markup import excerpt
 from pagetide.model import LANGS, TOPICS
+from pagetide.operators.paging import from_position, newest_first
 
 # Page size, and the topics a topic filter admits.
 PAGE_SIZE = 50
@@ -50,9 +51,9 @@ def select_articles(
     return articles.join(chosen, articles["first_feed_id"] == chosen["feed_id"]).drop("feed_id")
 
 
-def _slice(ordered_by_time: DataFrame, offset: int, size: int, tie: str) -> DataFrame:
-    newest_first = (F.col("published_at").desc_nulls_last(), F.col(tie).desc())
-    return ordered_by_time.orderBy(*newest_first).offset(offset).limit(size)
+def _top(rows: DataFrame, size: int, tie: str, skipped: int = 0) -> DataFrame:
+    ordered = rows.orderBy(F.col("published_at").desc_nulls_last(), F.col(tie).desc_nulls_last())
+    return (ordered.offset(skipped) if skipped else ordered).limit(size)
 
 
 def list_articles(
@@ -67,12 +68,16 @@ def list_articles(
 ) -> Page:
     """A page of the listing, newest first, ties by arrival; pages below 1 mean the first.
 
-    Rows without a date come last. Every page is one lazy plan: the rows are range-partitioned
-    by time, sorted, and the offset is skipped by counting whole partitions.
+    Rows without a date come last. The first page is a lazy top; where a later one begins is
+    counted, in a few small jobs, so no task holds more than a page.
     """
     page = max(1, page)
     chosen = select_articles(articles, feeds, lang=lang, topic=topic)
-    rows = _slice(chosen, (page - 1) * page_size, page_size, tie)
+    following, skipped = chosen, 0
+    if page > 1:
+        order = newest_first(chosen, "published_at", tie)
+        following, skipped = from_position(chosen, order, (page - 1) * page_size)
+    rows = _top(following, page_size, tie, skipped)
     return Page(rows=rows, info=page_info(chosen, page, page_size))
 
 
@@ -85,7 +90,7 @@ def articles_after(
         | (published_at.isNotNull() & F.col("published_at").isNull())
         | (F.col("published_at").eqNullSafe(published_at) & (F.col(tie) < tie_value))
     )
-    return _slice(articles.filter(later), 0, size, tie)
+    return _top(articles.filter(later), size, tie)
 
 
 def page_info(chosen: DataFrame, page: int, page_size: int = PAGE_SIZE) -> DataFrame:

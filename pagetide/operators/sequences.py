@@ -2,8 +2,8 @@
 
 A window partitioned by a feed or a URL alone puts that key's whole history in one task, and
 one key may hold a third of all rows. Here every ordered computation works on short *segments*
-of a key's history (an hour, a day), which spread over the cluster; what crosses a segment
-border is carried by one summary row per segment.
+of a key's history (an hour, a day, or a counted piece of a day that is too full), which spread
+over the cluster; what crosses a segment border is carried by one summary row per segment.
 """
 
 from __future__ import annotations
@@ -15,15 +15,53 @@ from pyspark.sql import functions as F
 HOUR = 3600
 DAY = 24 * HOUR
 
+# Rows of a key that may meet in one task, and the pieces that a fuller time slice is cut into.
+SEGMENT_ROWS = 50_000
+PIECES = 256
+# At most so many slices can hold more than their share of all rows.
+FULL_SLICES = 1024
+
 
 def time_segment(at: Column, seconds: int) -> Column:
     """Number of the time slice of `seconds` that holds `at`."""
     return F.floor(F.unix_seconds(at) / seconds).cast("long")
 
 
-def successors(df: DataFrame, key: str, at: str, *, seconds: int = DAY) -> DataFrame:
-    """Rows (key, start, end): each time of a key with the key's next one, NULL for the last."""
-    cut = df.select(key, F.col(at).alias("start"), time_segment(F.col(at), seconds).alias("segment"))
+def segmented(df: DataFrame, key: str, at: str, into: str, *, seconds: int, rows: int = SEGMENT_ROWS) -> DataFrame:
+    """Add the segment of a key's history that holds `at`: a time slice, or a piece of a full one.
+
+    Slices are those of the calendar, and most keys have few rows in each. Where a key has more
+    than `rows` in a slice, and over a thousandth of all, its slice is cut at quantiles counted
+    there. At most `FULL_SLICES` slices can hold that much, so they and their cuts are small
+    whatever the input (2 MB), and may be sent to every task. Segments are ordered by time.
+    """
+    cut = df.withColumn("__slice", time_segment(F.col(at), seconds))
+    counts = cut.groupBy(key, "__slice").agg(F.count(F.lit(1)).alias("__n"))
+    share = counts.agg(F.ceil(F.sum("__n") / FULL_SLICES).alias("share")).scalar()
+    full = F.broadcast(counts.filter(F.col("__n") > F.greatest(F.lit(rows), share)).select(key, "__slice"))
+    quantiles = F.array(*(F.lit((i + 1) / PIECES) for i in range(PIECES - 1)))
+    cuts = (
+        cut.select(key, "__slice", F.unix_micros(at).alias("__at"))
+        .join(full, [key, "__slice"], "left_semi")
+        .groupBy(key, "__slice")
+        .agg(F.array_distinct(F.percentile_approx("__at", quantiles, 10_000)).alias("__cuts"))
+    )
+    below = F.size(F.filter("__cuts", lambda c: c < F.unix_micros(at)))
+    return (
+        cut.join(F.broadcast(cuts), [key, "__slice"], "left")
+        .withColumn(into, F.struct(F.col("__slice").alias("slice"), F.coalesce(below, F.lit(0)).alias("piece")))
+        .drop("__slice", "__cuts")
+    )
+
+
+def successors(df: DataFrame, key: str, at: str, *, seconds: int = DAY, rows: int = SEGMENT_ROWS) -> DataFrame:
+    """Rows (key, start, end): each time of a key with the key's next one, NULL for the last.
+
+    Equal times are counted before anything is ordered: all but one of them follow each other at
+    once, so an instant that a key has any number of times is one row until the end.
+    """
+    times = df.groupBy(key, F.col(at).alias("start")).agg(F.count(F.lit(1)).alias("n"))
+    cut = segmented(times, key, "start", "segment", seconds=seconds, rows=rows)
     # One row per segment: the first time of the key's next segment follows its last time.
     following = (
         cut.groupBy(key, "segment")
@@ -31,10 +69,18 @@ def successors(df: DataFrame, key: str, at: str, *, seconds: int = DAY) -> DataF
         .select(key, "segment", F.lead("opens_at").over(W.partitionBy(key).orderBy("segment")).alias("beyond"))
     )
     inside = F.lead("start").over(W.partitionBy(key, "segment").orderBy("start"))
+    followed = cut.withColumn("inside", inside).join(following, [key, "segment"])
+    return _repeated(followed.select(key, "start", F.coalesce("inside", "beyond").alias("end"), "n"))
+
+
+def _repeated(counted: DataFrame) -> DataFrame:
+    """A row for each of the `n` equal starts; all but the last end where they start."""
+    step = 10_000  # an array of row numbers stays small
     return (
-        cut.withColumn("inside", inside)
-        .join(following, [key, "segment"])
-        .select(key, "start", F.coalesce("inside", "beyond").alias("end"))
+        counted.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / step))))
+        .withColumn("i", F.explode(F.sequence(F.col("block") * step + 1, F.least(F.col("block") * step + step, "n"))))
+        .withColumn("end", F.when(F.col("i") == F.col("n"), F.col("end")).otherwise(F.col("start")))
+        .drop("n", "block", "i")
     )
 
 

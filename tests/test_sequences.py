@@ -9,7 +9,15 @@ from datetime import timedelta
 import pytest
 from support import at, utc
 
-from pagetide.operators.sequences import cumulative_counts, grouped_median, running_max_before, successors
+from pyspark.sql import functions as F
+
+from pagetide.operators.sequences import (
+    cumulative_counts,
+    grouped_median,
+    running_max_before,
+    segmented,
+    successors,
+)
 
 BASE = at("2024-01-01T00:00:00")
 
@@ -23,12 +31,12 @@ def skewed_times(rng, n=600):
     return rows
 
 
-@pytest.mark.parametrize("seconds", [60, 86_400])
-def test_successors(spark, seconds):
+@pytest.mark.parametrize(("seconds", "full"), [(60, 50_000), (86_400, 50_000), (86_400, 3), (864_000, 20)])
+def test_successors(spark, seconds, full):
     rows = skewed_times(random.Random(1))
     frame = spark.createDataFrame(rows, "key int, t timestamp")
     got = sorted((r["key"], utc(r["start"]), utc(r["end"]) or BASE.max.replace(tzinfo=BASE.tzinfo))
-                 for r in successors(frame, "key", "t", seconds=seconds).collect())
+                 for r in successors(frame, "key", "t", seconds=seconds, rows=full).collect())
     wanted = []
     for key in {k for k, _ in rows}:
         times = sorted(t for k, t in rows if k == key)
@@ -36,6 +44,29 @@ def test_successors(spark, seconds):
     assert got == sorted(wanted)
 
 
+def test_one_day_of_one_key_is_many_pieces(spark):
+    """All runs of one feed in one day, most of them in one hour: no task has more than its share."""
+    frame = spark.sql("SELECT 1 AS key, timestamp_micros(1704067200000000 + IF(id < 800, id, id * 4000000)) AS t FROM range(16000)")
+    cut = segmented(frame, "key", "t", "segment", seconds=86_400, rows=100)
+    sizes = [r["count"] for r in cut.groupBy("segment").count().collect()]
+    assert sum(sizes) == 16_000 and len(sizes) >= 200 and max(sizes) <= 160
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        followed = successors(frame, "key", "t", rows=100).withColumn("task", F.spark_partition_id())
+        tasks = [r["count"] for r in followed.groupBy("task").count().collect()]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "2")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert sum(tasks) == 16_000 and len(tasks) >= 8 and max(tasks) <= 3 * 16_000 / 16
+
+
+def test_an_instant_of_many_rows(spark):
+    frame = spark.sql("SELECT 1 AS key, timestamp_micros(IF(id < 25000, 5, id)) AS t FROM range(25010)")
+    rows = successors(frame, "key", "t").groupBy("start", "end").count().collect()
+    assert sorted(r["count"] for r in rows)[-1] == 24_999 and len(rows) == 12
+
+
 @pytest.mark.parametrize("width", [1, 50])
 def test_grouped_median(spark, width):
     rng = random.Random(2)
