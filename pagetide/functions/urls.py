@@ -150,6 +150,65 @@ def canonical_query(query: Column) -> Column:
     return F.array_join(encoded, "&")
 
 
+_REFERENCE = r"^(?:([a-zA-Z][a-zA-Z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(\?[^#]*)?(#.*)?$"
+
+
+def _cut(address: Column) -> Column:
+    """Scheme, authority, path, query and fragment of an address, with their separators."""
+    names = ("scheme", "authority", "path", "query", "fragment")
+    parts = [F.regexp_extract(address, _REFERENCE, i + 1).alias(name) for i, name in enumerate(names)]
+    after = F.regexp_replace(address, r"^[a-zA-Z][a-zA-Z0-9+.\-]*:", "")
+    return F.struct(*parts, after.startswith("//").alias("has_authority"))
+
+
+def without_dots(path: Column) -> Column:
+    """An absolute path with its '.' and '..' segments applied; a final one leaves a slash."""
+
+    def push(stack: Column, segment: Column) -> Column:
+        popped = F.slice(stack, 1, F.greatest(F.size(stack) - 1, F.lit(0)))
+        return (
+            F.when(segment == "..", popped).when(segment == ".", stack).otherwise(F.array_append(stack, segment))
+        )
+
+    def settle(segments: Column) -> Column:
+        kept = F.aggregate(segments, F.array().cast("array<string>"), push)
+        ended = F.when(F.element_at(segments, -1).isin(".", ".."), F.array_append(kept, F.lit(""))).otherwise(kept)
+        return F.concat(F.lit("/"), F.array_join(ended, "/"))
+
+    return F.when(path.rlike(r"(^|/)\.\.?(/|$)"), bind(F.split(F.regexp_replace(path, "^/", ""), "/", -1), settle)).otherwise(path)
+
+
+def resolve(base: Column, reference: Column) -> Column:
+    """The address that `reference` means in a document with this base, after RFC 3986, section 5.2.
+
+    A base that is no absolute address with an authority resolves nothing, and neither does a
+    NULL base; absolute references stand for themselves. White space around and line breaks within
+    a reference, which feeds have from layout, do not count.
+    """
+    bare = F.regexp_replace(F.regexp_replace(reference, r"[\t\r\n]", ""), "^[\\x00-\\x20]+|[\\x00-\\x20]+$", "")
+    both = F.struct(_cut(F.trim(base)).alias("b"), _cut(bare).alias("r"), bare.alias("text"))
+
+    def merge(x: Column) -> Column:
+        b, r = x["b"], x["r"]
+        root = F.concat(b["scheme"], F.lit("://"), b["authority"])
+        # all of the base's path up to its last slash, then the reference's own
+        folder = F.when(b["path"] == "", F.lit("/")).otherwise(F.regexp_replace(b["path"], "[^/]*$", ""))
+        merged = F.when(r["path"].startswith("/"), r["path"]).otherwise(F.concat(folder, r["path"]))
+        own = F.concat(r["query"], r["fragment"])
+        return (
+            F.when((b["scheme"] == "") | ~b["has_authority"] | (r["scheme"] != ""), x["text"])
+            .when(
+                r["has_authority"],
+                F.concat(b["scheme"], F.lit("://"), r["authority"], without_dots(r["path"]), own),
+            )
+            .when(r["path"] != "", F.concat(root, without_dots(merged), own))
+            .when(r["query"] != "", F.concat(root, b["path"], own))
+            .otherwise(F.concat(root, b["path"], b["query"], r["fragment"]))
+        )
+
+    return F.when(base.isNull(), reference).otherwise(bind(both, merge))
+
+
 def canonicalize(
     df: DataFrame, url: str, *, into: str = "url_canonical", reason: str = "reject_reason"
 ) -> DataFrame:

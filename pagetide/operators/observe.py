@@ -9,8 +9,12 @@ total order of `seq`. Reading it in that order,
 * the last observation gives the last-seen time.
 
 The log is folded in two steps, so that one URL relayed by every feed for years never becomes
-one task: `summarize` reduces each (URL, time segment) to a row, `merge_articles` joins the
+one task: `summarize` reduces each (URL, time segment) to a row, `merge_segments` joins the
 segments of a URL. A streaming batch is just one more segment.
+
+Which observation gives an article its content is decided on hashes and positions alone. The
+texts are fetched at the end, by one join with the observations that won, so no text is sorted
+or aggregated, and those of all other observations are read once and dropped.
 """
 
 from __future__ import annotations
@@ -26,7 +30,8 @@ from pagetide.session import require_zoned
 # long enough that a URL seen without pause has some fifty thousand segments a year.
 SEGMENT_SECONDS = 600
 
-REVISABLE = ("title", "author", "raw_summary", "summary_clean", "content_hash")
+TEXTS = ("title", "author", "raw_summary", "summary_clean")
+REVISABLE = (*TEXTS, "content_hash")
 OBSERVED = (
     "feed_id",
     "run_id",
@@ -59,6 +64,21 @@ def first_in_page(log: DataFrame) -> DataFrame:
     )
 
 
+def narrow(log: DataFrame) -> DataFrame:
+    """The log without its texts: all that decides which observations win."""
+    return log.drop(*TEXTS)
+
+
+def contents(log: DataFrame) -> DataFrame:
+    """(url_canonical, seq, texts): what an observation would give its article."""
+    return log.select("url_canonical", "seq", *TEXTS)
+
+
+def _content() -> Column:
+    """The place of a content: the observation that brought it, and its hash."""
+    return F.struct("seq", "content_hash", "seen_at")
+
+
 def summarize(log: DataFrame) -> DataFrame:
     """One row per (URL, segment) of a log deduplicated by page.
 
@@ -68,15 +88,14 @@ def summarize(log: DataFrame) -> DataFrame:
     order = W.partitionBy("url_canonical", "segment").orderBy("seq")
     previous = F.lag(F.struct("content_hash")).over(order)
     changed = previous.isNotNull() & ~F.col("content_hash").eqNullSafe(previous["content_hash"])
-    content = [*REVISABLE, "seen_at"]
+    first = ("feed_id", "run_id", "seq", "published_at", "date_source", "content_hash", "seen_at")
     return (
-        log.withColumn("__changed", changed)
+        narrow(log)
+        .withColumn("__changed", changed)
         .groupBy("url_canonical", "segment")
         .agg(
-            F.min_by(
-                F.struct("feed_id", "run_id", "seq", "published_at", "date_source", *content), "seq"
-            ).alias("opening"),
-            F.max_by(F.struct(*content), F.when(F.col("__changed"), F.col("seq"))).alias("revision"),
+            F.min_by(F.struct(*first), "seq").alias("opening"),
+            F.max_by(_content(), F.when(F.col("__changed"), F.col("seq"))).alias("revision"),
             F.max_by(F.struct("content_hash", "seen_at"), "seq").alias("closing"),
             F.count(F.lit(1)).alias("n_observations"),
         )
@@ -92,7 +111,7 @@ def merge_segments(segments: DataFrame, *order: str) -> DataFrame:
     position = F.struct(*(order or ("segment",)))
     before = F.lag(F.struct("closing")).over(W.partitionBy("url_canonical").orderBy(position))
     differs = before.isNotNull() & ~F.col("opening.content_hash").eqNullSafe(before["closing"]["content_hash"])
-    change = F.coalesce("revision", F.when(differs, _opening_content()))
+    change = F.coalesce("revision", F.when(differs, opening_content()))
     return (
         segments.withColumn("__position", position)
         .withColumn("__change", change)
@@ -107,20 +126,19 @@ def merge_segments(segments: DataFrame, *order: str) -> DataFrame:
     )
 
 
-def _opening_content() -> Column:
-    return F.struct(*(F.col(f"opening.{c}").alias(c) for c in (*REVISABLE, "seen_at")))
+def opening_content() -> Column:
+    return F.struct("opening.seq", "opening.content_hash", "opening.seen_at")
 
 
 def merge_articles(segments: DataFrame, *order: str) -> DataFrame:
-    """Articles from the segment rows of each URL."""
-    merged = merge_segments(segments, *order).withColumn(
-        "content", F.coalesce("revision", _opening_content())
-    )
+    """Articles without texts, from the segment rows of each URL; `content_seq` says whose texts."""
+    merged = merge_segments(segments, *order).withColumn("content", F.coalesce("revision", opening_content()))
     return merged.select(
         "url_canonical",
         F.col("opening.feed_id").alias("first_feed_id"),
         F.col("opening.seq").alias("first_seq"),
-        *(F.col(f"content.{c}").alias(c) for c in REVISABLE),
+        F.col("content.seq").alias("content_seq"),
+        F.col("content.content_hash").alias("content_hash"),
         F.col("opening.published_at").alias("published_at"),
         F.col("opening.date_source").alias("date_source"),
         F.col("opening.seen_at").alias("first_seen_at"),
@@ -130,9 +148,21 @@ def merge_articles(segments: DataFrame, *order: str) -> DataFrame:
     )
 
 
-def fold_articles(log: DataFrame, segment: Column | None = None) -> DataFrame:
+def with_texts(articles: DataFrame, texts: DataFrame) -> DataFrame:
+    """Give articles the texts of the observation that `content_seq` names.
+
+    The articles, narrow and one a URL, are the side that is held in a hash table, partition by
+    partition; the texts stream past it and are not sorted.
+    """
+    winners = articles.hint("shuffle_hash")
+    found = texts.withColumnRenamed("seq", "content_seq").join(winners, ["url_canonical", "content_seq"])
+    return found.select(*(c for c in articles.columns if c != "content_seq"), *TEXTS)
+
+
+def fold_articles(log: DataFrame, segment: Column | None = None, *, texts: bool = True) -> DataFrame:
     """Articles of a whole observation log."""
-    return merge_articles(summarize(first_in_page(with_segment(log, segment))))
+    articles = merge_articles(summarize(first_in_page(with_segment(narrow(log), segment))))
+    return with_texts(articles, contents(log)) if texts else articles
 
 
 def fold_sightings(log: DataFrame) -> DataFrame:

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from pagetide.operators.observe import (
     OBSERVED,
+    TEXTS,
+    contents,
     first_in_page,
     fold_sightings,
     run_counts,
@@ -42,10 +44,22 @@ class Known:
     maxima: DataFrame  # feed_id, max_published
 
 
+@dataclass(frozen=True)
+class Landed:
+    """A batch as it was parsed and normalized, before it is held against what is known."""
+
+    log: DataFrame
+    feeds: DataFrame
+    pages: DataFrame
+    entries: DataFrame  # rejected ones included
+    usable: DataFrame  # (OBSERVED, segment) without texts
+
+
 @dataclass(frozen=True)
 class Ingested:
     entries: DataFrame
-    segments: DataFrame
+    segments: DataFrame  # without texts
+    contents: DataFrame  # url_canonical, seq, texts
     sightings: DataFrame
     runs: DataFrame
     maxima: DataFrame
@@ -155,8 +169,8 @@ def assessed_runs(pages: DataFrame, entries: DataFrame, known: Known | None = No
     return runs, maxima
 
 
-def ingest(log: DataFrame, feeds: DataFrame, workspace: str, known: Known | None = None) -> Ingested:
-    """Ingest a log of responses; `workspace` is a folder all executors share."""
+def land(log: DataFrame, feeds: DataFrame, workspace: str) -> Landed:
+    """Parse and normalize a log of responses; `workspace` is a folder all executors share."""
     require_zoned(log, "started_at", "fetched_at")
     pages = stage(fetched_pages(log, feeds), f"{workspace}/pages")
     normalized = observation_log(pages)
@@ -165,15 +179,26 @@ def ingest(log: DataFrame, feeds: DataFrame, workspace: str, known: Known | None
         entries.filter(F.col("url_canonical").isNotNull()), "feed_id", "run_id"
     )
     everything = demoted.unionByName(entries.filter(F.col("url_canonical").isNull()))
-    usable = with_segment(demoted.select(*OBSERVED))
-    deduplicated = first_in_page(usable)
-    runs, maxima = assessed_runs(pages, everything, known)
+    usable = with_segment(demoted.select(*(c for c in OBSERVED if c not in TEXTS)))
+    return Landed(log, feeds, pages, everything, usable)
+
+
+def settle(landed: Landed, known: Known | None = None) -> Ingested:
+    """What a batch adds to what is known."""
+    deduplicated = first_in_page(landed.usable)
+    runs, maxima = assessed_runs(landed.pages, landed.entries, known)
     return Ingested(
-        entries=everything,
+        entries=landed.entries,
         segments=summarize(deduplicated),
+        contents=contents(landed.entries.filter(F.col("url_canonical").isNotNull())),
         # Of duplicates on a page only the first is stored, so its guid and URL are kept.
         sightings=fold_sightings(deduplicated),
         runs=runs,
         maxima=maxima.groupBy("feed_id").agg(F.max("run_max").alias("max_published")),
-        unknown=unknown_feed_runs(log, feeds),
+        unknown=unknown_feed_runs(landed.log, landed.feeds),
     )
+
+
+def ingest(log: DataFrame, feeds: DataFrame, workspace: str, known: Known | None = None) -> Ingested:
+    """Ingest a log of responses in one go."""
+    return settle(land(log, feeds, workspace), known)

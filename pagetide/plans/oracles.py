@@ -288,6 +288,7 @@ facts AS (
   FROM paged GROUP BY page_id
 )"""
 
+# Tracking parameters.
 _TRACKING = """['fbclid', 'gclid', 'gbraid', 'wbraid', 'dclid', 'msclkid', 'yclid', 'igshid', 'mc_cid', 'mc_eid',
   '_hsenc', '_hsmi', 'vero_id', 'oly_enc_id', 'ck_subscriber_id', 'ref', 'source', 'cmpid', 'ncid', 'spm',
   'at_medium', 'at_campaign', 'amp', 'outputtype']"""
@@ -646,6 +647,16 @@ GROUP BY attempted_at, reason""",
 SELECT DISTINCT epoch_us(attempted_at) AS attempted_at_us, reason FROM parsed""",
     "constraint_audit": """
 WITH f AS (SELECT DISTINCT source, lang FROM documents),
+r AS (
+  SELECT user_id, event_type,
+         'u-' || user_id || '|' || regexp_replace(CAST(ts AS VARCHAR), '(\\.[0-9]*?)0*$', CASE WHEN ts = date_trunc('second', ts) THEN '' ELSE '\\1' END) AS key
+  FROM events WHERE event_type <> 'signup'
+),
+m AS (
+  SELECT CAST(date_trunc('hour', ts) AS VARCHAR) AS at, value >= 50 AS drained,
+         CASE WHEN value < 10 THEN 'unheard' WHEN value < 90 THEN 'lock_held' END AS reason
+  FROM events WHERE event_type = 'signup'
+),
 a AS (
   SELECT sha256(text) AS url, CASE WHEN n_chars < 20000 THEN 's-' || source ELSE 's-none' END AS feed_id,
          n_chars, lang, text
@@ -661,6 +672,27 @@ broken AS (
   UNION ALL SELECT 'article', 'unique:url_canonical', url, count(*) FROM a GROUP BY url HAVING count(*) > 1
   UNION ALL SELECT 'article', 'reference:first_feed_id', feed_id, count(*) FROM a
             WHERE feed_id = 's-none' GROUP BY feed_id
+  UNION ALL SELECT 'article', 'not_null:first_feed_id', 'https://part.example/' || p_partkey, 1 FROM part
+            WHERE p_partkey % 10 <> 0
+  UNION ALL SELECT 'article_feed', 'not_null:url_original', 'https://part.example/' || l_partkey || '|p-' || l_suppkey, 1
+            FROM lineitem WHERE l_linenumber >= 7
+  UNION ALL SELECT 'article_feed', 'not_null:last_seen_at', 'https://part.example/' || l_partkey || '|p-' || l_suppkey, 1
+            FROM lineitem WHERE l_returnflag = 'R'
+  UNION ALL SELECT 'article_feed', 'unique:url_canonical,feed_id', 'https://part.example/' || l_partkey || '|p-' || l_suppkey,
+            count(*) FROM lineitem GROUP BY l_partkey, l_suppkey HAVING count(*) > 1
+  UNION ALL SELECT 'article_feed', 'reference:url_canonical', 'https://part.example/' || l_partkey, count(*)
+            FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_partkey % 10 <> 0) GROUP BY l_partkey
+  UNION ALL SELECT 'article_feed', 'reference:feed_id', 'p-' || l_suppkey, count(*)
+            FROM lineitem WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal >= 0) GROUP BY l_suppkey
+  UNION ALL SELECT 'feed_run', 'domain:status', key, 1 FROM r WHERE event_type = 'view'
+  UNION ALL SELECT 'feed_run', 'domain:gap_status', key, 1 FROM r WHERE event_type = 'purchase'
+  UNION ALL SELECT 'feed_run', 'not_null:n_new', key, 1 FROM r WHERE event_type = 'error'
+  UNION ALL SELECT 'feed_run', 'reference:feed_id', 'u-' || user_id, count(*) FROM r WHERE user_id % 5 = 0 GROUP BY user_id
+  UNION ALL SELECT 'missed_run', 'not_null:reason', at || '|', 1 FROM m WHERE reason IS NULL
+  UNION ALL SELECT 'missed_run', 'not_null:drained_at', at || '|' || coalesce(reason, ''), 1 FROM m WHERE NOT drained
+  UNION ALL SELECT 'missed_run', 'domain:reason', at || '|' || reason, 1 FROM m WHERE reason = 'unheard'
+  UNION ALL SELECT 'missed_run', 'unique:attempted_at,reason', at || '|' || reason, count(*) FROM m
+            WHERE reason IS NOT NULL GROUP BY at, reason HAVING count(*) > 1
 )
 SELECT table_name, rule, row_key, CAST(sum(n) AS BIGINT) AS n_rows FROM broken GROUP BY ALL""",
     "table_fingerprint": "\nUNION ALL ".join(_fingerprint(t, c) for t, c in _TABLE_COLUMNS.items()),
@@ -707,7 +739,11 @@ SELECT feed_id, run_id, 'ok' AS status, n_new, n_seen,
        CASE WHEN gap_reason <> 'few_reliable_dates'
             THEN epoch_us(TIMESTAMP '2024-01-01 00:00:00') + oldest * 3600000000 END AS oldest_in_page_us,
        epoch_us(TIMESTAMP '2024-01-01 00:00:00') + known * 3600000000 AS prev_max_published_us
-FROM judged""",
+FROM judged
+UNION ALL
+SELECT feed_id, -run_id - 1, CASE WHEN run_id % 2 = 0 THEN 'not_modified' ELSE 'error' END, 0, 0, 'unknown',
+       'not_fetched', NULL, NULL
+FROM page WHERE (feed_id + run_id) % 3 = 0""",
     "run_outcomes": f"""WITH {_ATTEMPTS},
 decided AS (
   SELECT *, row_number() OVER (
@@ -748,5 +784,55 @@ SELECT feed_id, v.etag AS etag, v.last_modified AS last_modified FROM (
   FROM events WHERE event_type IN ('click', 'purchase') GROUP BY user_id)""",
 }
 
+ORACLES["stream_feed_state"] = ORACLES["prev_max_by_run"]
+ORACLES["resolved_links"] = """
+WITH cut AS (
+  SELECT page_id, url, regexp_extract(url, '^(https?:)', 1) AS scheme, regexp_extract(url, '^(https?://[^/?#]*)', 1) AS root,
+         regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1) AS path
+  FROM pages
+), d AS (
+  SELECT *, CASE WHEN path = '' THEN '/' ELSE regexp_replace(path, '[^/]*$', '') END AS dir FROM cut
+), p AS (
+  SELECT *, CASE WHEN dir = '/' THEN '/' ELSE regexp_replace(dir, '[^/]+/$', '') END AS parent FROM d
+)
+SELECT page_id, CASE page_id % 11
+  WHEN 0 THEN 'https://o.example/a?b#c' WHEN 1 THEN root || dir || 'z/1.html' WHEN 2 THEN root || '/z/2?x=1'
+  WHEN 3 THEN root || parent || 'z3' WHEN 4 THEN root || dir || 'z4' WHEN 5 THEN root || path || '?q=5'
+  WHEN 6 THEN regexp_replace(url, '#.*$', '') || '#f6' WHEN 7 THEN scheme || '//o.example/x/y'
+  WHEN 8 THEN root || '/z8' WHEN 9 THEN root || parent ELSE root || dir || 'c/' END AS resolved
+FROM p"""
+ORACLES["page_dialects"] = f"""
+WITH d AS (
+  SELECT *, doc_id % 6 AS form, epoch_us(TIMESTAMP '2024-01-01 00:00:00') + doc_id * 3600000000 AS at_us,
+         sha256('Document ' || doc_id || chr(31) || {_clean("coalesce(text, '')")}) AS content_hash
+  FROM documents
+), e AS (
+  SELECT *, unnest(CASE WHEN form = 5 THEN [0, 1] WHEN form IN (3, 4) THEN [NULL] ELSE [0] END) AS pos FROM d
+), links AS (
+  SELECT *, CASE form WHEN 0 THEN 'https://atom.example/e/' || doc_id WHEN 1 THEN 'http://rdf.example/n/' || doc_id
+                      WHEN 2 THEN 'http://rss.example/a/c/d.html?p=' || doc_id
+                      WHEN 5 THEN CASE WHEN pos = 1 THEN 'https://two.example/x/y/' || doc_id END END AS link
+  FROM e
+)
+SELECT doc_id,
+       CASE form WHEN 3 THEN 'FeedParseError: racine inconnue, ni RSS ni Atom'
+                 WHEN 4 THEN 'FeedParseError: le document n''est pas du XML bien forme' END AS parse_error,
+       pos AS entry_pos, link AS url_original, replace(link, 'http://', 'https://') AS url_canonical,
+       CASE WHEN pos = 0 AND link IS NULL THEN 'missing' END AS reject_reason,
+       CASE WHEN form IN (0, 5) THEN 'atom:' || doc_id END AS guid,
+       CASE WHEN pos IS NOT NULL THEN 'Document ' || doc_id END AS title,
+       CASE WHEN pos IS NOT NULL THEN content_hash END AS content_hash,
+       CASE WHEN pos IS NOT NULL THEN at_us + CASE WHEN form = 2 THEN 86400000000 ELSE 0 END END AS published_at_us,
+       CASE WHEN pos IS NOT NULL THEN CASE WHEN form = 2 THEN 'fetched' ELSE 'updated' END END AS date_source
+FROM links"""
+ORACLES["snapshot_roundtrip"] = f"""
+WITH customer_now AS (
+  SELECT c_custkey, CASE WHEN c_custkey = (SELECT max(c_custkey) FROM customer) THEN 'Renamed' ELSE c_name END AS c_name,
+         c_nationkey, c_acctbal, c_mktsegment FROM customer
+), tables AS (
+{" UNION ALL ".join(_fingerprint(n, _TABLE_COLUMNS[n]) for n in ("nation", "orders", "supplier"))}
+  UNION ALL {_fingerprint("customer", _TABLE_COLUMNS["customer"]).replace("FROM customer", "FROM customer_now")}
+)
+SELECT *, 2 AS n_snapshots, 1 AS n_small_copies, 1 AS n_empty_copies, 1 AS n_expired FROM tables"""
 # The stream must store what the batch computes.
 ORACLES["stream_ingest"] = ORACLES["ingest_documents"]

@@ -17,7 +17,7 @@ from pagetide.session import shared_folder
 from pagetide.sources import attempts as attempt_log
 from pagetide.sources import declarations, fetchlog
 from pagetide.sources.pages import decode_body, explode_entries, normalize_entries, parse_documents
-from pagetide.streaming import drain, upsert
+from pagetide.streaming import drain, feed_state, upsert
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -205,14 +205,16 @@ def run_new_seen(spark: SparkSession, folder: str) -> DataFrame:
     return observe.run_counts(roles.observations(spark, folder))
 
 
-def prev_max_by_run(spark: SparkSession, folder: str) -> DataFrame:
+def _run_maxima(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Runs with their oldest reliable date, and the largest date each showed for the first time."""
     # One row per feed, run and URL, written once: everything below is derived from it.
     first = F.min(F.struct("seq", "published_at", "date_source")).alias("first")
+    oldest = F.min(F.when(F.col("date_source") != "fetched", F.col("published_at"))).alias("oldest")
     log = ingest.stage(
         roles.observations(spark, folder)
         .groupBy("feed_id", "run_id", "url_canonical")
-        .agg(first)
-        .select("feed_id", "run_id", "url_canonical", "first.*"),
+        .agg(first, oldest)
+        .select("feed_id", "run_id", "url_canonical", "first.*", "oldest"),
         shared_folder(spark, "prev-max"),
     )
     sighted = log.groupBy("url_canonical", "feed_id").agg(F.min_by("run_id", "seq").alias("run_id"))
@@ -221,16 +223,37 @@ def prev_max_by_run(spark: SparkSession, folder: str) -> DataFrame:
         .agg(F.min_by(F.struct("published_at", "date_source"), "seq").alias("first"))
         .select("url_canonical", "first.*")
     )
-    runs = log.select("feed_id", "run_id").distinct().withColumn("year", F.floor(F.col("run_id") / 12))
-    before = saturation.previous_maximum(
-        runs, saturation.newly_sighted_maximum(sighted, frozen), order="run_id", segment="year"
-    )
+    runs = log.groupBy("feed_id", "run_id").agg(F.min("oldest").alias("oldest"))
+    return runs, saturation.newly_sighted_maximum(sighted, frozen)
+
+
+def prev_max_by_run(spark: SparkSession, folder: str) -> DataFrame:
+    runs, maxima = _run_maxima(spark, folder)
+    by_year = runs.withColumn("year", F.floor(F.col("run_id") / 12))
+    before = saturation.previous_maximum(by_year, maxima, order="run_id", segment="year")
     return before.select("feed_id", "run_id", micros("prev_max_published"))
 
 
+def stream_feed_state(spark: SparkSession, folder: str) -> DataFrame:
+    """The same runs, arriving in three parts; what was known of a feed is the stream's own state."""
+    base = shared_folder(spark, "feed-state")
+    runs, maxima = _run_maxima(spark, folder)
+    rows = ingest.stage(
+        runs.join(maxima, ["feed_id", "run_id"], "left").select(
+            "feed_id", "run_id", F.col("run_id").alias("run_order"), "oldest", "run_max"
+        ),
+        f"{base}/rows",
+    )
+    year = F.floor(F.col("run_id") / 12)
+    for part in (year < 1995, year.between(1995, 1997), year > 1997):
+        rows.filter(part).write.mode("append").parquet(f"{base}/landed")
+        feed_state.tell_available(spark, f"{base}/landed", f"{base}/state")
+    return feed_state.told_runs(spark, f"{base}/state").select("feed_id", "run_id", micros("prev_max_published"))
+
+
 def feed_maxima(spark: SparkSession, folder: str) -> DataFrame:
     log = roles.observations(spark, folder)
-    articles = observe.fold_articles(log, roles.observation_segment())
+    articles = observe.fold_articles(log, roles.observation_segment(), texts=False)
     maxima = saturation.feed_maximum(observe.fold_sightings(log), articles)
     return maxima.select("feed_id", micros("max_published"))
 
@@ -345,6 +368,18 @@ def canonical_variants(spark: SparkSession, folder: str) -> DataFrame:
     return urls.canonicalize(pages, "raw").select("page_id", "url_canonical", "reject_reason")
 
 
+def resolved_links(spark: SparkSession, folder: str) -> DataFrame:
+    """References of eleven kinds in documents that lie at the given addresses."""
+    references = (
+        "https://o.example/a?b#c", "z/1.html", "/z/2?x=1", "../z3", "./z4", "?q=5", "#f6", "//o.example/x/./y",
+        "../" * 40 + "z8", "..", "a/b/../../c/.",
+    )
+    kinds = F.array(*map(F.lit, references))
+    reference = F.element_at(kinds, (F.col("page_id") % len(references) + 1).cast("int"))
+    pages = roles.table(spark, folder, "pages").select("page_id", "url")
+    return pages.select("page_id", urls.resolve(F.col("url"), reference).alias("resolved"))
+
+
 def canonical_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return canonical_urls(spark, folder).groupBy("url_canonical").agg(
         F.count(F.lit(1)).alias("n_pages"), F.min("page_id").alias("first_page_id")
@@ -551,6 +586,58 @@ def attempt_log_query(spark: SparkSession, folder: str) -> DataFrame:
     return fresh.select(micros("attempted_at"), "reason", "detail")
 
 
+def _star_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """Suppliers and users as feeds, parts as articles, lines as sightings, events as runs and attempts."""
+    at = F.lit(roles.DOCUMENT_EPOCH_TEXT).cast("timestamp")
+    events, lines = roles.table(spark, folder, "events"), roles.table(spark, folder, "lineitem")
+    kind = F.col("event_type")
+    user = F.concat(F.lit("u-"), F.col("user_id").cast("string"))
+    supplier = F.concat(F.lit("p-"), F.col("s_suppkey").cast("string"))
+    part = F.concat(F.lit("https://part.example/"), F.col("p_partkey").cast("string"))
+    # Suppliers in debt and users of every fifth number are no feeds, every tenth part is no article.
+    ids = (
+        roles.table(spark, folder, "supplier").filter("s_acctbal >= 0").select(supplier.alias("feed_id"))
+        .unionByName(events.filter("user_id % 5 <> 0").select(user.alias("feed_id")).distinct())
+    )
+    feeds = ids.select(
+        "feed_id",
+        F.col("feed_id").alias("slug"),
+        F.col("feed_id").alias("name"),
+        F.concat(F.lit("https://star.example/"), "feed_id").alias("url"),
+        F.lit("fr").alias("lang"), F.lit("sec").alias("topic"), F.lit("vendor").alias("source_type"),
+        F.lit(True).alias("is_active"), at.alias("created_at"), at.alias("updated_at"),
+    )
+    articles = roles.table(spark, folder, "part").filter("p_partkey % 10 <> 0").select(
+        part.alias("url_canonical"),
+        F.lit(None).cast("string").alias("first_feed_id"),
+        F.col("p_name").alias("title"),
+        F.sha2("p_name", 256).alias("content_hash"),
+        at.alias("published_at"), F.lit("updated").alias("date_source"),
+        at.alias("first_seen_at"), at.alias("last_seen_at"), at.alias("updated_at"),
+    )
+    sightings = lines.select(
+        F.concat(F.lit("https://part.example/"), F.col("l_partkey").cast("string")).alias("url_canonical"),
+        F.concat(F.lit("p-"), F.col("l_suppkey").cast("string")).alias("feed_id"),
+        F.when(F.col("l_linenumber") < 7, F.col("l_orderkey").cast("string")).alias("url_original"),
+        F.col("l_shipdate").alias("first_seen_at"),
+        F.when(F.col("l_returnflag") != "R", F.col("l_shipdate")).alias("last_seen_at"),
+    )
+    runs = events.filter(kind != "signup").select(
+        user.alias("feed_id"),
+        F.col("ts").alias("started_at"),
+        F.when(kind == "view", "gone").when(kind == "error", "error").otherwise("ok").alias("status"),
+        F.when(kind != "error", F.lit(0)).alias("n_new"),
+        F.lit(0).alias("n_seen"),
+        F.when(kind == "purchase", "maybe").otherwise("none").alias("gap_status"),
+    )
+    attempts = events.filter(kind == "signup").select(
+        F.date_trunc("hour", "ts").alias("attempted_at"),
+        F.when(F.col("value") < 10, "unheard").when(F.col("value") < 90, "lock_held").alias("reason"),
+        F.when(F.col("value") >= 50, F.col("ts")).alias("drained_at"),
+    )
+    return {"feed": feeds, "article": articles, "article_feed": sightings, "feed_run": runs, "missed_run": attempts}
+
+
 def constraint_audit(spark: SparkSession, folder: str) -> DataFrame:
     """Documents stored as articles under rules that their raw form breaks in many ways."""
     documents = roles.table(spark, folder, "documents")
@@ -578,7 +665,16 @@ def constraint_audit(spark: SparkSession, folder: str) -> DataFrame:
         started.alias("last_seen_at"),
         started.alias("updated_at"),
     )
-    violations = quality.audit({"feed": feeds, "article": articles})
+    more = _star_tables(spark, folder)
+    violations = quality.audit(
+        {
+            "feed": feeds.unionByName(more["feed"]),
+            "article": articles.unionByName(more["article"]),
+            "article_feed": more["article_feed"],
+            "feed_run": more["feed_run"],
+            "missed_run": more["missed_run"],
+        }
+    )
     return violations.groupBy("table_name", "rule", "row_key").agg(F.sum("n_rows").alias("n_rows"))
 
 
@@ -586,6 +682,33 @@ def table_fingerprint(spark: SparkSession, folder: str) -> DataFrame:
     return snapshot.fingerprints({name: roles.table(spark, folder, name) for name in FINGERPRINTED})
 
 
+def snapshot_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
+    """Tables as they were restored after a change, a second and a third snapshot, and a rotation.
+
+    With them, how many of their parts each snapshot that is left had to copy.
+    """
+    root = shared_folder(spark, "snapshots")
+    names = ("customer", "nation", "orders", "supplier")
+    tables = {name: roles.table(spark, folder, name) for name in names}
+    snapshot.take_snapshot(tables, root, "20240101-000000")
+    # the one customer with the largest key gets another name: one row leaves a part, one enters
+    last = F.col("c_custkey") == tables["customer"].agg(F.max("c_custkey")).first()[0]
+    name = F.when(last, "Renamed").otherwise(F.col("c_name"))
+    changed = {**tables, "customer": tables["customer"].withColumn("c_name", name)}
+    snapshot.take_snapshot(changed, root, "20240102-000000")
+    snapshot.take_snapshot(changed, root, "20240103-000000")
+    snapshot.rotate(spark, root, keep=2)
+    listed = snapshot.list_snapshots(spark, root, keep=1)
+    copied = listed.agg(
+        F.count(F.lit(1)).alias("n_snapshots"),
+        F.count_if((F.col("n_copied") >= 1) & (F.col("n_copied") <= 2)).alias("n_small_copies"),
+        F.count_if(F.col("n_copied") == 0).alias("n_empty_copies"),
+        F.count_if("expired").alias("n_expired"),
+    )
+    restored = snapshot.restore(spark, root, "20240103-000000")
+    return snapshot.fingerprints(restored).join(F.broadcast(copied))
+
+
 def embedding_fingerprint(spark: SparkSession, folder: str) -> DataFrame:
     """Components as millionths: whole numbers print alike in every engine."""
     scaled = F.transform("embedding", lambda x: F.floor(x.cast("double") * 1_000_000 + 0.5).cast("string"))
@@ -600,7 +723,7 @@ def purge_preview(spark: SparkSession, folder: str) -> DataFrame:
         feeds.filter(F.col("s_acctbal") < 0).select("feed_id"),
         feeds,
         log.select("feed_id", "run_id").distinct(),
-        observe.fold_articles(log, roles.observation_segment()).select("url_canonical", "first_feed_id"),
+        observe.fold_articles(log, roles.observation_segment(), texts=False).select("url_canonical", "first_feed_id"),
         log.select("url_canonical", "feed_id").distinct(),
     )
     counted = [
@@ -629,6 +752,20 @@ def page_entries(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def page_dialects(spark: SparkSession, folder: str) -> DataFrame:
+    """Atom, RSS 1.0 and 2.0 with relative links, error pages and cut documents: entries and errors."""
+    parsed = ingest.stage(parse_documents(roles.dialect_pages(spark, folder)), shared_folder(spark, "dialects"))
+    entries = normalize_entries(explode_entries(parsed.drop("warning")))
+    return (
+        parsed.select("doc_id", "parse_error")
+        .join(entries.drop("fetched_at"), "doc_id", "left")
+        .select(
+            "doc_id", "parse_error", "entry_pos", "url_original", "url_canonical", "reject_reason", "guid", "title",
+            "content_hash", micros("published_at"), "date_source",
+        )
+    )
+
+
 def _attempt_log(spark: SparkSession, folder: str) -> DataFrame:
     """Events in threes as the attempts of a run; every seventh run is of an unknown feed."""
     kind, number = F.col("event_type"), F.col("event_id")
@@ -714,20 +851,22 @@ def ingest_documents(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def stream_ingest(spark: SparkSession, folder: str) -> DataFrame:
-    """The same log, arriving in three batches, with a compaction after which the stream goes on."""
+    """The same log, arriving in three batches, old versions swept away while the stream goes on."""
     base = shared_folder(spark, "stream-ingest")
     feeds = roles.document_feeds(spark, folder)
     log = ingest.stage(roles.document_log(spark, folder), f"{base}/log")
-    # Runs are numbered in the order of their time; the cuts are thirds of that range.
+    # Pages are numbered in the order of their time; the cuts are thirds of that range. Runs that
+    # brought no page come a batch late.
     last = log.agg(F.max("run_id").alias("last")).first()["last"] or 0
-    third = last // 3 + 1
+    page = F.when(F.col("run_id") < 0, -F.col("run_id") - 1).otherwise(F.col("run_id"))
+    arrival = F.least(F.lit(2), F.floor(page / (last // 3 + 1)) + (F.col("run_id") < 0).cast("long"))
     for batch in range(3):
-        log.filter(F.floor(F.col("run_id") / third) == batch).write.mode("append").parquet(f"{base}/landed")
+        log.filter(arrival == batch).write.mode("append").parquet(f"{base}/landed")
         upsert.ingest_stream(
             fetchlog.stream_fetch_log(spark, f"{base}/landed"), feeds, f"{base}/state"
         ).awaitTermination()
         if batch == 1:
-            upsert.compact(spark, f"{base}/state", batch)
+            upsert.sweep(spark, f"{base}/state", batch)
     return _run_columns(upsert.stored_runs(spark, f"{base}/state"))
 
 
@@ -819,4 +958,8 @@ QUERIES: dict[str, Query] = {
     "stream_ingest": stream_ingest,
     "stream_upsert": stream_upsert,
     "stream_attempts": stream_attempts,
+    "stream_feed_state": stream_feed_state,
+    "resolved_links": resolved_links,
+    "page_dialects": page_dialects,
+    "snapshot_roundtrip": snapshot_roundtrip,
 }

@@ -7,6 +7,7 @@ a month a run), articles and page documents from `documents`, raw links and HTML
 
 from __future__ import annotations
 
+import re
 from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -151,6 +152,13 @@ def document_feeds(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _escaped(text: Column) -> Column:
+    for raw, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        text = F.replace(text, F.lit(raw), F.lit(entity))
+    # Control characters are not allowed in XML.
+    return F.regexp_replace(text, r"[\x00-\x08\x0b\x0c\x0e-\x1f]", " ")
+
+
 def document_log(spark: SparkSession, folder: str) -> DataFrame:
     """A fetch log whose responses are RSS pages of a source's consecutive documents.
 
@@ -160,12 +168,6 @@ def document_log(spark: SparkSession, folder: str) -> DataFrame:
     number = F.col("doc_id")
     start = F.unix_micros(F.lit(DOCUMENT_EPOCH_TEXT).cast("timestamp"))
 
-    def escaped(text: Column) -> Column:
-        for raw, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
-            text = F.replace(text, F.lit(raw), F.lit(entity))
-        # Control characters are not allowed in XML.
-        return F.regexp_replace(text, r"[\x00-\x08\x0b\x0c\x0e-\x1f]", " ")
-
     day = F.timestamp_micros(start + number * 3_600_000_000)
     item = F.concat(
         F.lit("<item><title>Document "),
@@ -181,7 +183,7 @@ def document_log(spark: SparkSession, folder: str) -> DataFrame:
         F.lit("</guid><pubDate>"),
         F.date_format(day, "EEE, dd MMM yyyy HH:mm:ss"),
         F.lit(" +0000</pubDate><description>"),
-        escaped(F.col("text")),
+        _escaped(F.col("text")),
         F.lit("</description></item>"),
     )
     span = F.floor(number / PAGE_SPAN)
@@ -203,7 +205,7 @@ def document_log(spark: SparkSession, folder: str) -> DataFrame:
     )
     # A page is fetched when its last document number is reached; one number is one hour.
     fetched = F.timestamp_micros(start + (F.col("run_id") + 1) * F.lit(PAGE_SPAN * 3_600_000_000))
-    return pages.select(
+    served = pages.select(
         "feed_id",
         "run_id",
         F.col("feed_id").cast("int").alias("feed_pos"),
@@ -216,3 +218,66 @@ def document_log(spark: SparkSession, folder: str) -> DataFrame:
         F.lit(None).cast("string").alias("last_modified"),
         fetched.alias("fetched_at"),
     )
+    return served.unionByName(_unserved(pages.select("feed_id", "run_id"), fetched))
+
+
+def _unserved(pages: DataFrame, fetched: Column) -> DataFrame:
+    """After a third of the pages, a run that brings none: the page is unchanged, or two attempts fail.
+
+    Such runs have negative numbers.
+    """
+    even = F.col("run_id") % 2 == 0
+    later = fetched + F.expr("INTERVAL 1 HOUR")
+    answers = F.when(even, F.array(F.lit(304))).otherwise(F.array(F.lit(503), F.lit(None).cast("int")))
+    runs = pages.filter((F.col("feed_id") + F.col("run_id")) % 3 == 0).select(
+        "feed_id", "run_id", later.alias("at"), F.posexplode(answers).alias("nth", "http_status")
+    )
+    return runs.select(
+        "feed_id",
+        (-F.col("run_id") - 1).alias("run_id"),
+        F.col("feed_id").cast("int").alias("feed_pos"),
+        F.col("at").alias("started_at"),
+        (F.col("nth") + 1).alias("attempt"),
+        "http_status",
+        F.when(F.col("http_status").isNull(), "timed out").alias("transport_error"),
+        F.lit(None).cast("binary").alias("body"),
+        F.lit(None).cast("string").alias("etag"),
+        F.lit(None).cast("string").alias("last_modified"),
+        F.col("at").alias("fetched_at"),
+    )
+
+
+def dialect_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """Each document on a page of its own, in one of six forms; links are relative where they can be."""
+    number = F.col("doc_id")
+    text = _escaped(F.coalesce("text", F.lit("")))
+    day = F.timestamp_micros(F.unix_micros(F.lit(DOCUMENT_EPOCH_TEXT).cast("timestamp")) + number * 3_600_000_000)
+    stamp = F.date_format(day, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+    def page(form: str) -> Column:
+        """The form with its marks filled in."""
+        parts = re.split(r"\{(id|text|stamp)\}", form)
+        marks = {"id": number.cast("string"), "text": text, "stamp": stamp}
+        return F.concat(*(marks[part] if i % 2 else F.lit(part) for i, part in enumerate(parts)))
+
+    entry = "<title>Document {id}</title><id>atom:{id}</id><updated>{stamp}</updated><summary>{text}</summary>"
+    item = "<title>Document {id}</title><description>{text}</description>"
+    forms = (
+        "<feed xmlns='http://www.w3.org/2005/Atom' xml:base='https://atom.example/blog/'><title>A</title><entry>"
+        f"<link rel='self' href='x'/><link rel='alternate' href='../e/{{id}}'/>{entry}</entry></feed>",
+        "<rdf:RDF xmlns:rdf='http://www.w3.org/1999/02/22-rdf-syntax-ns#' xmlns='http://purl.org/rss/1.0/' "
+        "xmlns:dc='http://purl.org/dc/elements/1.1/'><channel><title>R</title><link>http://rdf.example/site/</link></channel>"
+        f"<item><link>/n/{{id}}</link><dc:date>{{stamp}}</dc:date>{item}</item></rdf:RDF>",
+        "<rss version='2.0' xml:base='http://rss.example/a/b/'><channel><title>S</title><link>http://other.example/</link>"
+        f"<item xml:base='../c/'><link>d.html?p={{id}}</link>{item}</item></channel></rss>",
+        "<html><head><title>Document {id}</title></head><body><p>{text}</p></body></html>",
+        f"<rss version='2.0'><channel><title>T</title><item><link>https://cut.example/{{id}}</link>{item}</item>",
+        f"<feed xmlns='http://www.w3.org/2005/Atom'><link href='https://two.example/x/index.html'/><entry>{entry}</entry>"
+        f"<entry><link href='y/{{id}}'/>{entry}</entry></feed>",
+    )
+    body = F.lit(None).cast("string")
+    for turn, form in enumerate(forms):
+        body = F.when(number % len(forms) == turn, page(form)).otherwise(body)
+    return table(spark, folder, "documents").select(
+        "doc_id", F.encode(body, "UTF-8").alias("body"), (day + F.expr("INTERVAL 1 DAY")).alias("fetched_at")
+    )

@@ -13,23 +13,24 @@ from pyspark.sql import functions as F
 from pagetide.functions.dates import parse_datetime, resolve_published
 from pagetide.functions.markup import sanitize_with_text
 from pagetide.functions.text import clean_title, content_hash, trim_ws
-from pagetide.functions.urls import canonicalize
+from pagetide.functions.urls import canonicalize, resolve
 
 _RSS_ITEM = (
-    "struct<title string, link string, guid struct<_VALUE string, _isPermaLink string>, "
+    "struct<`_xml:base` string, title string, link string, guid struct<_VALUE string, _isPermaLink string>, "
     "pubDate string, `dc:date` string, description string, author string, `dc:creator` string, "
     "`content:encoded` string>"
 )
+_ATOM_LINKS = "array<struct<_href string, _rel string>>"
 _ATOM_ENTRY = (
-    "struct<title string, link array<struct<_href string, _rel string>>, id string, "
+    f"struct<`_xml:base` string, title string, link {_ATOM_LINKS}, id string, "
     "published string, updated string, author array<struct<name string>>, "
     "summary string, content array<string>>"
 )
 # The column of malformed records must come last.
 # RSS 1.0 has its items beside the channel, older and newer dialects within it.
 DOCUMENT = (
-    f"channel struct<title string, item array<{_RSS_ITEM}>>, item array<{_RSS_ITEM}>, "
-    f"entry array<{_ATOM_ENTRY}>, _corrupt string"
+    f"`_xml:base` string, channel struct<`_xml:base` string, title string, link array<string>, item array<{_RSS_ITEM}>>, "
+    f"item array<{_RSS_ITEM}>, link {_ATOM_LINKS}, entry array<{_ATOM_ENTRY}>, _corrupt string"
 )
 _OPTIONS = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
 
@@ -62,12 +63,25 @@ def _filled(value: Column) -> Column:
     return F.nullif(trim_ws(value), F.lit(""))
 
 
-def _from_rss(item: Column) -> Column:
+def _absolute(link: Column, own_base: Column, base: Column, site: Column) -> Column:
+    """A link as the document means it: relative to `xml:base` if there is one, else to the site.
+
+    The site's address is no declared base: held against it, what looks like a host without
+    scheme stays one, as such links occur and mean that.
+    """
+    declared = F.coalesce(resolve(base, _filled(own_base)), base)
+    hostlike = link.rlike(r"^[^/?#:]+\.[^/?#.:]+(:[0-9]+)?(/|$)") & ~link.rlike(r"(?i)^[^/]*\.(html?|php|aspx?|jsp|xml)$")
+    return F.when(declared.isNotNull(), resolve(declared, link)).when(hostlike, link).otherwise(resolve(site, link))
+
+
+def _from_rss(item: Column, base: Column, site: Column) -> Column:
     guid = _filled(item["guid"]["_VALUE"])
     is_link = F.lower(F.coalesce(item["guid"]["_isPermaLink"], F.lit("true"))) != "false"
     return F.struct(
         item["title"].alias("title"),
-        F.coalesce(_filled(item["link"]), F.when(is_link, guid)).alias("url_original"),
+        _absolute(F.coalesce(_filled(item["link"]), F.when(is_link, guid)), item["_xml:base"], base, site).alias(
+            "url_original"
+        ),
         guid.alias("guid"),
         F.coalesce(_filled(item["author"]), _filled(item["dc:creator"])).alias("author"),
         F.coalesce(_filled(item["content:encoded"]), _filled(item["description"])).alias("raw_summary"),
@@ -80,13 +94,16 @@ def _first_filled(values: Column) -> Column:
     return F.get(F.filter(F.transform(values, _filled), lambda v: v.isNotNull()), 0)
 
 
-def _from_atom(entry: Column) -> Column:
-    alternates = F.filter(
-        entry["link"], lambda link: F.coalesce(link["_rel"], F.lit("alternate")) == "alternate"
-    )
+def _alternate(links: Column) -> Column:
+    """The first address among links that are said to be the thing itself, or said to be nothing."""
+    alternates = F.filter(links, lambda link: F.coalesce(link["_rel"], F.lit("alternate")) == "alternate")
+    return _first_filled(F.transform(alternates, lambda link: link["_href"]))
+
+
+def _from_atom(entry: Column, base: Column, site: Column) -> Column:
     return F.struct(
         entry["title"].alias("title"),
-        _first_filled(F.transform(alternates, lambda link: link["_href"])).alias("url_original"),
+        _absolute(_alternate(entry["link"]), entry["_xml:base"], base, site).alias("url_original"),
         _filled(entry["id"]).alias("guid"),
         _first_filled(F.transform(entry["author"], lambda author: author["name"])).alias("author"),
         F.coalesce(_first_filled(entry["content"]), _filled(entry["summary"])).alias("raw_summary"),
@@ -127,15 +144,24 @@ def parse_documents(pages: DataFrame, body: str = "body") -> DataFrame:
         .when(F.col("__doc._corrupt").isNotNull(), ERROR_MALFORMED)
         .when(~F.regexp_extract("__text", _ROOT, 1).isin(*_FEED_ROOTS), ERROR_NOT_A_FEED)
     )
+    root = _filled(F.col("__doc.`_xml:base`"))
+    inner = _filled(F.col("__doc.channel.`_xml:base`"))
+    bases = F.struct(
+        root.alias("root"),
+        F.coalesce(resolve(root, inner), root).alias("channel"),
+        F.coalesce(_first_filled(F.col("__doc.channel.link")), _alternate(F.col("__doc.link"))).alias("site"),
+    )
+    site = F.col("__bases.site")
     items = F.concat(
-        F.coalesce(F.transform("__doc.channel.item", _from_rss), F.array()),
-        F.coalesce(F.transform("__doc.item", _from_rss), F.array()),
-        F.coalesce(F.transform("__doc.entry", _from_atom), F.array()),
+        F.coalesce(F.transform("__doc.channel.item", lambda x: _from_rss(x, F.col("__bases.channel"), site)), F.array()),
+        F.coalesce(F.transform("__doc.item", lambda x: _from_rss(x, F.col("__bases.root"), site)), F.array()),
+        F.coalesce(F.transform("__doc.entry", lambda x: _from_atom(x, F.col("__bases.root"), site)), F.array()),
     )
     return (
-        read.withColumn("parse_error", error)
+        read.withColumn("__bases", bases)
+        .withColumn("parse_error", error)
         .withColumn("items", F.when(F.col("parse_error").isNull(), items))
-        .drop("__text", "__doc")
+        .drop("__text", "__doc", "__bases")
     )
 
 

@@ -1,77 +1,26 @@
-"""Append-only state of the streams.
+"""Append-only tables of the streams.
 
 Every micro-batch writes its own folder `batch=<n>`, named by the batch id and replaced as a
-whole. A replayed batch therefore rewrites the same folder, and because it reads only folders of
-earlier batches it computes the same rows: effects happen once without a transactional store.
-
-Compaction adds a folder `upto=<n>` with the merged rows of all batches up to n, and, when all
-tables are written, a mark. Readers take the newest marked one that lies before the batch they
-work for, and the batches behind it; the stream and its checkpoint go on as they are.
+whole. A replayed batch therefore rewrites the same folder: effects happen once without a
+transactional store. No batch reads these folders; what batches read is in `buckets`.
 """
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_MARKS = "_compacted"
-
-
-def exists(spark: SparkSession, folder: str) -> bool:
-    try:
-        spark.read.format("binaryFile").load(folder)
-    except AnalysisException as error:
-        if error.getCondition() == "PATH_NOT_FOUND":
-            return False
-        raise
-    return True
+from pagetide.files import exists
 
 
 def write_delta(df: DataFrame, state: str, table: str, batch: int) -> None:
     df.write.mode("overwrite").parquet(f"{state}/{table}/batch={batch}")
 
 
-def write_compacted(df: DataFrame, state: str, table: str, upto: int) -> None:
-    df.write.mode("overwrite").parquet(f"{state}/{_MARKS}/{table}/upto={upto}")
-
-
-def mark_compacted(spark: SparkSession, state: str, upto: int) -> None:
-    """From now on readers may start from the compacted rows; a single small file."""
-    spark.range(1).select(F.lit(str(upto)).alias("value")).coalesce(1).write.mode("overwrite").text(
-        f"{state}/{_MARKS}/_marks/upto={upto}"
-    )
-
-
-def compacted_upto(spark: SparkSession, state: str, before: int | None) -> int | None:
-    """The newest compaction that holds no row of batch `before` or later."""
-    marks = f"{state}/{_MARKS}/_marks"
-    if not exists(spark, marks):
-        return None
-    # one row per compaction
-    found = spark.read.schema("value string").option("recursiveFileLookup", "true").text(marks).collect()
-    usable = [int(row["value"]) for row in found if before is None or int(row["value"]) < before]
-    return max(usable, default=None)
-
-
-def read_deltas(
-    spark: SparkSession, state: str, table: str, schema: T.StructType, *, before: int | None = None
-) -> DataFrame:
-    """All rows written so far, with their `batch`; an unwritten table is empty.
-
-    `before` limits the listing to earlier batches; it prunes folders, no file of a later one
-    is opened. Compacted rows carry the number of their last batch.
-    """
+def read_deltas(spark: SparkSession, state: str, table: str, schema: T.StructType) -> DataFrame:
+    """All rows written so far, with their `batch`; an unwritten table is empty."""
     full = T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
     folder = f"{state}/{table}"
     if not exists(spark, folder):
         return spark.createDataFrame([], full)
-    deltas = spark.read.schema(full).parquet(folder)
-    if before is not None:
-        deltas = deltas.filter(F.col("batch") < before)
-    upto = compacted_upto(spark, state, before)
-    if upto is None:
-        return deltas
-    merged = spark.read.schema(schema).parquet(f"{state}/{_MARKS}/{table}/upto={upto}")
-    return deltas.filter(F.col("batch") > upto).unionByName(merged.withColumn("batch", F.lit(upto).cast("long")))
+    return spark.read.schema(full).parquet(folder)

@@ -1,7 +1,8 @@
 """Incremental ingestion with Structured Streaming.
 
-The state is what the batch operators produce: article segments, sightings, runs and feed
-maxima, one delta per micro-batch. Articles are merged on read. Nothing is dropped as late: the
+The state is what is known: articles, sightings and feed maxima, in buckets by URL or feed. A
+batch folds its own observations as the batch job does, reads the buckets of its URLs and
+feeds, merges, and writes these buckets anew. Runs are appended. Nothing is dropped as late: the
 order that counts is the order of arrival, so there is no watermark.
 """
 
@@ -16,37 +17,44 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from pagetide.operators.observe import (
+    TEXTS,
+    contents,
     first_in_page,
     fold_sightings,
     merge_articles,
-    merge_segments,
     merge_sightings,
+    narrow,
     sighting_rows,
     summarize,
     with_segment,
+    with_texts,
 )
-from pagetide.plans.ingest import Known, ingest
-from pagetide.streaming.deltas import exists, mark_compacted, read_deltas, write_compacted, write_delta
+from pagetide.plans.ingest import Known, land, settle, stage
+from pagetide.sources.fetchlog import updated_feeds
+from pagetide.streaming.buckets import BucketTable
+from pagetide.streaming.deltas import read_deltas, write_delta
+from pagetide.files import finished
 
 MAXIMA = T.StructType([T.StructField("feed_id", T.LongType()), T.StructField("max_published", T.TimestampType())])
+URL = ("url_canonical",)
 
 
-def _schema_folder(state: str, table: str) -> str:
-    return f"{state}/_schemas/{table}"
+def _recorded(spark: SparkSession, state: str, table: str, schema: T.StructType | None) -> T.StructType:
+    """The schema of a state table: the first batch records it beside the data."""
+    folder = f"{state}/_schemas/{table}"
+    if schema is not None and not finished(spark, folder):
+        described = spark.createDataFrame([(schema.json(),)], "schema string")
+        described.coalesce(1).write.mode("overwrite").text(folder)
+    (row,) = spark.read.text(folder).collect()
+    return T.StructType.fromJson(json.loads(row["value"]))
 
 
-def _schema(spark: SparkSession, state: str, table: str) -> T.StructType:
-    (row,) = spark.read.text(_schema_folder(state, table)).collect()
-    return T.StructType.fromJson(json.loads(row["value"]))
+def _table(spark: SparkSession, state: str, name: str, schema: T.StructType | None = None) -> BucketTable:
+    return BucketTable(spark, f"{state}/{name}", _recorded(spark, state, name, schema), URL)
 
 
-def _store(df: DataFrame, state: str, table: str, batch: int) -> None:
-    """Write a batch's delta; the first one records the schema next to the data."""
-    spark = df.sparkSession
-    if not exists(spark, _schema_folder(state, table)):
-        described = spark.createDataFrame([(df.schema.json(),)], "schema string")
-        described.coalesce(1).write.mode("overwrite").text(_schema_folder(state, table))
-    write_delta(df, state, table, batch)
+def _maxima(spark: SparkSession, state: str) -> BucketTable:
+    return BucketTable(spark, f"{state}/maxima", MAXIMA, ("feed_id",))
 
 
 def _run(
@@ -58,54 +66,122 @@ def _run(
     return writer.start()
 
 
+def updated_articles(stored: DataFrame, arrived: DataFrame, texts: DataFrame) -> DataFrame:
+    """Stored articles after a batch that folds to `arrived` (articles without texts, `opening_hash`).
+
+    A stored article keeps its origin. Its content changes if the batch changed it inside, or
+    opened with another hash than the one stored. Only contents that win are looked up.
+    """
+    new = arrived.select("url_canonical", F.struct(*(c for c in arrived.columns if c != "url_canonical")).alias("new"))
+    old = stored.withColumn("__stored", F.lit(True))
+    both = old.join(new.hint("shuffle_hash"), "url_canonical", "full_outer")
+    came, there = F.col("new").isNotNull(), F.col("__stored").isNotNull()
+    changed_inside = ~F.col("new.content_seq").eqNullSafe(F.col("new.first_seq"))
+    differs = ~F.col("new.opening_hash").eqNullSafe(F.col("content_hash"))
+    both = both.withColumn("__taken", came & (~there | changed_inside | differs))
+    taken = both.filter("__taken").select("url_canonical", "new.content_seq")
+    found = with_texts(taken, texts).withColumnRenamed("url_canonical", "__url")
+    for name in TEXTS:
+        found = found.withColumnRenamed(name, f"__{name}")
+
+    def first(name: str) -> Column:
+        return F.when(there, F.col(name)).otherwise(F.col(f"new.{name}")).alias(name)
+
+    def content(name: str, fresh: Column) -> Column:
+        return F.when(F.col("__taken"), fresh).otherwise(F.col(name)).alias(name)
+
+    return both.join(found.hint("shuffle_hash"), F.col("url_canonical") == F.col("__url"), "left").select(
+        "url_canonical",
+        *(first(c) for c in ("first_feed_id", "first_seq", "published_at", "date_source", "first_seen_at")),
+        *(content(c, F.col(f"__{c}")) for c in TEXTS),
+        content("content_hash", F.col("new.content_hash")),
+        content("updated_at", F.col("new.updated_at")),
+        F.coalesce("new.last_seen_at", "last_seen_at").alias("last_seen_at"),
+        (F.coalesce("n_observations", F.lit(0)) + F.coalesce("new.n_observations", F.lit(0))).alias("n_observations"),
+    )
+
+
+def _folded(segments: DataFrame) -> DataFrame:
+    """The batch's articles without texts, with the hash that each began with."""
+    opened = segments.groupBy("url_canonical").agg(
+        F.min_by(F.struct("opening.content_hash"), "segment").alias("__opened")
+    )
+    joined = merge_articles(segments).join(opened, "url_canonical")
+    return joined.withColumn("opening_hash", F.col("__opened.content_hash")).drop("__opened")
+
+
+def _article_schema(folded: DataFrame, texts: DataFrame) -> T.StructType:
+    kinds = {f.name: f.dataType for f in (*folded.schema, *texts.schema)}
+    names = (
+        "url_canonical", "first_feed_id", "first_seq", "published_at", "date_source", "first_seen_at",
+        *TEXTS, "content_hash", "updated_at", "last_seen_at", "n_observations",
+    )
+    return T.StructType([T.StructField(name, kinds[name]) for name in names])
+
+
+def _store_folded(state: str, batch: int, segments: DataFrame, texts: DataFrame, sightings: DataFrame) -> None:
+    """Merge a batch into the buckets of its URLs. All inputs must be staged: they are read twice."""
+    spark = segments.sparkSession
+    arrived = _folded(segments)
+    articles = _table(spark, state, "articles", _article_schema(arrived, texts))
+    version, numbers = articles.touched(batch, segments)
+    articles.write(batch, version, numbers, updated_articles(articles.read(version, numbers), arrived, texts))
+    pairs = _table(spark, state, "sightings", sightings.schema)
+    version, numbers = pairs.touched(batch, sightings)
+    merged = merge_sightings(pairs.read(version, numbers).unionByName(sightings))
+    pairs.write(batch, version, numbers, merged)
+
+
 def fold_available(
     spark: SparkSession, landed: str, schema: T.StructType, state: str, segment: Column | None = None
 ) -> None:
     """Fold the files of an observation log that arrived since the last call."""
 
     def work(batch: DataFrame, batch_id: int) -> None:
-        deduplicated = first_in_page(with_segment(batch, segment))
-        _store(summarize(deduplicated), state, "segments", batch_id)
-        _store(fold_sightings(deduplicated), state, "sightings", batch_id)
+        work_folder = f"{state}/_work/batch={batch_id}"
+        deduplicated = first_in_page(with_segment(narrow(batch), segment))
+        segments = stage(summarize(deduplicated), f"{work_folder}/segments")
+        sightings = stage(fold_sightings(deduplicated), f"{work_folder}/sightings")
+        _store_folded(state, batch_id, segments, contents(batch), sightings)
 
     stream = spark.readStream.schema(schema).parquet(landed)
     _run(stream, state, work, available_now=True).awaitTermination()
 
 
-def _deltas(spark: SparkSession, state: str, table: str, before: int | None = None) -> DataFrame:
-    return read_deltas(spark, state, table, _schema(spark, state, table), before=before)
-
-
 def stored_articles(spark: SparkSession, state: str) -> DataFrame:
     """Articles over all batches, in order of arrival."""
-    return merge_articles(_deltas(spark, state, "segments"), "batch", "segment")
+    return _table(spark, state, "articles").current()
 
 
 def stored_sightings(spark: SparkSession, state: str) -> DataFrame:
-    return sighting_rows(merge_sightings(_deltas(spark, state, "sightings")))
+    return sighting_rows(_table(spark, state, "sightings").current())
 
 
 def stored_runs(spark: SparkSession, state: str) -> DataFrame:
-    return _deltas(spark, state, "runs")
+    return read_deltas(spark, state, "runs", _recorded(spark, state, "runs", None))
+
 
+def stored_feeds(spark: SparkSession, state: str, feeds: DataFrame) -> DataFrame:
+    """Feeds with the validators of their runs so far."""
+    return updated_feeds(feeds, stored_runs(spark, state))
 
-def known_before(spark: SparkSession, state: str, batch: int) -> Known | None:
-    """What the batches before `batch` stored; columns the verdicts need, and no texts."""
-    if not exists(spark, _schema_folder(state, "segments")):
+
+def known_before(spark: SparkSession, state: str, batch: int, urls: DataFrame, feed_ids: DataFrame) -> Known | None:
+    """What earlier batches stored of these URLs and feeds; columns the verdicts need, and no texts."""
+    if not batch:
         return None
-    opening = F.struct(F.col("opening.published_at").alias("published_at"), F.col("opening.date_source").alias("date_source"))
-    articles = (
-        _deltas(spark, state, "segments", batch)
-        .groupBy("url_canonical")
-        .agg(F.min_by(opening, F.struct("batch", "segment")).alias("first"))
-        .select("url_canonical", "first.*")
-    )
+    parts = []
+    for table, keys in (
+        (_table(spark, state, "articles"), urls),
+        (_table(spark, state, "sightings"), urls),
+        (_maxima(spark, state), feed_ids),
+    ):
+        parts.append(table.read(*table.touched(batch, keys)))
+    articles, sightings, maxima = parts
     return Known(
-        articles=articles,
-        sightings=_deltas(spark, state, "sightings", batch).select("url_canonical", "feed_id").distinct(),
-        maxima=read_deltas(spark, state, "maxima", MAXIMA, before=batch)
-        .groupBy("feed_id")
-        .agg(F.max("max_published").alias("max_published")),
+        articles=articles.select("url_canonical", "published_at", "date_source"),
+        sightings=sightings.select("url_canonical", "feed_id"),
+        maxima=maxima,
     )
 
 
@@ -116,32 +192,31 @@ def ingest_stream(
     spark = log.sparkSession
 
     def work(batch: DataFrame, batch_id: int) -> None:
-        known = known_before(spark, state, batch_id) if batch_id else None
-        done = ingest(batch, feeds, f"{state}/_work/batch={batch_id}", known)
-        _store(done.segments, state, "segments", batch_id)
-        _store(done.sightings, state, "sightings", batch_id)
-        _store(done.runs, state, "runs", batch_id)
-        _store(done.maxima, state, "maxima", batch_id)
+        folder = f"{state}/_work/batch={batch_id}"
+        landed = land(batch, feeds, folder)
+        urls, feed_ids = landed.usable.select("url_canonical"), landed.pages.select("feed_id")
+        known = known_before(spark, state, batch_id, urls, feed_ids)
+        done = settle(landed, known)
+        runs = stage(done.runs, f"{folder}/runs")
+        _recorded(spark, state, "runs", runs.schema)
+        write_delta(runs, state, "runs", batch_id)
+        segments = stage(done.segments, f"{folder}/segments")
+        sightings = stage(done.sightings, f"{folder}/sightings")
+        _store_folded(state, batch_id, segments, done.contents, sightings)
+        maxima = _maxima(spark, state)
+        version, numbers = maxima.touched(batch_id, feed_ids)
+        merged = maxima.read(version, numbers).unionByName(done.maxima)
+        maxima.write(
+            batch_id, version, numbers, merged.groupBy("feed_id").agg(F.max("max_published").alias("max_published"))
+        )
 
     return _run(log, state, work, available_now=available_now)
 
 
-def compact(spark: SparkSession, state: str, upto: int) -> None:
-    """Merge the batches up to `upto`, which must be finished, into one; the stream goes on from it.
+def sweep(spark: SparkSession, state: str, keep: int) -> None:
+    """Remove what only versions before batch `keep` need; that batch itself must be finished.
 
-    Run it between triggers or from the stream's driver. A crash before the mark leaves the
-    state as it was; batches are kept for replays until their owner removes them.
+    Run it between triggers or from the stream's driver; the stream goes on.
     """
-    for table in ("segments", "sightings", "runs", "maxima"):
-        if not exists(spark, _schema_folder(state, table)):
-            continue
-        old = _deltas(spark, state, table, upto + 1)
-        if table == "segments":
-            old = merge_segments(old, "batch", "segment")
-        elif table == "sightings":
-            old = merge_sightings(old)
-        elif table == "maxima":
-            old = old.groupBy("feed_id").agg(F.max("max_published").alias("max_published"))
-        columns = [field.name for field in _schema(spark, state, table)]
-        write_compacted(old.select(*columns), state, table, upto)
-    mark_compacted(spark, state, upto)
+    for table in (_table(spark, state, "articles"), _table(spark, state, "sightings"), _maxima(spark, state)):
+        table.sweep(keep)

@@ -4,8 +4,8 @@ import random
 from datetime import timedelta
 
 import pytest
-from support import at, utc
 from pyspark.sql import functions as F
+from support import at, utc
 
 from pagetide.operators import observe
 
@@ -101,7 +101,9 @@ def test_batches_equal_the_whole(spark, cuts):
         log = spark.createDataFrame([r for r in rows if low <= r[1] < high], SCHEMA)
         segments = observe.summarize(observe.first_in_page(observe.with_segment(log))).withColumn("batch", F.lit(batch))
         parts = segments if parts is None else parts.unionByName(segments)
-    merged = {r["url_canonical"]: plain(r, ARTICLE_FIELDS) for r in observe.merge_articles(parts, "batch", "segment").collect()}
+    whole = observe.contents(spark.createDataFrame(rows, SCHEMA))
+    found = observe.with_texts(observe.merge_articles(parts, "batch", "segment"), whole)
+    merged = {r["url_canonical"]: plain(r, ARTICLE_FIELDS) for r in found.collect()}
     articles, _, _ = sequential(rows)
     assert merged == {u: {f: a[f] for f in ARTICLE_FIELDS} for u, a in articles.items()}
 
@@ -133,3 +135,25 @@ def test_flags(spark):
         assert row["is_fallback"] == (row["date_source"] == "fetched")
         assert row["was_revised"] == (row["updated_at"] > row["first_seen_at"])
     assert {r["was_revised"] for r in flagged} == {True, False}
+
+
+def nodes(plan):
+    yield plan
+    children = plan.children()
+    for i in range(children.size()):
+        yield from nodes(children.apply(i))
+
+
+def test_no_text_is_sorted_or_aggregated(spark):
+    """Whatever reorders or gathers rows sees hashes and positions; texts pass by once."""
+    log = spark.createDataFrame(random_log(random.Random(3), n_runs=5), SCHEMA)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = observe.fold_articles(log)._jdf.queryExecution().executedPlan()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    seen = [(node.nodeName(), node.output().mkString(" ") + node.simpleString(1000)) for node in nodes(plan)]
+    gathering = [(name, shown) for name, shown in seen if any(x in name for x in ("Sort", "Window", "Aggregate"))]
+    assert {"Sort", "Window"} <= {name for name, _ in gathering} and any("Aggregate" in name for name, _ in gathering)
+    assert not [name for name, shown in gathering if any(text in shown for text in observe.TEXTS)]
+    assert "title" in plan.output().mkString(" ")

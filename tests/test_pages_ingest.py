@@ -5,8 +5,8 @@ from __future__ import annotations
 from datetime import timedelta
 
 import pytest
-from support import at, utc
 from pyspark.sql import functions as F
+from support import at, utc
 
 from pagetide.model import FETCH_LOG
 from pagetide.plans.ingest import ingest
@@ -320,14 +320,14 @@ def test_ingestion(spark):
     done = ingest(log_of(spark, *stories(spark)), feeds, shared_folder(spark, "t"))
     check_stories(
         run_rows(done.runs),
-        observe.merge_articles(done.segments).collect(),
+        observe.with_texts(observe.merge_articles(done.segments), done.contents).collect(),
         observe.sighting_rows(done.sightings).collect(),
     )
 
 
-@pytest.mark.parametrize("compacted", [(), (1,), (0, 2)])
-def test_streamed_ingestion_tells_the_same_story(spark, compacted):
-    """In four batches, also with compactions after which the same stream goes on."""
+@pytest.mark.parametrize("swept", [(), (1,), (0, 2)])
+def test_streamed_ingestion_tells_the_same_story(spark, swept):
+    """In four batches, also with old versions removed while the same stream goes on."""
     cuts = (3, 6, 8)
     rows, feeds = stories(spark), feeds_of(spark, "sain", "casse", "relais")
     base = shared_folder(spark, "t")
@@ -335,9 +335,9 @@ def test_streamed_ingestion_tells_the_same_story(spark, compacted):
     for batch, (low, high) in enumerate(zip((0, *cuts), (*cuts, len(rows)), strict=True)):
         log_of(spark, *rows[low:high]).coalesce(1).write.mode("append").parquet(f"{base}/log")
         upsert.ingest_stream(fetchlog.stream_fetch_log(spark, f"{base}/log"), feeds, state).awaitTermination()
-        if batch in compacted:
+        if batch in swept:
             before = sorted(map(str, upsert.stored_articles(spark, state).collect()))
-            upsert.compact(spark, state, batch)
+            upsert.sweep(spark, state, batch)
             assert sorted(map(str, upsert.stored_articles(spark, state).collect())) == before
     check_stories(
         run_rows(upsert.stored_runs(spark, state)),

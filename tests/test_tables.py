@@ -6,17 +6,18 @@ import json
 from datetime import timedelta
 
 import pytest
-from support import at, utc
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from support import at, utc
 
 from pagetide import model
-from pagetide.operators import declare, quality, reports, snapshot
+from pagetide.files import children, remove
+from pagetide.operators import declare, paging, quality, reports, snapshot
 from pagetide.session import shared_folder
 from pagetide.sources import attempts, declarations
 from pagetide.streaming import drain
 
-NOW = at("2026-08-29T12:00:00")
+NOW = at("2031-03-11T12:00:00")
 FEED_ROW = ("name", "https://x.test/rss", "fr", "sec", "media", True, None, None, NOW, NOW)
 
 
@@ -51,6 +52,37 @@ def listed(n=97):
     return sorted(range(n), key=lambda i: (i % 10 == 7, 0 if i % 10 == 7 else i // 4, -i))
 
 
+@pytest.mark.parametrize("few", [1, 1000])
+def test_every_position_is_found_by_counting(spark, monkeypatch, few):
+    """Also with dates that most rows share, and with slices cut down to single values."""
+    monkeypatch.setattr(paging, "FEW", few)
+    rows = [(i, None if i % 3 == 0 else NOW + timedelta(seconds=0 if i % 3 == 1 else i % 40)) for i in range(200)]
+    frame = spark.createDataFrame(rows, "first_seq long, published_at timestamp").cache()
+    wanted = [i for i, _ in sorted(rows, key=lambda r: (r[1] is None, -(r[1] or NOW).timestamp() if r[1] else 0, -r[0]))]
+    order = paging.newest_first(frame, "published_at", "first_seq")
+    for position in (0, 67, 133, 199) if few == 1 else (66, 100, 200):
+        left, skipped = paging.from_position(frame, order, position)
+        ids = [r["first_seq"] for r in left.collect()]
+        assert skipped == 0 and sorted(ids) == sorted(wanted[position:])
+
+
+def test_order_by_structs_and_repeated_rows(spark):
+    frame = spark.sql("SELECT struct(id DIV 10 AS a, CAST(id % 2 AS INT) AS b) AS seq, id FROM range(100)")
+    order = paging.newest_first(frame, "seq")
+    assert [o.name for o in order] == ["seq.a", "seq.b"]
+    left, skipped = paging.from_position(frame, order, 7)  # five rows share each key: two of them lie before
+    assert skipped == 2 and left.count() == 95
+    with pytest.raises(TypeError, match="ordered by"):
+        paging.newest_first(frame.selectExpr("'x' AS s"), "s")
+
+
+def test_deep_pages_hold_no_rows_before_them(spark):
+    feeds = feeds_of(spark, feed(1, "a"), feed(2, "b"))
+    rows = reports.list_articles(articles_of(spark), feeds, page=3, page_size=30).rows
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "limit=30" in plan and "offset" not in plan.lower()
+
+
 @pytest.mark.parametrize(("page", "size"), [(1, 30), (2, 30), (4, 7), (5, 0), (0, 30), (-3, 30)])
 def test_pagination(spark, page, size):
     feeds = feeds_of(spark, feed(1, "a"), feed(2, "b"))
@@ -157,13 +189,13 @@ def test_declaration_rules(spark, tmp_path):
 # --- attempts ---------------------------------------------------------------------------
 
 LINES = [
-    json.dumps({"attempted_at": "2026-08-29T12:00:00Z", "reason": "docker_unavailable", "detail": "x" * 3000}),
-    json.dumps({"attempted_at": "2026-08-29T14:00:00+02:00", "reason": "docker_unavailable"}),
-    json.dumps({"attempted_at": "2026-08-29T06:00:00.250+00:00", "reason": "new_reason", "detail": ""}),
-    json.dumps({"attempted_at": "2026-08-29T05:00:00-0130", "detail": 0}),
-    json.dumps({"attempted_at": "2026-08-29T12:00:00", "reason": "lock_held"}),
+    json.dumps({"attempted_at": "2031-03-11T12:00:00Z", "reason": "docker_unavailable", "detail": "x" * 3000}),
+    json.dumps({"attempted_at": "2031-03-11T14:00:00+02:00", "reason": "docker_unavailable"}),
+    json.dumps({"attempted_at": "2031-03-11T06:00:00.250+00:00", "reason": "new_reason", "detail": ""}),
+    json.dumps({"attempted_at": "2031-03-11T05:00:00-0130", "detail": 0}),
+    json.dumps({"attempted_at": "2031-03-11T12:00:00", "reason": "lock_held"}),
     json.dumps({"attempted_at": "12:30", "reason": "lock_held"}),
-    json.dumps({"attempted_at": 20260829, "reason": "lock_held"}),
+    json.dumps({"attempted_at": 20310311, "reason": "lock_held"}),
     json.dumps({"reason": "lock_held"}),
     "[1, 2]", '"text"', "not json", "", '{"attempted_at": ',
 ]
@@ -174,7 +206,7 @@ def test_attempt_lines(spark):
     rows = {(utc(r["attempted_at"]), r["reason"], r["detail"] and len(r["detail"])) for r in attempts.parse_attempts(frame, now()).collect()}
     assert rows == {
         (NOW, "docker_unavailable", 2000), (NOW, "docker_unavailable", None),
-        (at("2026-08-29T06:00:00.250"), "wrapper_error", None), (at("2026-08-29T06:30:00"), "wrapper_error", None),
+        (at("2031-03-11T06:00:00.250"), "wrapper_error", None), (at("2031-03-11T06:30:00"), "wrapper_error", None),
     }
 
 
@@ -184,7 +216,7 @@ def test_draining_again_adds_nothing(spark, tmp_path):
     (queue / "a.jsonl").write_text("\n".join(LINES))
     drain.drain_available(spark, str(queue), state, now())
     assert drain.stored_attempts(spark, state).count() == 3
-    (queue / "b.jsonl").write_text("\n".join([*LINES, json.dumps({"attempted_at": "2026-08-30T00:00Z", "reason": "lock_held"})]))
+    (queue / "b.jsonl").write_text("\n".join([*LINES, json.dumps({"attempted_at": "2031-03-12T00:00Z", "reason": "lock_held"})]))
     drain.drain_available(spark, str(queue), state, now())
     drain.drain_available(spark, str(queue), state, now())
     assert drain.stored_attempts(spark, state).count() == 4
@@ -234,15 +266,54 @@ def test_snapshots_restore_content_and_damage_is_refused(spark):
         "feed": feeds_of(spark, feed(1, "a"), feed(2, "b")),
         "feed_run": spark.createDataFrame([run(1, NOW)], model.FEED_RUN),
     }
-    snapshot.take_snapshot(tables, root, "20260829-120000")
-    restored = snapshot.restore(spark, root, "20260829-120000")
+    snapshot.take_snapshot(tables, root, "20310311-120000")
+    restored = snapshot.restore(spark, root, "20310311-120000")
     assert {n: t.count() for n, t in restored.items()} == {"feed": 2, "feed_run": 1}
     assert snapshot.compare(snapshot.fingerprints(tables), snapshot.fingerprints(restored)).isEmpty()
 
-    # Same row count, other content.
-    feeds_of(spark, feed(1, "a"), feed(2, "c")).write.mode("overwrite").parquet(f"{root}/snapshot=20260829-120000/feed")
+    # Same row count, other content in one part; then that part is gone.
+    folder = f"{root}/snapshot=20310311-120000/feed"
+    part = f"{folder}/{next(n for n in children(spark, folder) if n.startswith('snapshot_part='))}"
+    feeds_of(spark, feed(2, "c")).write.mode("overwrite").parquet(part)
+    with pytest.raises(ValueError, match="refused"):
+        snapshot.restore(spark, root, "20310311-120000")
+    remove(spark, part)
     with pytest.raises(ValueError, match="refused"):
-        snapshot.restore(spark, root, "20260829-120000")
+        snapshot.restore(spark, root, "20310311-120000")
+
+
+def test_snapshots_copy_what_changed(spark):
+    """Only parts with other rows are copied; rotation leaves what the rest still names."""
+    root = shared_folder(spark, "snapshots")
+    rows = [(i, f"v{i}") for i in range(500)]
+
+    def taken(rows, stamp, empty=()):
+        tables = {"t": spark.createDataFrame(rows, "i long, v string"), "e": spark.createDataFrame(list(empty), "i long")}
+        return snapshot.take_snapshot(tables, root, stamp)
+
+    def read(stamp):
+        tables = snapshot.restore(spark, root, stamp)
+        return sorted(map(tuple, tables["t"].collect())), tables["e"].count()
+
+    first = taken(rows, "20260101-000000")
+    assert first["t"].n_rows == 500 and len(first["t"].parts) == snapshot.PARTS and not first["e"].parts
+    changed = [(i, "new" if i == 7 else v) for i, v in rows]
+    second = taken(changed, "20260102-000000", [(1,)])
+    fresh = [p for p in second["t"].parts if p.home == "20260102-000000"]
+    assert 1 <= len(fresh) <= 2 and len(second["e"].parts) == 1
+    third = taken(changed, "20260103-000000", [(1,)])
+    assert third["t"].digest == second["t"].digest != first["t"].digest
+    assert not [p for p in third["t"].parts if p.home == "20260103-000000"]
+    assert snapshot.rotate(spark, root, keep=1) == ["20260101-000000", "20260102-000000"]
+    assert snapshot.stamps(spark, root) == ["20260103-000000"]
+    assert read("20260103-000000") == (sorted(changed), 1)
+    # the old state of a changed part is gone, all others stay where they were first written
+    old = [n for n in children(spark, f"{root}/snapshot=20260101-000000/t") if n.startswith("snapshot_part=")]
+    assert len(old) == snapshot.PARTS - len({p.part for p in fresh} | {p.part for p in first["t"].parts if p not in third["t"].parts})
+    with pytest.raises(ValueError, match="does not"), pytest.MonkeyPatch.context() as patch:
+        patch.setattr(snapshot, "_rows", lambda *_: spark.createDataFrame([], "i long, v string"))
+        taken(rows, "20260104-000000")
+    assert snapshot.stamps(spark, root) == ["20260103-000000"]
 
 
 def test_fingerprints_see_duplicates_and_nulls_but_not_order(spark):
@@ -257,7 +328,7 @@ def test_fingerprints_see_duplicates_and_nulls_but_not_order(spark):
 
 def test_old_snapshots_expire(spark):
     root, table = shared_folder(spark, "snapshots"), {"t": spark.range(3)}
-    stamps = [f"20260829-1200{i:02d}" for i in range(4)]
+    stamps = [f"20310311-1200{i:02d}" for i in range(4)]
     for stamp in stamps:
         snapshot.take_snapshot(table, root, stamp)
     listed = snapshot.list_snapshots(spark, root, keep=2).collect()
