@@ -92,7 +92,7 @@ def fetched_pages(log: DataFrame, feeds: DataFrame) -> DataFrame:
 def observation_log(pages: DataFrame) -> DataFrame:
     """Normalized entries of all pages, rejected ones included, in total order of `seq`."""
     entries = normalize_entries(
-        explode_entries(pages.select("feed_id", "run_id", "feed_pos", "fetched_at", "items"))
+        explode_entries(pages.select("feed_id", "run_id", "feed_pos", "fetched_at", "base", "site", "items"))
     )
     # Runs are ordered by time, then by position of the feed in its batch.
     return entries.withColumn("seq", F.struct("fetched_at", "feed_pos", "feed_id", "entry_pos")).withColumn(

@@ -653,7 +653,7 @@ r AS (
   FROM events WHERE event_type <> 'signup'
 ),
 m AS (
-  SELECT CAST(date_trunc('hour', ts) AS VARCHAR) AS at, value >= 50 AS drained,
+  SELECT CAST(date_trunc('hour', ts) AS VARCHAR) AS hour_at, value >= 50 AS drained,
          CASE WHEN value < 10 THEN 'unheard' WHEN value < 90 THEN 'lock_held' END AS reason
   FROM events WHERE event_type = 'signup'
 ),
@@ -688,11 +688,11 @@ broken AS (
   UNION ALL SELECT 'feed_run', 'domain:gap_status', key, 1 FROM r WHERE event_type = 'purchase'
   UNION ALL SELECT 'feed_run', 'not_null:n_new', key, 1 FROM r WHERE event_type = 'error'
   UNION ALL SELECT 'feed_run', 'reference:feed_id', 'u-' || user_id, count(*) FROM r WHERE user_id % 5 = 0 GROUP BY user_id
-  UNION ALL SELECT 'missed_run', 'not_null:reason', at || '|', 1 FROM m WHERE reason IS NULL
-  UNION ALL SELECT 'missed_run', 'not_null:drained_at', at || '|' || coalesce(reason, ''), 1 FROM m WHERE NOT drained
-  UNION ALL SELECT 'missed_run', 'domain:reason', at || '|' || reason, 1 FROM m WHERE reason = 'unheard'
-  UNION ALL SELECT 'missed_run', 'unique:attempted_at,reason', at || '|' || reason, count(*) FROM m
-            WHERE reason IS NOT NULL GROUP BY at, reason HAVING count(*) > 1
+  UNION ALL SELECT 'missed_run', 'not_null:reason', hour_at || '|', 1 FROM m WHERE reason IS NULL
+  UNION ALL SELECT 'missed_run', 'not_null:drained_at', hour_at || '|' || coalesce(reason, ''), 1 FROM m WHERE NOT drained
+  UNION ALL SELECT 'missed_run', 'domain:reason', hour_at || '|' || reason, 1 FROM m WHERE reason = 'unheard'
+  UNION ALL SELECT 'missed_run', 'unique:attempted_at,reason', hour_at || '|' || reason, count(*) FROM m
+            WHERE reason IS NOT NULL GROUP BY hour_at, reason HAVING count(*) > 1
 )
 SELECT table_name, rule, row_key, CAST(sum(n) AS BIGINT) AS n_rows FROM broken GROUP BY ALL""",
     "table_fingerprint": "\nUNION ALL ".join(_fingerprint(t, c) for t, c in _TABLE_COLUMNS.items()),

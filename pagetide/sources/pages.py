@@ -63,25 +63,13 @@ def _filled(value: Column) -> Column:
     return F.nullif(trim_ws(value), F.lit(""))
 
 
-def _absolute(link: Column, own_base: Column, base: Column, site: Column) -> Column:
-    """A link as the document means it: relative to `xml:base` if there is one, else to the site.
-
-    The site's address is no declared base: held against it, what looks like a host without
-    scheme stays one, as such links occur and mean that.
-    """
-    declared = F.coalesce(resolve(base, _filled(own_base)), base)
-    hostlike = link.rlike(r"^[^/?#:]+\.[^/?#.:]+(:[0-9]+)?(/|$)") & ~link.rlike(r"(?i)^[^/]*\.(html?|php|aspx?|jsp|xml)$")
-    return F.when(declared.isNotNull(), resolve(declared, link)).when(hostlike, link).otherwise(resolve(site, link))
-
-
-def _from_rss(item: Column, base: Column, site: Column) -> Column:
+def _from_rss(item: Column) -> Column:
     guid = _filled(item["guid"]["_VALUE"])
     is_link = F.lower(F.coalesce(item["guid"]["_isPermaLink"], F.lit("true"))) != "false"
     return F.struct(
         item["title"].alias("title"),
-        _absolute(F.coalesce(_filled(item["link"]), F.when(is_link, guid)), item["_xml:base"], base, site).alias(
-            "url_original"
-        ),
+        F.coalesce(_filled(item["link"]), F.when(is_link, guid)).alias("url_original"),
+        _filled(item["_xml:base"]).alias("own_base"),
         guid.alias("guid"),
         F.coalesce(_filled(item["author"]), _filled(item["dc:creator"])).alias("author"),
         F.coalesce(_filled(item["content:encoded"]), _filled(item["description"])).alias("raw_summary"),
@@ -100,10 +88,11 @@ def _alternate(links: Column) -> Column:
     return _first_filled(F.transform(alternates, lambda link: link["_href"]))
 
 
-def _from_atom(entry: Column, base: Column, site: Column) -> Column:
+def _from_atom(entry: Column) -> Column:
     return F.struct(
         entry["title"].alias("title"),
-        _absolute(_alternate(entry["link"]), entry["_xml:base"], base, site).alias("url_original"),
+        _alternate(entry["link"]).alias("url_original"),
+        _filled(entry["_xml:base"]).alias("own_base"),
         _filled(entry["id"]).alias("guid"),
         _first_filled(F.transform(entry["author"], lambda author: author["name"])).alias("author"),
         F.coalesce(_first_filled(entry["content"]), _filled(entry["summary"])).alias("raw_summary"),
@@ -146,23 +135,34 @@ def parse_documents(pages: DataFrame, body: str = "body") -> DataFrame:
     )
     root = _filled(F.col("__doc.`_xml:base`"))
     inner = _filled(F.col("__doc.channel.`_xml:base`"))
-    bases = F.struct(
-        root.alias("root"),
-        F.coalesce(resolve(root, inner), root).alias("channel"),
-        F.coalesce(_first_filled(F.col("__doc.channel.link")), _alternate(F.col("__doc.link"))).alias("site"),
-    )
-    site = F.col("__bases.site")
     items = F.concat(
-        F.coalesce(F.transform("__doc.channel.item", lambda x: _from_rss(x, F.col("__bases.channel"), site)), F.array()),
-        F.coalesce(F.transform("__doc.item", lambda x: _from_rss(x, F.col("__bases.root"), site)), F.array()),
-        F.coalesce(F.transform("__doc.entry", lambda x: _from_atom(x, F.col("__bases.root"), site)), F.array()),
+        F.coalesce(F.transform("__doc.channel.item", _from_rss), F.array()),
+        F.coalesce(F.transform("__doc.item", _from_rss), F.array()),
+        F.coalesce(F.transform("__doc.entry", _from_atom), F.array()),
     )
+    site = F.coalesce(_first_filled(F.col("__doc.channel.link")), _alternate(F.col("__doc.link")))
     return (
-        read.withColumn("__bases", bases)
-        .withColumn("parse_error", error)
+        read.withColumn("parse_error", error)
         .withColumn("items", F.when(F.col("parse_error").isNull(), items))
-        .drop("__text", "__doc", "__bases")
+        .withColumn("base", F.coalesce(resolve(root, inner), root))
+        .withColumn("site", site)
+        .drop("__text", "__doc")
+    )
+
+
+def _resolved(entries: DataFrame) -> DataFrame:
+    """Links as their documents mean them: relative to `xml:base` if there is one, else to the site.
+
+    The site's address is no declared base: held against it, what looks like a host without
+    scheme stays one, as such links occur and mean that.
+    """
+    link = F.col("url_original")
+    hostlike = link.rlike(r"^[^/?#:]+\.[^/?#.:]+(:[0-9]+)?(/|$)") & ~link.rlike(r"(?i)^[^/]*\.(html?|php|aspx?|jsp|xml)$")
+    own = F.when(F.col("own_base").isNotNull(), resolve(F.col("base"), F.col("own_base")))
+    based = entries.withColumn("base", F.coalesce(own, "base")).withColumn(
+        "base", F.when(F.col("base").isNotNull(), F.col("base")).when(~hostlike, F.col("site"))
     )
+    return based.withColumn("url_original", resolve(F.col("base"), link)).drop("base", "own_base", "site")
 
 
 def explode_entries(parsed: DataFrame) -> DataFrame:
@@ -173,7 +173,7 @@ def explode_entries(parsed: DataFrame) -> DataFrame:
     """
     kept = [c for c in parsed.columns if c not in ("items", "parse_error", "warning")]
     exploded = parsed.select(*kept, F.posexplode_outer("items").alias("entry_pos", "item"))
-    return exploded.filter(F.col("item").isNotNull()).select(*kept, "entry_pos", "item.*")
+    return _resolved(exploded.filter(F.col("item").isNotNull()).select(*kept, "entry_pos", "item.*"))
 
 
 def normalize_entries(entries: DataFrame) -> DataFrame:
