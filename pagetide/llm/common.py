@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -95,16 +95,20 @@ def on_map(column: str, picture, bits: int = MAP_BITS):
     return test(F.shiftrightunsigned(F.xxhash64(column), 64 - bits))
 
 
-def without(docs: DataFrame, ids: DataFrame, column: str = "doc_id") -> DataFrame:
-    """The rows whose id is not among `ids`.
+def without(docs: DataFrame, dropped: DataFrame, column: str = "doc_id", digest: Column | None = None) -> DataFrame:
+    """The rows of `docs` that `dropped` does not name.
 
-    Rows off the bounded picture of the ids stay where they are; only the others, about as many
-    as there are ids, are shuffled for the join that decides.
+    `dropped` has (id), or (id, digest), where `digest` is what rows of `docs` are then held against
+    as well: one id may stand before several texts. Rows off the bounded picture of the ids stay
+    where they are; only the others, about as many as are dropped, are shuffled for the join
+    that decides.
     """
-    dropped = written(ids.select(column).filter(F.col(column).isNotNull()).distinct(), "dropped")
-    hit = on_map(column, docs.sparkSession.sparkContext.broadcast(bit_map(dropped, column)))
-    doubtful = docs.filter(hit).join(dropped, column, "left_anti").select(docs.columns)
-    return docs.filter(~hit).unionAll(doubtful)
+    gone = written(dropped.toDF("__gone", *dropped.columns[1:]).filter("__gone is not null").distinct(), "dropped")
+    hit = on_map(column, docs.sparkSession.sparkContext.broadcast(bit_map(gone, "__gone")))
+    same = docs[column] == gone["__gone"]
+    if digest is not None:
+        same = same & (digest == gone["digest"])
+    return docs.filter(~hit).unionAll(docs.filter(hit).join(gone, same, "left_anti"))
 
 
 Query = Callable[[SparkSession, str], DataFrame]

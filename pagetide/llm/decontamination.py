@@ -5,8 +5,10 @@ digit, a-z nor outside ASCII is a separator. The automaton reads word numbers, s
 over a document, from run to run of words that items have, finds every window; byte offsets stay those of the original, because
 normalising replaces bytes one by one.
 
-An automaton holds `SLICE_WORDS` words of items at most; a larger benchmark is cut into slices
-by items, each with an automaton of its own.
+An automaton holds about `SLICE_WORDS` words of items, as it is sent to every task. Items are dealt
+to as many slices as that takes (a longer one in pieces that share a window's length), and each
+slice is one automaton and one pass over the documents; hits of a document are put together at
+the end. The usual benchmark is one slice.
 
 Defined results: null and word-less texts have no words and no hits; null or word-less items
 have no window; items without id mark words but are not listed; items that repeat an id are
@@ -19,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -26,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagetide.llm.common import as_bytes, table
+from pagetide.llm.common import as_bytes, table, written
 
 WINDOW = 10
 SLICE_WORDS = 100_000
@@ -76,23 +79,42 @@ class Windows:
         return ranges, items
 
 
-def slices(benchmark: DataFrame, most: int = SLICE_WORDS) -> Iterator[list[tuple[str | None, bytes]]]:
-    """The items, in slices of `most` words (an item that is larger is a slice of its own)."""
-    rows = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("binary").alias("text"))
-    kept, size = [], 0
-    for row in rows.toLocalIterator():
-        text = bytes(row.text or b"")
-        n = len(words_of(text))
-        if kept and size + n > most:
-            yield kept
-            kept, size = [], 0
-        kept.append((row.item, text))
-        size += n
-    if kept:
-        yield kept
+Slice = list[tuple[str | None, bytes]]
 
 
-_HITS = "n_words long, ranges array<struct<first: int, last: int>>, offsets array<struct<first: int, last: int>>, items array<string>"
+def _pieces(benchmark: DataFrame, window: int, most: int) -> DataFrame:
+    """(item, text, n) of the items that have words, cut where one has more than `most` of them."""
+    step = max(1, most - window + 1)
+
+    def cut(batches):
+        for batch in batches:
+            rows = []
+            for item, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
+                words = words_of(text)
+                for k in range(0, max(1, len(words) - window + 1), step) if words else ():
+                    part = words[k : k + step + window - 1]
+                    rows.append((item, b" ".join(part), len(part)))
+            columns = list(zip(*rows, strict=True)) or [(), (), ()]
+            kinds = (pa.string(), pa.binary(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["item", "text", "n"])
+
+    return benchmark.select(F.col("item_id").cast("string").alias("item"), "text").mapInArrow(
+        cut, "item string, text binary, n long"
+    )
+
+
+def slices(benchmark: DataFrame, window: int = WINDOW, most: int = SLICE_WORDS) -> Iterator[Slice]:
+    """The items, in slices of about `most` words; the driver holds one of them at a time."""
+    cut = written(_pieces(benchmark, window, most), "items")
+    total = cut.agg(F.sum("n").alias("n")).first().n or 0
+    count = -(-total // most)
+    for k in range(count):
+        own = cut.filter(F.pmod(F.xxhash64("item", "text"), F.lit(count)) == k)
+        yield [(row.item, bytes(row.text)) for row in own.select("item", "text").collect()]
+
+
+_PAIRS = "array<struct<first:int,last:int>>"
+_HITS = f"struct<n_words:bigint,ranges:{_PAIRS},offsets:{_PAIRS},items:array<string>>"
 
 
 def finder(spark: SparkSession, items: list[tuple[str | None, bytes]], window: int):
@@ -129,26 +151,44 @@ def finder(spark: SparkSession, items: list[tuple[str | None, bytes]], window: i
     return find
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+def _found(docs: DataFrame, parts: Iterator[Slice], window: int) -> DataFrame:
+    """(doc_id, found) for every row: hits of all slices, as an array."""
+    spark = docs.sparkSession
+    first, second = next(parts, []), next(parts, None)
+    if second is None:
+        return docs.select("doc_id", F.array(finder(spark, first, window)("text")).alias("found"))
+    # several passes need the rows told apart: they are numbered as they are written
+    rows = written(docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id()), "documents")
+    passes = None
+    for items in chain([first, second], parts):
+        hits = rows.select("row", finder(spark, items, window)("text").alias("f")).filter(F.size("f.ranges") > 0)
+        kept = written(hits, "hits")
+        passes = kept if passes is None else passes.unionAll(kept)
+    nothing = finder(spark, [], window)("text")  # counts words
+    counted = rows.select("row", "doc_id", nothing.alias("f"))
+    grouped = passes.groupBy("row").agg(F.collect_list("f").alias("more"))  # a row of each slice at most
+    joined = counted.join(grouped, "row", "left")
+    return joined.select("doc_id", F.concat(F.array("f"), F.coalesce("more", F.array().cast(f"array<{_HITS}>"))).alias("found"))
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most: int = SLICE_WORDS) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated, hits) for every row.
 
     `hits` are the code points of the original text that lie inside windows, per slice.
     """
-    spark = docs.sparkSession
-    finders = [finder(spark, items, window) for items in slices(benchmark)] or [finder(spark, [], window)]
-    rows = docs.select("doc_id", F.array(*[find("text") for find in finders]).alias("found"))
-    covered = F.flatten(
-        F.flatten(
-            F.transform(
-                "found",
-                lambda f: F.transform(f["ranges"], lambda r: F.sequence(r["first"], r["last"] - 1)),
-            )
-        )
-    )
-    total = lambda f: F.aggregate(
-        f["ranges"], F.lit(0).cast("long"), lambda sum_, r: sum_ + r["last"] - r["first"]
+    rows = _found(docs, slices(benchmark, window, most), window)
+    ranges = F.array_sort(F.flatten(F.transform("found", lambda f: f["ranges"])))
+    # ranges of several slices may overlap: what lies behind the end so far is added
+    seen = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("end"))
+    n_hit = F.aggregate(
+        ranges,
+        seen,
+        lambda a, r: F.struct(
+            (a["n"] + F.greatest(F.lit(0), r["last"] - F.greatest(r["first"], a["end"]))).alias("n"),
+            F.greatest(a["end"], r["last"]).alias("end"),
+        ),
+        lambda a: a["n"],
     )
-    n_hit = total(F.col("found")[0]) if len(finders) == 1 else F.size(F.array_distinct(covered)).cast("long")
     items = F.array_sort(F.array_distinct(F.flatten(F.transform("found", lambda f: f["items"]))))
     return (
         rows.select(
@@ -165,9 +205,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     )
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The documents without any word inside a window of the benchmark."""
-    for items in slices(benchmark):
+def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most: int = SLICE_WORDS) -> DataFrame:
+    """The documents without any word inside a window of the benchmark; a pass for each slice."""
+    for k, items in enumerate(slices(benchmark, window, most)):
+        docs = written(docs, "clean") if k else docs
         docs = docs.filter(F.size(finder(docs.sparkSession, items, window)("text")["ranges"]) == 0)
     return docs
 

@@ -160,13 +160,19 @@ def exact_groups(
     )
 
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
 def keep_last(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The rows of `docs` that stay: of equal texts the one with the largest id.
+    """The rows of `docs` that stay: of equal texts those with the largest id.
 
-    Rows of texts that occur once pass; a join by id is needed only for ids to drop.
+    Rows of texts that occur once pass; a join by id and text is needed only for rows to drop, so
+    of an id with several texts those stay that are its own. Repeated rows stay all or none.
     """
     dropped = exact_groups(docs, id_column, text_column).filter(~F.col("kept"))
-    return without(docs, dropped.select(F.col("id").alias(id_column)), id_column)
+    normal = F.translate(F.coalesce(F.col(text_column), F.lit("")), UPPER, LOWER)
+    digests = dropped.select(F.col("id").alias("gone"), F.col("text_sha256").alias("digest"))
+    return without(docs, digests, id_column, F.sha2(normal, 256))
 
 
 def op5_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:

@@ -23,7 +23,9 @@ from pyspark.sql import functions as F
 from pagetide.llm.common import table, written
 
 WEIGHTS = (3, 1, 2)
-BUCKETS = 4096
+# Buckets are cut on the scale of the key's logarithm: there an exponential key looks alike whatever
+# the quality, and no bucket holds much over a thousandth of a source.
+BUCKETS = 512  # for each doubling of the key
 
 
 def size_of(text: Column) -> Column:
@@ -79,7 +81,7 @@ def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS) -> DataFrame:
 def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, buckets: int = BUCKETS) -> DataFrame:
     """(doc_id, size, source_size, target, taken) for every row of (doc_id, source, text).
 
-    No source is sorted as a whole: keys fall into buckets of their range, bucket sums find the
+    No source is sorted as a whole: keys fall into buckets of their logarithm, bucket sums find the
     bucket at the border, and only its rows are ordered.
     """
     q = quality_of(F.col("text"))
@@ -89,7 +91,7 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, buckets: int = BUCKET
             "source",
             size_of(F.col("text")).alias("size"),
             (-F.log(draw(F.col("doc_id"))) / q).alias("key"),
-        ).withColumn("bucket", F.floor((1 - F.exp(-F.col("key"))) * buckets).cast("int")),
+        ).withColumn("bucket", F.floor(F.log2("key") * buckets).cast("int")),
         "mix",
     )
     sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("words"))

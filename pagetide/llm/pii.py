@@ -62,23 +62,58 @@ CUES |= {"mail": CUES["email"], "number": f"{CUES['phone']} ssn", "iban": "iban
 DOUBTS = "order invoice sku isbn version tracking serial page chapter section fig"
 
 
+_BLOCK = 64
+
+
+def _running(numbers: Column) -> Column:
+    """Running sums of an array, as longs: sums of blocks are carried along, the rest is added within one."""
+
+    def sums(values: Column) -> Column:
+        return F.aggregate(values, F.lit(0).cast("long"), lambda a, x: a + x)
+
+    def of(values: Column) -> Column:
+        blocks = F.sequence(F.lit(0), F.floor((F.size(values) - 1) / _BLOCK).cast("int"))
+        totals = F.transform(blocks, lambda k: sums(F.slice(values, k * _BLOCK + 1, _BLOCK)))
+        nothing = F.struct(F.lit(0).cast("long").alias("total"), F.array().cast("array<bigint>").alias("before"))
+        carried = F.aggregate(
+            totals,
+            nothing,
+            lambda a, x: F.struct((a["total"] + x).alias("total"), F.array_append(a["before"], a["total"]).alias("before")),
+            lambda a: a["before"],
+        )
+
+        def within(before: Column) -> Column:
+            return F.transform(
+                values,
+                lambda x, i: F.get(before, F.floor(i / _BLOCK).cast("int"))
+                + sums(F.slice(values, F.floor(i / _BLOCK).cast("int") * _BLOCK + 1, i % _BLOCK + 1)),
+            )
+
+        return F.when(F.size(values) > 0, bind(carried, within)).otherwise(F.array().cast("array<bigint>"))
+
+    return bind(numbers, of)
+
+
 def _spans(text: Column, kind: str) -> Column:
     """Matches of a kind: array of structs (first, last, kind, match), in code points."""
     pattern = PATTERNS[kind]
 
     def located(matches: Column) -> Column:
         def place(gaps: Column) -> Column:
+            # a match begins behind all gaps and matches before it
+            steps = F.transform(
+                matches, lambda m, i: F.get(gaps, i) + F.coalesce(F.length(F.get(matches, i - 1)), F.lit(0))
+            )
+            return bind(_running(steps), starts_at)
+
+        def starts_at(starts: Column) -> Column:
             def one(match: Column, i: Column) -> Column:
-                before = F.aggregate(F.slice(gaps, 1, i + 1), F.lit(0), lambda a, g: a + g)
-                inside = F.aggregate(F.slice(matches, 1, i), F.lit(0), lambda a, m: a + F.length(m))
-                return bind(
-                    before + inside,
-                    lambda first: F.struct(
-                        first.cast("long").alias("first"),
-                        (first + F.length(match)).cast("long").alias("last"),
-                        F.lit(kind).alias("kind"),
-                        match.alias("match"),
-                    ),
+                first = F.get(starts, i)
+                return F.struct(
+                    first.alias("first"),
+                    (first + F.length(match)).alias("last"),
+                    F.lit(kind).alias("kind"),
+                    match.alias("match"),
                 )
 
             return F.transform(matches, one)
@@ -100,11 +135,14 @@ def _digits(match: Column) -> Column:
 
 
 def luhn(digits: Column) -> Column:
-    def add(total: Column, i: Column) -> Column:
-        digit = F.reverse(digits).substr(i, F.lit(1)).cast("int")
-        return total + F.when(i % 2 == 1, digit).otherwise(digit * 2 - F.when(digit > 4, 9).otherwise(0))
+    def checked(backwards: Column) -> Column:
+        def add(total: Column, i: Column) -> Column:
+            digit = backwards.substr(i, F.lit(1)).cast("int")
+            return total + F.when(i % 2 == 1, digit).otherwise(digit * 2 - F.when(digit > 4, 9).otherwise(0))
+
+        return F.aggregate(F.sequence(F.lit(1), F.length(backwards)), F.lit(0), add) % 10 == 0
 
-    return F.aggregate(F.sequence(F.lit(1), F.length(digits)), F.lit(0), add) % 10 == 0
+    return bind(F.reverse(digits), checked)
 
 
 def _in_byte_range(match: Column) -> Column:

@@ -339,6 +339,17 @@ def score_words(text: str, model, cache: WordScores | None = None) -> np.ndarray
     return marginals(scores, starts, model["moves"])
 
 
+def word_places(text: str) -> list[tuple[int, int]]:
+    """Where the words of the text in lower case stand in the text as it is."""
+    lowered = text.lower()
+    spans = [m.span() for m in _WORD.finditer(lowered)]
+    if len(lowered) == len(text):
+        return spans
+    # a character may be several in lower case
+    origin = np.repeat(np.arange(len(text)), [len(c.lower()) for c in text]).tolist()
+    return [(origin[a], origin[b - 1] + 1) for a, b in spans]
+
+
 _SCORED = T.StructType(
     [
         T.StructField("score", T.DoubleType()),
@@ -380,8 +391,7 @@ def scorer(spark: SparkSession, model):
                     x = float(model["curve"] @ evidence(own))
                     spans = []
                     if len(own) and own.max() >= 0.5:
-                        # lower() may change lengths; offsets are those of the text as it is
-                        places = [m.span() for m in _WORD.finditer(text if len(text.lower()) == len(text) else text.lower())]
+                        places = word_places(text)
                         for k in np.flatnonzero(own >= 0.5).tolist():
                             if spans and k and spans[-1]["last"] == places[k - 1][1] and own[k - 1] >= 0.5:
                                 spans[-1]["last"] = places[k][1]
@@ -406,9 +416,12 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
-    return toxicity(table(spark, folder, "documents"), table(spark, folder, "labels")).withColumn(
-        "n_spans", F.size("spans").cast("long")
-    ).drop("spans")
+    """Spans are written first:last, code points, end exclusive."""
+    span = lambda s: F.concat_ws(":", s["first"].cast("string"), s["last"].cast("string"))
+    found = toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    return found.withColumn("n_spans", F.size("spans").cast("long")).withColumn(
+        "spans", F.array_join(F.transform("spans", span), ",")
+    )
 
 
 QUERIES = {"op10_toxicity": op10_toxicity}

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from llm_support import documents
 
 from pagetide.llm import exact_dedup, jaccard_join
 from pagetide.llm.components import components
@@ -165,3 +166,24 @@ def test_given_documents(given):
     found = jaccard_join.near_duplicates(docs, 3, 90).collect()
     assert {r.id: (r.n_shingles, r.component_id) for r in found} == near(rows, 3, 90)
     assert Counter((r.id, r.keep_id, r.group_size, r.text_sha256) for r in exact_dedup.exact_groups(docs).collect()) == exact(rows)
+
+
+def test_an_id_before_several_texts(spark):
+    """Of such an id only the copy goes; its other text is of no other row."""
+    long = "these words are the same in both of the documents that are said to be near copies of each other here "
+    rows = [(1, "A copy", "en", "s"), (1, "unique text", "en", "s"), (2, "a COPY", "en", "s"), (None, "a copy", "en", "s")]
+    kept = exact_dedup.keep_last(documents(spark, rows)).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in kept) == [(0, "a copy"), (1, "unique text"), (2, "a COPY")]
+    rows = [(5, long * 4, "en", "s"), (5, "something else " * 9, "en", "s"), (3, long * 4 + "end", "en", "s"), (7, long * 4 + "fin", "en", "s")]
+    rows += [(8, "one more " + str(k) + " of its kind", "en", "s") for k in range(3)] + [(None, long * 4, "en", "s")]
+    kept = jaccard_join.keep_first(documents(spark, rows))
+    assert kept.columns == documents(spark, rows).columns
+    found = sorted((r.doc_id or 0, r.text) for r in kept.collect())
+    assert found == sorted((i or 0, t) for i, t, *_ in [rows[1], rows[2], *rows[4:]])
+
+
+def test_links_of_all_texts_of_an_id(spark):
+    long = [f"text {k} has these words in it which are all its own and {k} more of them come " * 4 for k in range(3)]
+    rows = [(5, long[0]), (5, long[1]), (6, long[0] + "x"), (7, long[1] + "x"), (8, long[2])]
+    found = jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.id, r.component_id) for r in found} == {(5, 5), (6, 5), (7, 5), (8, 8)}

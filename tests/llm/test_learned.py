@@ -197,3 +197,9 @@ def test_toxicity_accuracy(given):
     # a few dozen labels at the smallest size; better than guessing, and no clean one accused
     assert np.mean([r.toxic == r.predicted for r in found]) >= 1 - share
     assert np.mean([r.predicted for r in found if not r.toxic]) < 0.02
+
+
+def test_offsets_are_those_of_the_text_as_it_is():
+    """Where a character is two in lower case, words stand further to the left than in that."""
+    text = "\u0130\u0130 ab vile \u0130cd"
+    assert [text[a:b] for a, b in toxicity.word_places(text)] == ["\u0130", "\u0130", "ab", "vile", "\u0130", "cd"]

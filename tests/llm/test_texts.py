@@ -9,6 +9,7 @@ import time
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from pagetide.llm import decontamination, html_text, mixing, pii, secrets
 
@@ -37,9 +38,8 @@ def hits(text, items, window):
 
 
 @pytest.mark.parametrize("most", [100_000, 12])
-def test_windows(spark, monkeypatch, most):
+def test_windows(spark, most):
     """With one automaton and with a benchmark cut into slices."""
-    monkeypatch.setattr(decontamination.slices, "__defaults__", (most,))
     draw = random.Random(3)
     words = ["a", "b", "Ç", "d1", "e"]
     items = [(f"i{k}", " ".join(draw.choice(words) for _ in range(draw.randrange(0, 9)))) for k in range(12)]
@@ -48,7 +48,7 @@ def test_windows(spark, monkeypatch, most):
     rows += [(100, None), (101, ""), (102, "Ça d1"), (103, "x\x00é🙂 A b")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     benchmark = spark.createDataFrame(items, "item_id string, text string")
-    found = {r.doc_id: r for r in decontamination.contamination(docs, benchmark, 4).collect()}
+    found = {r.doc_id: r for r in decontamination.contamination(docs, benchmark, 4, most).collect()}
     for i, text in rows:
         n, n_hit, names = hits(text, items, 4)
         r = found[i]
@@ -57,10 +57,25 @@ def test_windows(spark, monkeypatch, most):
         if most > 100:
             covered = " ".join(text[h["first"] : h["last"]] for h in r.hits) if text else ""
             assert len(WORDS.findall(lower(covered))) == n_hit
-    clean = {r.doc_id for r in decontamination.keep_clean(docs, benchmark, 4).collect()}
+    clean = {r.doc_id for r in decontamination.keep_clean(docs, benchmark, 4, most).collect()}
     assert clean == {i for i, text in rows if not hits(text, items, 4)[1]}
 
 
+def test_a_benchmark_of_a_million_words(spark):
+    """Ten slices, one item larger than a slice; every passage of a document is found."""
+    benchmark = spark.range(2000).selectExpr(
+        "id AS item_id",
+        "array_join(transform(sequence(1, IF(id = 7, 200000, 400)), k -> concat('w', (id * 7919 + k * 104729L) % 50021)), ' ') AS text",
+    )
+    texts = {r.item_id: r.text.split() for r in benchmark.filter("item_id in (3, 7, 1999)").collect()}
+    passages = [texts[3][50:70], texts[7][99_990:100_010], texts[7][150_000:150_012], texts[1999][-10:], texts[7][5:14]]
+    docs = spark.createDataFrame([(k, "other words " + " ".join(p) + " and more") for k, p in enumerate(passages)], "doc_id long, text string")
+    found = {r.doc_id: r for r in decontamination.contamination(docs, benchmark).collect()}
+    assert [found[k].n_hit for k in range(5)] == [20, 20, 12, 10, 0]
+    assert all(found[k].n_items >= 1 for k in range(4)) and found[4].n_items == 0
+    assert [r.doc_id for r in decontamination.keep_clean(docs, benchmark).collect()] == [4]
+
+
 def test_windows_of_odd_rows(spark, odd, nothing):
     empty = spark.createDataFrame([], "item_id long, text string")
     assert not any(r.contaminated for r in decontamination.contamination(odd, empty).collect())
@@ -128,6 +143,15 @@ def test_mix_prefers_quality(spark):
     assert extra[1] > 2 * extra[0]
 
 
+def test_no_bucket_holds_much_of_a_source(spark):
+    """Also where all documents are of low quality: few rows are ordered to find the border."""
+    for text in ("1 2 3 4 5 6 7 8 9", "a b 1 2 3 4 5 6 7", "all of it is words"):
+        docs = spark.range(20_000).selectExpr("id AS doc_id", f"'{text}' AS text")
+        key = -F.log(mixing.draw(F.col("doc_id"))) / mixing.quality_of(F.col("text"))
+        sizes = docs.select(F.floor(F.log2(key) * mixing.BUCKETS).alias("b")).groupBy("b").count().agg(F.max("count")).first()[0]
+        assert sizes <= 60
+
+
 def test_mix_of_odd_rows(odd, nothing):
     assert len(mixing.mix(odd).collect()) == 10
     assert mixing.mix(nothing).collect() == []
@@ -428,3 +452,16 @@ def test_reliabilities():
 def test_personal_data_of_odd_rows(odd, nothing):
     assert len(pii.personal_data(odd).collect()) == 10
     assert pii.personal_data(nothing).collect() == []
+
+
+def test_many_matches_in_one_text(spark):
+    """Places of 20,000 addresses, found in one go; time does not grow with the square."""
+    import time as clock
+
+    words = [f"u{k}@mail{k % 7}.test" for k in range(20_000)]
+    texts = [" ".join(words[:n]) for n in (63, 64, 65, 129, 20_000)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    started = clock.monotonic()
+    for row in frame.select("text", pii._spans(F.col("text"), "email").alias("s")).collect():
+        assert [(x["first"], x["last"]) for x in row.s] == [m.span() for m in re.finditer(r"\S+", row.text)]
+    assert clock.monotonic() - started < 60
