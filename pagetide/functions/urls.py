@@ -209,12 +209,12 @@ def resolve(base: Column, reference: Column) -> Column:
     return F.when(base.isNull(), reference).otherwise(bind(both, merge))
 
 
-def canonicalize(
-    df: DataFrame, url: str, *, into: str = "url_canonical", reason: str = "reject_reason"
-) -> DataFrame:
-    """Add the canonical form of column `url`, or NULL and the reason why there is none."""
-    bare, scheme, parts, host, port = (f"__{into}_{n}" for n in ("bare", "scheme", "parts", "host", "port"))
-    cleaned = F.regexp_replace(F.col(url), r"[\x00-\x20\x7f]", "")
+def canonical_steps(url: Column, into: str, reason: str) -> list[tuple[str, Column]]:
+    """The columns that lead to the canonical form, each made of those before it; the last two stay."""
+    bare, scheme, parts, host, port, early = (
+        f"__{into}_{n}" for n in ("bare", "scheme", "parts", "host", "port", "early")
+    )
+    draft = f"__{into}_draft"
     found = F.lower(F.regexp_extract(F.col(bare), _SCHEME, 1))
     # What follows the scheme; a missing scheme means the text starts with the host.
     remainder = (
@@ -222,10 +222,10 @@ def canonicalize(
         .when(F.col(scheme) == "", F.concat(F.lit("//"), F.col(bare)))
         .otherwise(F.regexp_replace(F.col(bare), _SCHEME, ""))
     )
-    step = (
-        df.withColumn(bare, cleaned)
-        .withColumn(scheme, F.when(F.col(bare).startswith("//"), "").otherwise(found))
-        .withColumn(
+    steps = [
+        (bare, F.regexp_replace(url, r"[\x00-\x20\x7f]", "")),
+        (scheme, F.when(F.col(bare).startswith("//"), "").otherwise(found)),
+        (
             parts,
             F.struct(
                 # User information ends at the last '@'.
@@ -233,8 +233,8 @@ def canonicalize(
                 F.regexp_extract(remainder, _PARTS, 2).alias("path"),
                 F.regexp_extract(remainder, _PARTS, 3).alias("query"),
             ),
-        )
-    )
+        ),
+    ]
     authority = F.col(parts)["authority"]
     bracketed = authority.startswith("[")
     bare_host = F.when(bracketed, F.regexp_extract(authority, r"^\[([^\]]*)\]", 1)).otherwise(
@@ -243,10 +243,6 @@ def canonicalize(
     bare_port = F.when(bracketed, F.regexp_extract(authority, r"^\[[^\]]*\]:(.*)$", 1)).otherwise(
         F.regexp_extract(authority, r"^[^:]*:(.*)$", 1)
     )
-    step = step.withColumn(
-        host, _without_mobile_prefix(_ascii_host(F.regexp_replace(F.lower(bare_host), r"\.+$", "")))
-    ).withColumn(port, bare_port)
-
     number = F.when(F.col(port).rlike("^[0-9]{1,9}$"), F.col(port).cast("int"))
     shown_port = F.when(
         (number > 0) & ~number.isin(*DEFAULT_PORTS), F.concat(F.lit(":"), number.cast("string"))
@@ -260,17 +256,29 @@ def canonicalize(
         F.regexp_replace(query, r"^(?=.)", "?"),
     )
     good_port = (F.col(port) == "") | (F.col(port).rlike("^[0-9]+$") & number.between(0, 65535))
-    early = (
+    refused = (
         F.when(F.col(bare).isNull() | (F.col(bare) == ""), REJECT_MISSING)
         .when(F.length(bare) > MAX_URL_LENGTH, REJECT_TOO_LONG)
         .when(~F.col(scheme).isin("", *ALLOWED_SCHEMES), REJECT_SCHEME)
         .when((F.col(host) == "") | authority.rlike(r"^\[[^\]]*$|^[^\[]+\[|^[^\[]*\]"), REJECT_HOST)
         .when(~F.coalesce(good_port, F.lit(False)), REJECT_PORT)
     )
-    return (
-        step.withColumn(reason, early)
-        .withColumn(into, F.when(F.col(reason).isNull(), assembled))
-        .withColumn(reason, F.when(F.length(into) > MAX_URL_LENGTH, REJECT_TOO_LONG).otherwise(F.col(reason)))
-        .withColumn(into, F.when(F.col(reason).isNull(), F.col(into)))
-        .drop(bare, scheme, parts, host, port)
-    )
+    return [
+        *steps,
+        (host, _without_mobile_prefix(_ascii_host(F.regexp_replace(F.lower(bare_host), r"\.+$", "")))),
+        (port, bare_port),
+        (early, refused),
+        (draft, F.when(F.col(early).isNull(), assembled)),
+        (reason, F.when(F.length(draft) > MAX_URL_LENGTH, REJECT_TOO_LONG).otherwise(F.col(early))),
+        (into, F.when(F.col(reason).isNull(), F.col(draft))),
+    ]
+
+
+def canonicalize(
+    df: DataFrame, url: str, *, into: str = "url_canonical", reason: str = "reject_reason"
+) -> DataFrame:
+    """Add the canonical form of column `url`, or NULL and the reason why there is none."""
+    steps = canonical_steps(F.col(url), into, reason)
+    for name, column in steps:
+        df = df.withColumn(name, column)
+    return df.drop(*(name for name, _ in steps[:-2]))

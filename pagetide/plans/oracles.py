@@ -801,6 +801,10 @@ SELECT page_id, CASE page_id % 11
   WHEN 6 THEN regexp_replace(url, '#.*$', '') || '#f6' WHEN 7 THEN scheme || '//o.example/x/y'
   WHEN 8 THEN root || '/z8' WHEN 9 THEN root || parent ELSE root || dir || 'c/' END AS resolved
 FROM p"""
+ORACLES["sql_functions"] = f"""
+SELECT c.page_id, c.url_canonical, c.reject_reason, x.excerpt, r.absolute, r.attribute, upper(d.lang) AS lang
+FROM ({ORACLES["canonical_urls"]}) c JOIN ({ORACLES["excerpts"]}) x ON x.doc_id = c.page_id
+JOIN ({ORACLES["report_times"]}) r ON r.event_id = c.page_id JOIN documents d ON d.doc_id = c.page_id"""
 ORACLES["page_dialects"] = f"""
 WITH d AS (
   SELECT *, doc_id % 6 AS form, epoch_us(TIMESTAMP '2024-01-01 00:00:00') + doc_id * 3600000000 AS at_us,

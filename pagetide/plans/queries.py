@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagetide.functions import dates, labels, markup, text, urls
+from pagetide.functions import dates, labels, markup, sql, text, urls
 from pagetide.operators import coverage, declare, observe, quality, reports, saturation, snapshot
 from pagetide.plans import ingest, roles
 from pagetide.session import shared_folder
@@ -380,6 +380,23 @@ def resolved_links(spark: SparkSession, folder: str) -> DataFrame:
     return pages.select("page_id", urls.resolve(F.col("url"), reference).alias("resolved"))
 
 
+def sql_functions(spark: SparkSession, folder: str) -> DataFrame:
+    """The column functions as a user of SQL calls them."""
+    sql.register(spark)
+    tables = {name: roles.table(spark, folder, name) for name in ("pages", "documents", "events")}
+    return spark.sql(
+        """
+        SELECT page_id, link.url_canonical, link.reject_reason, excerpt, absolute, attribute, lang
+        FROM (
+          SELECT p.page_id, canonicalize(p.url) AS link, excerpt(normalize_ws(d.text)) AS excerpt,
+                 absolute_date(e.ts) AS absolute, datetime_attr(e.ts) AS attribute, lang_label(d.lang) AS lang
+          FROM {pages} p JOIN {documents} d ON d.doc_id = p.page_id JOIN {events} e ON e.event_id = p.page_id
+        )
+        """,
+        **tables,
+    )
+
+
 def canonical_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return canonical_urls(spark, folder).groupBy("url_canonical").agg(
         F.count(F.lit(1)).alias("n_pages"), F.min("page_id").alias("first_page_id")
@@ -960,6 +977,7 @@ QUERIES: dict[str, Query] = {
     "stream_attempts": stream_attempts,
     "stream_feed_state": stream_feed_state,
     "resolved_links": resolved_links,
+    "sql_functions": sql_functions,
     "page_dialects": page_dialects,
     "snapshot_roundtrip": snapshot_roundtrip,
 }
