@@ -12,8 +12,8 @@ to each part position: it shrinks to what all but a hundredth of the parts neede
 where over a tenth had to be compared with everything. Bounds decide only what need not be
 looked at, and they are rounded down, so assignments are those of plain rounds.
 
-The table of parts with their lists and bounds is written once a round; the driver sees sums
-per entry (256 x the vectors' length) and the counts that b follows.
+The table of parts with their lists and bounds is written once a round, in place of that of two
+rounds before; the driver sees sums per entry (256 x the vectors' length) and the counts that b follows.
 
 Defined results: see `vectors` for rows that take part; a length that four does not divide is
 refused; with fewer than 256 rows there are as many entries as rows; rows with a null id sort
@@ -33,12 +33,13 @@ from pyspark.sql import functions as F
 
 from pagetide.llm.common import table, written
 from pagetide.llm.vectors import scaled, usable
+from pagetide.session import shared_folder
 
 PARTS = 4
 ENTRIES = 256
 ROUNDS = 4
-START = 32  # entries listed at first, an eighth of the codebook
-LEAST, MOST = 8, 64
+START = 16  # entries listed at first
+LEAST, MOST = 8, 32
 ROWS = 2048  # of a step in memory: that many x 256 distances
 
 
@@ -55,8 +56,12 @@ def distances(x: np.ndarray, book: np.ndarray) -> np.ndarray:
 
 
 def _lowered(bound: np.ndarray) -> np.ndarray:
-    """The next float below, so that rounding never raises a bound."""
-    return np.nextafter(bound.astype(np.float32), np.float32(-np.inf))
+    """Bounds in half precision, rounded down: what they lose costs a comparison, never a result.
+
+    No distance is below 0, so no bound has to be; infinity stands for "no entry".
+    """
+    short = np.clip(bound, 0.0, 65_000.0).astype(np.float16)
+    return np.where(np.isinf(bound), np.float16(np.inf), np.nextafter(short, np.float16(-np.inf)))
 
 
 def _root(squares: np.ndarray) -> np.ndarray:
@@ -78,16 +83,16 @@ class Bounds:
         roots = _lowered(np.sqrt(np.take_along_axis(found, order, 1).astype(np.float64)))
         listed = order[:, 1 : b + 1]
         near = np.zeros((len(x), b), dtype=np.uint8)
-        lower = np.full((len(x), b), np.inf, dtype=np.float32)
+        lower = np.full((len(x), b), np.inf, dtype=np.float16)
         near[:, : listed.shape[1]] = listed
         lower[:, : listed.shape[1]] = roots[:, 1 : b + 1]
-        outer = roots[:, b + 1] if order.shape[1] > b + 1 else np.full(len(x), np.inf, dtype=np.float32)
+        outer = roots[:, b + 1] if order.shape[1] > b + 1 else np.full(len(x), np.inf, dtype=np.float16)
         return cls(order[:, 0].astype(np.uint8), near, lower, outer)
 
     def moved(self, by: np.ndarray, b: int) -> Bounds:
         """The bounds after entries moved by these distances, lists cut or filled up to b places."""
-        lower = _lowered(self.lower - by[self.near])
-        outer = _lowered(self.outer - by.max(initial=0.0))
+        lower = _lowered(self.lower.astype(np.float64) - by[self.near])
+        outer = _lowered(self.outer.astype(np.float64) - by.max(initial=0.0))
         order = np.argsort(lower, axis=1, kind="stable")
         near, lower = np.take_along_axis(self.near, order, 1), np.take_along_axis(lower, order, 1)
         if b < lower.shape[1]:  # an entry that leaves the list is one of the others from now on
@@ -174,7 +179,14 @@ def _binary(rows: np.ndarray) -> pa.Array:
 
 
 def _step(
-    rows: DataFrame, keys: list[str], width: int, books: list[np.ndarray], moves: list[np.ndarray] | None, b: list[int], before: list[int]
+    rows: DataFrame,
+    keys: list[str],
+    width: int,
+    dtype: str,
+    books: list[np.ndarray],
+    moves: list[np.ndarray] | None,
+    b: list[int],
+    before: list[int],
 ) -> DataFrame:
     """Rows with their state under these codebooks; without `moves` from the vectors themselves."""
     part = width // PARTS
@@ -189,7 +201,8 @@ def _step(
                 if moves is None:
                     x = scaled(batch.column(first), width)
                 else:
-                    x, own, near, lower, outer = _fields(batch, first, ["<i8", "u1", "u1", "<f4", "<f4"])
+                    x, own, near, lower, outer = _fields(batch, first, [dtype, "u1", "u1", "<f2", "<f2"])
+                    x = x.astype(np.int64)
                 parts, counts, error, spots = [], [], np.zeros(len(x), dtype=np.int64), np.cumsum([0, *before])
                 for p in range(PARTS):
                     own_x = x[:, p * part : (p + 1) * part]
@@ -207,7 +220,7 @@ def _step(
                 yield pa.RecordBatch.from_arrays(
                     [
                         *(batch.column(i) for i in range(first)),
-                        _binary(x),
+                        _binary(x.astype(dtype)),
                         _binary(np.stack([s.own for s in parts], axis=1)),
                         _binary(np.concatenate([s.near for s in parts], axis=1)),
                         _binary(np.concatenate([s.lower for s in parts], axis=1)),
@@ -222,7 +235,7 @@ def _step(
     return rows.select(*columns).mapInArrow(work, schema)
 
 
-def _updated(state: DataFrame, books: list[np.ndarray]) -> list[np.ndarray]:
+def _updated(state: DataFrame, books: list[np.ndarray], dtype: str) -> list[np.ndarray]:
     """Entries moved to the floored means of their parts; sums are added up by Spark."""
     part = books[0].shape[1]
     count = len(books[0])
@@ -231,7 +244,7 @@ def _updated(state: DataFrame, books: list[np.ndarray]) -> list[np.ndarray]:
         sums = np.zeros((PARTS * count, part), dtype=np.int64)
         n = np.zeros(PARTS * count, dtype=np.int64)
         for batch in batches:
-            x, own = _fields(batch, 0, ["<i8", "u1"])
+            x, own = _fields(batch, 0, [dtype, "u1"])
             for p in range(PARTS):
                 slots = own[:, p].astype(np.int64) + p * count
                 np.add.at(sums, slots, x[:, p * part : (p + 1) * part])
@@ -277,12 +290,21 @@ def train(
     part = width // PARTS
     books = [seeds[:, p * part : (p + 1) * part].copy() for p in range(PARTS)]
     b = [START] * PARTS
-    state = written(_step(rows, keys, width, books, None, b, b), "codes")
-    for _ in range(rounds):
-        new = _updated(state, books)
+    largest = rows.agg(F.max(F.array_max(F.transform("vector", lambda c: F.abs(c.cast("double")))))).first()[0]
+    dtype = "<i2" if largest < 31.0 else "<i4" if largest < 2.0**20 else "<i8"
+    # a round reads the state of the round before, so two folders take turns
+    folders = [shared_folder(rows.sparkSession, "llm/codes") for _ in range(2)]
+
+    def stored(state: DataFrame, turn: int) -> DataFrame:
+        state.write.mode("overwrite").parquet(folders[turn % 2])
+        return rows.sparkSession.read.schema(state.schema).parquet(folders[turn % 2])
+
+    state = stored(_step(rows, keys, width, dtype, books, None, b, b), 0)
+    for turn in range(1, rounds + 1):
+        new = _updated(state, books, dtype)
         moves = [_root(((x - y) ** 2).sum(axis=1)) for x, y in zip(new, books, strict=True)]
         before, b, books = b, _followed(state, b), new
-        state = written(_step(state, keys, width, books, moves, b, before), "codes")
+        state = stored(_step(state, keys, width, dtype, books, moves, b, before), turn)
     return state, books
 
 

@@ -205,7 +205,7 @@ def test_bounds_hold_and_lists_adapt(b):
         assert (state.outer <= others.min(axis=1)).all()
         assert needed.sum() == 500
     assert vector_codes.adapted(32, np.array([90, 5, 4, 1, *[0] * 29, 0])) == vector_codes.LEAST
-    assert vector_codes.adapted(32, np.array([50, *[0] * 32, 50])) == 64
+    assert vector_codes.adapted(16, np.array([50, *[0] * 16, 50])) == 32 == vector_codes.MOST
     assert vector_codes.adapted(32, np.zeros(34, dtype=int)) == 32
 
 
