@@ -10,7 +10,8 @@ total order of `seq`. Reading it in that order,
 
 The log is folded in two steps, so that one URL relayed by every feed for years never becomes
 one task: `summarize` reduces each (URL, time segment) to a row, `merge_segments` joins the
-segments of a URL. A streaming batch is just one more segment.
+segments of a URL. A streaming batch is just one more segment. Only URLs in crowded buckets are
+cut into segments (`with_pieces`); all others are folded where one shuffle by URL puts them.
 
 Which observation gives an article its content is decided on hashes and positions alone. The
 texts are fetched at the end, by one join with the observations that won, so no text is sorted
@@ -23,12 +24,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pagetide.operators.sequences import time_segment
-from pagetide.session import require_zoned
+from pagetide.operators.sequences import FULL_SLICES, SEGMENT_ROWS, time_segment
+from pagetide.session import require_zoned, stage
 
 # Seconds of a segment: short enough that a URL relayed by every feed stays small within one,
 # long enough that a URL seen without pause has some fifty thousand segments a year.
 SEGMENT_SECONDS = 600
+# Buckets in which the rows of URLs are counted, to find those that need segments.
+URL_BUCKETS = 1 << 14
+PLACED = ("url_canonical", "segment")
+# Words of the bitmap of observations that won: 8 MB.
+BITMAP_WORDS = 1 << 20
 
 TEXTS = ("title", "author", "raw_summary", "summary_clean")
 REVISABLE = (*TEXTS, "content_hash")
@@ -45,6 +51,9 @@ OBSERVED = (
     "date_source",
 )
 
+# What the fold decides on.
+FOLDED = ("feed_id", "run_id", "seq", "seen_at", "url_canonical", "content_hash", "published_at", "date_source")
+
 
 def with_segment(log: DataFrame, segment: Column | None = None) -> DataFrame:
     """Add the time segment; it must be the same for all entries of a page and grow with `seq`."""
@@ -52,12 +61,35 @@ def with_segment(log: DataFrame, segment: Column | None = None) -> DataFrame:
     return log.withColumn("segment", time_segment(F.col("seen_at"), SEGMENT_SECONDS) if segment is None else segment)
 
 
-def first_in_page(log: DataFrame) -> DataFrame:
+def with_pieces(
+    log: DataFrame, segment: Column | None = None, *, rows: int = SEGMENT_ROWS
+) -> tuple[DataFrame, tuple[str, ...]]:
+    """The log with a time segment only where a URL may need it, and the columns to place it by.
+
+    URLs are counted in buckets by hash. Where a bucket holds over `rows`, and over a thousandth of
+    all, its URLs are cut into segments; every other URL is one segment. At most `FULL_SLICES`
+    buckets can hold that much, and the driver sees their numbers alone. Where there is none, rows
+    are placed by URL, and all that is done for a URL needs no other shuffle. The log is read once
+    more for its URLs, so it should be one that is stored.
+    """
+    bucket = F.pmod(F.xxhash64("url_canonical"), F.lit(URL_BUCKETS))
+    counts = log.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    # one row a bucket: the window is small
+    share = F.sum("n").over(W.partitionBy()) / FULL_SLICES
+    full = counts.withColumn("share", share).filter((F.col("n") > rows) & (F.col("n") > F.col("share")))
+    crowded = [row["bucket"] for row in full.select("bucket").collect()]
+    if not crowded:
+        return log.withColumn("segment", F.lit(0).cast("long")), ("url_canonical",)
+    cut = with_segment(log, segment)
+    return cut.withColumn("segment", F.when(bucket.isin(crowded), F.col("segment")).otherwise(F.lit(0))), PLACED
+
+
+def first_in_page(log: DataFrame, placed: tuple[str, ...] = PLACED) -> DataFrame:
     """Keep the first entry per canonical URL of each page."""
-    page = W.partitionBy("url_canonical", "segment", "feed_id", "run_id").orderBy("seq")
+    page = W.partitionBy("url_canonical", "feed_id", "run_id", "segment").orderBy("seq")
     # Placed by URL and segment, the rows serve this window and those of `summarize`.
     return (
-        log.repartition("url_canonical", "segment")
+        log.repartition(*placed)
         .withColumn("__rank", F.row_number().over(page))
         .filter("__rank = 1")
         .drop("__rank")
@@ -79,20 +111,20 @@ def _content() -> Column:
     return F.struct("seq", "content_hash", "seen_at")
 
 
-def summarize(log: DataFrame) -> DataFrame:
-    """One row per (URL, segment) of a log deduplicated by page.
+def summarize(log: DataFrame, placed: tuple[str, ...] = PLACED) -> DataFrame:
+    """One row per (URL, segment) of a log deduplicated by page; per URL where it was placed by URL.
 
     `opening` is the first observation, `revision` the last one that changed the content inside
     the segment, `closing` what the segment leaves behind.
     """
-    order = W.partitionBy("url_canonical", "segment").orderBy("seq")
+    order = W.partitionBy(*placed).orderBy("seq")
     previous = F.lag(F.struct("content_hash")).over(order)
     changed = previous.isNotNull() & ~F.col("content_hash").eqNullSafe(previous["content_hash"])
     first = ("feed_id", "run_id", "seq", "published_at", "date_source", "content_hash", "seen_at")
-    return (
+    summary = (
         narrow(log)
         .withColumn("__changed", changed)
-        .groupBy("url_canonical", "segment")
+        .groupBy(*placed)
         .agg(
             F.min_by(F.struct(*first), "seq").alias("opening"),
             F.max_by(_content(), F.when(F.col("__changed"), F.col("seq"))).alias("revision"),
@@ -100,6 +132,7 @@ def summarize(log: DataFrame) -> DataFrame:
             F.count(F.lit(1)).alias("n_observations"),
         )
     )
+    return summary if "segment" in placed else summary.withColumn("segment", F.lit(0).cast("long"))
 
 
 def merge_segments(segments: DataFrame, *order: str) -> DataFrame:
@@ -159,10 +192,46 @@ def with_texts(articles: DataFrame, texts: DataFrame) -> DataFrame:
     return found.select(*(c for c in articles.columns if c != "content_seq"), *TEXTS)
 
 
-def fold_articles(log: DataFrame, segment: Column | None = None, *, texts: bool = True) -> DataFrame:
-    """Articles of a whole observation log."""
-    articles = merge_articles(summarize(first_in_page(with_segment(narrow(log), segment))))
-    return with_texts(articles, contents(log)) if texts else articles
+def with_stored_texts(articles: DataFrame, texts: DataFrame) -> DataFrame:
+    """The same for articles that are stored: a bitmap of them stops other texts before they travel.
+
+    Its size is fixed, and it says "perhaps" or "no"; the join decides.
+    """
+    word, bit = _place("content_seq")
+    bits = articles.groupBy(word.alias("__of")).agg(F.bit_or(bit).alias("__bits"))
+    word, bit = _place("seq")
+    met = (word == F.col("__of")) & (F.col("__bits").bitwiseAND(bit) != 0)
+    return with_texts(articles, texts.join(F.broadcast(bits), met, "left_semi"))
+
+
+def _place(seq: str) -> tuple[Column, Column]:
+    """Word and bit of an observation in the bitmap."""
+    place = F.xxhash64("url_canonical", seq)
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(place, F.lit(64)).cast("int"))
+    return F.pmod(F.shiftright(place, 6), F.lit(BITMAP_WORDS)), bit
+
+
+def fold_articles(
+    log: DataFrame,
+    segment: Column | None = None,
+    *,
+    texts: bool = True,
+    workspace: str | None = None,
+    rows: int = SEGMENT_ROWS,
+) -> DataFrame:
+    """Articles of a whole observation log.
+
+    The log is read for its URLs, for the fold and for texts, so it should be one that is stored.
+    With a `workspace`, a folder all executors share, the articles without texts are stored there.
+    """
+    require_zoned(log, "seen_at", "published_at")
+    pieces, placed = with_pieces(log.select(*FOLDED), segment, rows=rows)
+    articles = merge_articles(summarize(first_in_page(pieces, placed), placed))
+    if not texts:
+        return articles
+    if workspace:
+        return with_stored_texts(stage(articles, workspace), contents(log))
+    return with_texts(articles, contents(log))
 
 
 def fold_sightings(log: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ from pagetide.operators.saturation import (
     previous_maximum,
 )
 from pagetide.operators.sequences import DAY, time_segment
-from pagetide.session import require_zoned
+from pagetide.session import require_zoned, stage
 from pagetide.sources.fetchlog import classify_runs, unknown_feed_runs
 from pagetide.sources.pages import explode_entries, normalize_entries, parse_documents
 
@@ -66,12 +66,6 @@ class Ingested:
     unknown: DataFrame  # runs of feeds that are not declared
 
 
-def stage(df: DataFrame, path: str) -> DataFrame:
-    """Write a table and read it back: it survives lost executors and is computed once."""
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def fetched_pages(log: DataFrame, feeds: DataFrame) -> DataFrame:
     """One row per run of a known feed, with its parsed document where there is one.
 

@@ -189,9 +189,16 @@ def _article_columns(articles: DataFrame) -> DataFrame:
     )
 
 
+def _stored_log(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    """What the fold decides on, and these columns, written once for all that read it."""
+    log = roles.observations(spark, folder).select(*observe.FOLDED, *columns)
+    return ingest.stage(log, shared_folder(spark, "log"))
+
+
 def article_fold(spark: SparkSession, folder: str) -> DataFrame:
-    log = roles.observations(spark, folder)
-    return _article_columns(observe.fold_articles(log, roles.observation_segment()))
+    log = _stored_log(spark, folder, *observe.TEXTS)
+    workspace = shared_folder(spark, "fold")
+    return _article_columns(observe.fold_articles(log, roles.observation_segment(), workspace=workspace))
 
 
 def observation_fold(spark: SparkSession, folder: str) -> DataFrame:

@@ -157,3 +157,27 @@ def test_no_text_is_sorted_or_aggregated(spark):
     assert {"Sort", "Window"} <= {name for name, _ in gathering} and any("Aggregate" in name for name, _ in gathering)
     assert not [name for name, shown in gathering if any(text in shown for text in observe.TEXTS)]
     assert "title" in plan.output().mkString(" ")
+
+
+@pytest.mark.parametrize("rows_whole", [5, 10**6])
+def test_crowded_urls_are_cut_and_others_folded_in_one_shuffle(spark, tmp_path, rows_whole):
+    """URLs of crowded buckets in segments, or none: the same articles; uncut, one shuffle does."""
+    rows = random_log(random.Random(21), n_runs=80)
+    log = spark.createDataFrame(rows, SCHEMA)
+    articles, _, _ = sequential(rows)
+    found = observe.fold_articles(log, workspace=str(tmp_path / "w"), rows=rows_whole).collect()
+    assert {r["url_canonical"]: plain(r, ARTICLE_FIELDS) for r in found} == {
+        u: {f: a[f] for f in ARTICLE_FIELDS} for u, a in articles.items()
+    }
+    pieces, placed = observe.with_pieces(log, rows=rows_whole)
+    n_pieces = {r["url_canonical"]: r["n"] for r in pieces.groupBy("url_canonical").agg(F.count_distinct("segment").alias("n")).collect()}
+    assert (n_pieces["hot"] > 1) == (rows_whole == 5) == (placed == observe.PLACED)
+    if rows_whole == 10**6:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        try:
+            narrow = observe.fold_articles(log, texts=False)
+            names = [node.nodeName() for node in nodes(narrow._jdf.queryExecution().executedPlan())]
+        finally:
+            spark.conf.set("spark.sql.adaptive.enabled", "true")
+        # by page, by position, and the one row a URL that is left
+        assert (names.count("Exchange"), names.count("Sort")) == (1, 3)
