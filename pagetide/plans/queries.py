@@ -149,7 +149,7 @@ def newest_article(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def article_flags(spark: SparkSession, folder: str) -> DataFrame:
-    folded = observe.fold_articles(roles.observations(spark, folder), roles.observation_segment())
+    folded = observe.fold_articles(_stored_log(spark, folder), roles.observation_segment(), texts=False)
     flags = observe.with_flags(folded)
     return flags.groupBy("is_fallback", "was_revised").agg(F.count(F.lit(1)).alias("n_articles"))
 
