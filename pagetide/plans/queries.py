@@ -259,9 +259,10 @@ def stream_feed_state(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def feed_maxima(spark: SparkSession, folder: str) -> DataFrame:
-    log = roles.observations(spark, folder)
+    log = _stored_log(spark, folder)
     articles = observe.fold_articles(log, roles.observation_segment(), texts=False)
-    maxima = saturation.feed_maximum(observe.fold_sightings(log), articles)
+    # a maximum is the same over repeated sightings
+    maxima = saturation.feed_maximum(log.select("url_canonical", "feed_id"), articles)
     return maxima.select("feed_id", micros("max_published"))
 
 
