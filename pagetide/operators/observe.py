@@ -86,7 +86,8 @@ def with_pieces(
 
 def first_in_page(log: DataFrame, placed: tuple[str, ...] = PLACED) -> DataFrame:
     """Keep the first entry per canonical URL of each page."""
-    page = W.partitionBy("url_canonical", "feed_id", "run_id", "segment").orderBy("seq")
+    keys = ("url_canonical", "feed_id", "run_id", "segment")
+    page = W.partitionBy(*(c for c in placed if c not in keys), *keys).orderBy("seq")
     # Placed by URL and segment, the rows serve this window and those of `summarize`.
     return (
         log.repartition(*placed)
@@ -234,10 +235,13 @@ def fold_articles(
     return with_texts(articles, contents(log))
 
 
-def fold_sightings(log: DataFrame) -> DataFrame:
-    """Per (URL, feed): first and last seen; guid and original URL of the last, even if NULL."""
+def fold_sightings(log: DataFrame, *placed: str) -> DataFrame:
+    """Per (URL, feed): first and last seen; guid and original URL of the last, even if NULL.
+
+    Columns that follow from the URL, by which the log is placed, are kept.
+    """
     return (
-        log.groupBy("url_canonical", "feed_id")
+        log.groupBy(*placed, "url_canonical", "feed_id")
         .agg(
             F.min_by(F.struct("run_id", "seen_at", "seq"), "seq").alias("first"),
             F.max_by(F.struct("guid", "url_original", "seen_at", "seq"), "seq").alias("last"),
@@ -257,9 +261,9 @@ def sighting_rows(folded: DataFrame) -> DataFrame:
     )
 
 
-def merge_sightings(folded: DataFrame) -> DataFrame:
+def merge_sightings(folded: DataFrame, *placed: str) -> DataFrame:
     """Fold sightings of several batches into one row per (URL, feed)."""
-    return folded.groupBy("url_canonical", "feed_id").agg(
+    return folded.groupBy(*placed, "url_canonical", "feed_id").agg(
         F.min_by("first", F.col("first.seq")).alias("first"),
         F.max_by("last", F.col("last.seq")).alias("last"),
     )

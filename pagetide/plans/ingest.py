@@ -20,7 +20,7 @@ from pagetide.operators.observe import (
     fold_sightings,
     run_counts,
     summarize,
-    with_segment,
+    with_pieces,
 )
 from pagetide.operators.saturation import (
     assess_gaps,
@@ -52,7 +52,7 @@ class Landed:
     feeds: DataFrame
     pages: DataFrame
     entries: DataFrame  # rejected ones included
-    usable: DataFrame  # (OBSERVED, segment) without texts
+    usable: DataFrame  # OBSERVED without texts
 
 
 @dataclass(frozen=True)
@@ -64,6 +64,8 @@ class Ingested:
     runs: DataFrame
     maxima: DataFrame
     unknown: DataFrame  # runs of feeds that are not declared
+    pieces: DataFrame  # usable observations, and the columns to place them by
+    placed: tuple[str, ...]
 
 
 def fetched_pages(log: DataFrame, feeds: DataFrame) -> DataFrame:
@@ -173,23 +175,26 @@ def land(log: DataFrame, feeds: DataFrame, workspace: str) -> Landed:
         entries.filter(F.col("url_canonical").isNotNull()), "feed_id", "run_id"
     )
     everything = demoted.unionByName(entries.filter(F.col("url_canonical").isNull()))
-    usable = with_segment(demoted.select(*(c for c in OBSERVED if c not in TEXTS)))
+    usable = demoted.select(*(c for c in OBSERVED if c not in TEXTS))
     return Landed(log, feeds, pages, everything, usable)
 
 
 def settle(landed: Landed, known: Known | None = None) -> Ingested:
     """What a batch adds to what is known."""
-    deduplicated = first_in_page(landed.usable)
+    pieces, placed = with_pieces(landed.usable)
+    deduplicated = first_in_page(pieces, placed)
     runs, maxima = assessed_runs(landed.pages, landed.entries, known)
     return Ingested(
         entries=landed.entries,
-        segments=summarize(deduplicated),
+        segments=summarize(deduplicated, placed),
         contents=contents(landed.entries.filter(F.col("url_canonical").isNotNull())),
         # Of duplicates on a page only the first is stored, so its guid and URL are kept.
         sightings=fold_sightings(deduplicated),
         runs=runs,
         maxima=maxima.groupBy("feed_id").agg(F.max("run_max").alias("max_published")),
         unknown=unknown_feed_runs(landed.log, landed.feeds),
+        pieces=pieces,
+        placed=placed,
     )
 
 

@@ -26,8 +26,8 @@ from pagetide.operators.observe import (
     narrow,
     sighting_rows,
     summarize,
-    with_segment,
-    with_texts,
+    with_pieces,
+    with_stored_texts,
 )
 from pagetide.plans.ingest import Known, land, settle, stage
 from pagetide.sources.fetchlog import updated_feeds
@@ -66,7 +66,7 @@ def _run(
     return writer.start()
 
 
-def updated_articles(stored: DataFrame, arrived: DataFrame, texts: DataFrame) -> DataFrame:
+def updated_articles(stored: DataFrame, arrived: DataFrame, texts: DataFrame, workspace: str) -> DataFrame:
     """Stored articles after a batch that folds to `arrived` (articles without texts, `opening_hash`).
 
     A stored article keeps its origin. Its content changes if the batch changed it inside, or
@@ -80,7 +80,7 @@ def updated_articles(stored: DataFrame, arrived: DataFrame, texts: DataFrame) ->
     differs = ~F.col("new.opening_hash").eqNullSafe(F.col("content_hash"))
     both = both.withColumn("__taken", came & (~there | changed_inside | differs))
     taken = both.filter("__taken").select("url_canonical", "new.content_seq")
-    found = with_texts(taken, texts).withColumnRenamed("url_canonical", "__url")
+    found = with_stored_texts(stage(taken, workspace), texts).withColumnRenamed("url_canonical", "__url")
     for name in TEXTS:
         found = found.withColumnRenamed(name, f"__{name}")
 
@@ -119,17 +119,41 @@ def _article_schema(folded: DataFrame, texts: DataFrame) -> T.StructType:
     return T.StructType([T.StructField(name, kinds[name]) for name in names])
 
 
-def _store_folded(state: str, batch: int, segments: DataFrame, texts: DataFrame, sightings: DataFrame) -> None:
-    """Merge a batch into the buckets of its URLs. All inputs must be staged: they are read twice."""
+def _store_folded(
+    state: str, batch: int, segments: DataFrame, texts: DataFrame, pieces: DataFrame, placed: tuple[str, ...]
+) -> None:
+    """Merge a batch into the buckets of its URLs. `segments` must be staged: they are read often."""
     spark = segments.sparkSession
     arrived = _folded(segments)
     articles = _table(spark, state, "articles", _article_schema(arrived, texts))
     version, numbers = articles.touched(batch, segments)
-    articles.write(batch, version, numbers, updated_articles(articles.read(version, numbers), arrived, texts))
-    pairs = _table(spark, state, "sightings", sightings.schema)
-    version, numbers = pairs.touched(batch, sightings)
-    merged = merge_sightings(pairs.read(version, numbers).unionByName(sightings))
-    pairs.write(batch, version, numbers, merged)
+    updated = updated_articles(articles.read(version, numbers), arrived, texts, f"{state}/_work/batch={batch}/taken")
+    articles.write(batch, version, numbers, updated)
+    _store_sightings(state, batch, segments, pieces, placed)
+
+
+def _store_sightings(
+    state: str, batch: int, segments: DataFrame, pieces: DataFrame, placed: tuple[str, ...]
+) -> None:
+    """Add the sightings of a batch as pieces of the buckets of its URLs, which `segments` has too.
+
+    Of duplicates on a page only the first is stored, so its guid and URL are kept. Unless crowded
+    URLs are cut, rows are placed by bucket once, for the pages, the fold and the folders.
+    """
+    spark = segments.sparkSession
+    pairs = _table(spark, state, "sightings", fold_sightings(pieces).schema)
+    version, numbers = pairs.touched(batch, segments)
+    if "segment" in placed:
+        sightings = fold_sightings(first_in_page(pieces, placed)).withColumn("bucket", pairs.number(version))
+        sightings = sightings.repartition("bucket")
+    else:
+        bucketed = pieces.withColumn("bucket", pairs.number(version))
+        sightings = fold_sightings(first_in_page(bucketed, ("bucket",)), "bucket")
+    full = version.many(numbers)
+    if full:
+        stored = pairs.read(version, full).withColumn("bucket", pairs.number(version))
+        sightings = merge_sightings(stored.unionByName(sightings).repartition("bucket"), "bucket")
+    pairs.write(batch, version, numbers, sightings, added=numbers - full)
 
 
 def fold_available(
@@ -139,10 +163,9 @@ def fold_available(
 
     def work(batch: DataFrame, batch_id: int) -> None:
         work_folder = f"{state}/_work/batch={batch_id}"
-        deduplicated = first_in_page(with_segment(narrow(batch), segment))
-        segments = stage(summarize(deduplicated), f"{work_folder}/segments")
-        sightings = stage(fold_sightings(deduplicated), f"{work_folder}/sightings")
-        _store_folded(state, batch_id, segments, contents(batch), sightings)
+        pieces, placed = with_pieces(narrow(batch), segment)
+        segments = stage(summarize(first_in_page(pieces, placed), placed), f"{work_folder}/segments")
+        _store_folded(state, batch_id, segments, contents(batch), pieces, placed)
 
     stream = spark.readStream.schema(schema).parquet(landed)
     _run(stream, state, work, available_now=True).awaitTermination()
@@ -154,7 +177,7 @@ def stored_articles(spark: SparkSession, state: str) -> DataFrame:
 
 
 def stored_sightings(spark: SparkSession, state: str) -> DataFrame:
-    return sighting_rows(_table(spark, state, "sightings").current())
+    return sighting_rows(merge_sightings(_table(spark, state, "sightings").current()))
 
 
 def stored_runs(spark: SparkSession, state: str) -> DataFrame:
@@ -201,8 +224,7 @@ def ingest_stream(
         _recorded(spark, state, "runs", runs.schema)
         write_delta(runs, state, "runs", batch_id)
         segments = stage(done.segments, f"{folder}/segments")
-        sightings = stage(done.sightings, f"{folder}/sightings")
-        _store_folded(state, batch_id, segments, done.contents, sightings)
+        _store_folded(state, batch_id, segments, done.contents, done.pieces, done.placed)
         maxima = _maxima(spark, state)
         version, numbers = maxima.touched(batch_id, feed_ids)
         merged = maxima.read(version, numbers).unionByName(done.maxima)

@@ -188,3 +188,20 @@ def test_unserved_runs_are_in_the_given_log(spark, folder):
         pytest.skip("no test data")
     counted = roles.document_log(spark, folder).groupBy("http_status").count().collect()
     assert {r["http_status"] for r in counted} == {200, 304, 503, None}
+
+
+def test_pieces_are_added_and_old_ones_not_written_again(spark):
+    """A batch that adds to its buckets writes its own rows alone; splits and sweeps keep all pieces."""
+    table, rows = BucketTable(spark, shared_folder(spark, "t"), SCHEMA, ("k",), rows=20), []
+    for batch in range(3):
+        new = [(f"k{i}", batch) for i in range(15)]
+        rows += new
+        frame = spark.createDataFrame(new, SCHEMA)
+        version, numbers = table.touched(batch, frame)
+        assert not version.many(numbers)
+        table.write(batch, version, numbers, frame, added=numbers)
+        assert spark.read.parquet(f"{table.root}/rows/batch={batch}").count() == 15
+        assert sorted(map(tuple, table.current().collect())) == sorted(rows)
+    assert table.version(2).depth >= 1
+    table.sweep(2)
+    assert sorted(map(tuple, table.current().collect())) == sorted(rows)
