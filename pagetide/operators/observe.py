@@ -107,6 +107,20 @@ def contents(log: DataFrame) -> DataFrame:
     return log.select("url_canonical", "seq", *TEXTS)
 
 
+def packed(texts: DataFrame) -> DataFrame:
+    """For storage: a summary that cleaning left as it was is stored once."""
+    plain = F.col("raw_summary").eqNullSafe(F.col("summary_clean"))
+    return texts.withColumn("summary_is_plain", plain).withColumn(
+        "summary_clean", F.when(~F.col("summary_is_plain"), F.col("summary_clean"))
+    )
+
+
+def unpacked(texts: DataFrame) -> DataFrame:
+    """What `packed` was given."""
+    clean = F.when(F.col("summary_is_plain"), F.col("raw_summary")).otherwise(F.col("summary_clean"))
+    return texts.withColumn("summary_clean", clean).drop("summary_is_plain")
+
+
 def _content() -> Column:
     """The place of a content: the observation that brought it, and its hash."""
     return F.struct("seq", "content_hash", "seen_at")
@@ -182,27 +196,33 @@ def merge_articles(segments: DataFrame, *order: str) -> DataFrame:
     )
 
 
-def with_texts(articles: DataFrame, texts: DataFrame) -> DataFrame:
-    """Give articles the texts of the observation that `content_seq` names.
+def with_texts(articles: DataFrame, texts: DataFrame, *also: str) -> DataFrame:
+    """Give articles the texts of the observation that `content_seq` names, and these columns, if any.
 
     The articles, narrow and one a URL, are the side that is held in a hash table, partition by
     partition; the texts stream past it and are not sorted.
     """
+    keys = ("url_canonical", "content_seq", *also)
     winners = articles.hint("shuffle_hash")
-    found = texts.withColumnRenamed("seq", "content_seq").join(winners, ["url_canonical", "content_seq"])
-    return found.select(*(c for c in articles.columns if c != "content_seq"), *TEXTS)
+    found = texts.withColumnRenamed("seq", "content_seq").join(winners, list(keys))
+    return found.select(*(c for c in articles.columns if c not in keys[1:]), *TEXTS)
 
 
-def with_stored_texts(articles: DataFrame, texts: DataFrame) -> DataFrame:
-    """The same for articles that are stored: a bitmap of them stops other texts before they travel.
+def perhaps_of(articles: DataFrame, texts: DataFrame) -> DataFrame:
+    """Texts that may be those of these stored articles, by a bitmap of fixed size; no text is moved.
 
-    Its size is fixed, and it says "perhaps" or "no"; the join decides.
+    No text of theirs is missing, and few others are there.
     """
     word, bit = _place("content_seq")
     bits = articles.groupBy(word.alias("__of")).agg(F.bit_or(bit).alias("__bits"))
     word, bit = _place("seq")
     met = (word == F.col("__of")) & (F.col("__bits").bitwiseAND(bit) != 0)
-    return with_texts(articles, texts.join(F.broadcast(bits), met, "left_semi"))
+    return texts.join(F.broadcast(bits), met, "left_semi")
+
+
+def with_stored_texts(articles: DataFrame, texts: DataFrame) -> DataFrame:
+    """`with_texts` for articles that are stored: a bitmap of them stops other texts before they travel."""
+    return with_texts(articles, perhaps_of(articles, texts))
 
 
 def _place(seq: str) -> tuple[Column, Column]:

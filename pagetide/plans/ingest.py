@@ -1,8 +1,9 @@
 """The ingestion job: a log of responses to articles, sightings and assessed runs.
 
-A failing feed never stops the others: failure is a column of its run. Parsed pages and
-normalized entries are written once to the shared folder and read back, because several
-aggregations follow and each would otherwise parse and clean every document again.
+A failing feed never stops the others: failure is a column of its run. Responses, parsed and
+normalized in one pass over the log, are written once to the shared folder and read back, because
+several aggregations follow and each would otherwise parse and clean every document again. Which
+responses count is decided on narrow rows; their texts stay where they were written.
 """
 
 from __future__ import annotations
@@ -18,8 +19,10 @@ from pagetide.operators.observe import (
     contents,
     first_in_page,
     fold_sightings,
+    packed,
     run_counts,
     summarize,
+    unpacked,
     with_pieces,
 )
 from pagetide.operators.saturation import (
@@ -31,7 +34,7 @@ from pagetide.operators.saturation import (
 )
 from pagetide.operators.sequences import DAY, time_segment
 from pagetide.session import require_zoned, stage
-from pagetide.sources.fetchlog import classify_runs, unknown_feed_runs
+from pagetide.sources.fetchlog import classify_runs, is_empty, unknown_feed_runs
 from pagetide.sources.pages import explode_entries, normalize_entries, parse_documents
 
 
@@ -51,7 +54,8 @@ class Landed:
     log: DataFrame
     feeds: DataFrame
     pages: DataFrame
-    entries: DataFrame  # rejected ones included
+    responses: DataFrame  # every entry of every response, with its texts
+    entries: DataFrame  # those of pages that count, without texts; rejected ones included
     usable: DataFrame  # OBSERVED without texts
 
 
@@ -68,31 +72,42 @@ class Ingested:
     placed: tuple[str, ...]
 
 
-def fetched_pages(log: DataFrame, feeds: DataFrame) -> DataFrame:
-    """One row per run of a known feed, with its parsed document where there is one.
+def read_responses(log: DataFrame) -> DataFrame:
+    """One row per entry of each logged response, normalized; one without entry where there is none.
 
-    Documents are parsed where the log is read; the join moves parsed items, not bodies.
+    Documents are parsed and their entries cleaned where the log is read, in one pass; neither
+    bodies nor items nor texts move. What a run's outcome needs of its response is on each row.
     """
-    outcomes = classify_runs(log, feeds)
-    bodies = log.filter(F.col("http_status") == 200).select("feed_id", "run_id", "attempt", "body")
-    pages = outcomes.join(parse_documents(bodies), ["feed_id", "run_id", "attempt"], "left")
-    fetched = F.col("status") == "ok"
-    failed = fetched & F.col("parse_error").isNotNull()
-    return (
-        pages.withColumn("error_message", F.when(failed, F.col("parse_error")).otherwise(F.col("error_message")))
-        .withColumn("status", F.when(failed, "error").otherwise(F.col("status")))
-        .withColumn("items", F.when(F.col("status") == "ok", F.col("items")))
+    served = log.withColumn("is_empty", is_empty()).withColumn(
+        "body", F.when(F.col("http_status") == 200, F.col("body"))
+    )
+    entries = normalize_entries(explode_entries(parse_documents(served), every_page=True))
+    # Runs are ordered by time, then by position of the feed in its batch.
+    return entries.withColumn(
+        "seq", F.struct("fetched_at", "feed_pos", "feed_id", "entry_pos", "run_id", "attempt")
     )
 
 
-def observation_log(pages: DataFrame) -> DataFrame:
-    """Normalized entries of all pages, rejected ones included, in total order of `seq`."""
-    entries = normalize_entries(
-        explode_entries(pages.select("feed_id", "run_id", "feed_pos", "fetched_at", "base", "site", "items"))
-    )
-    # Runs are ordered by time, then by position of the feed in its batch.
-    return entries.withColumn("seq", F.struct("fetched_at", "feed_pos", "feed_id", "entry_pos")).withColumn(
-        "seen_at", F.col("fetched_at")
+def fetched_pages(responses: DataFrame, feeds: DataFrame) -> DataFrame:
+    """One row per run of a known feed, with what its document is worth where there is one."""
+    log = responses.filter(F.coalesce("entry_pos", F.lit(0)) == 0)
+    outcomes = classify_runs(log, feeds)
+    documents = log.filter(F.col("http_status") == 200).select("feed_id", "run_id", "attempt", "parse_error", "warning")
+    pages = outcomes.join(documents, ["feed_id", "run_id", "attempt"], "left")
+    failed = (F.col("status") == "ok") & F.col("parse_error").isNotNull()
+    return pages.withColumn(
+        "error_message", F.when(failed, F.col("parse_error")).otherwise(F.col("error_message"))
+    ).withColumn("status", F.when(failed, "error").otherwise(F.col("status")))
+
+
+def observation_log(responses: DataFrame, pages: DataFrame) -> DataFrame:
+    """Entries of the responses that decided their runs, without texts, in total order of `seq`."""
+    counted = pages.filter(F.col("status") == "ok").select("feed_id", "run_id", "attempt").distinct()
+    entries = responses.filter(F.col("entry_pos").isNotNull() & (F.col("http_status") == 200))
+    return (
+        entries.select(*(c for c in OBSERVED if c not in (*TEXTS, "seen_at")), "attempt", "fetched_at", "reject_reason")
+        .withColumn("seen_at", F.col("fetched_at"))
+        .join(counted, ["feed_id", "run_id", "attempt"], "left_semi")
     )
 
 
@@ -124,8 +139,7 @@ def assessed_runs(pages: DataFrame, entries: DataFrame, known: Known | None = No
         F.count(F.lit(1)).alias("n_skipped")
     )
     joined = (
-        pages.drop("items")
-        .join(page_facts(usable, *keys), keys, "left")
+        pages.join(page_facts(usable, *keys), keys, "left")
         .join(run_counts(usable, known_urls), keys, "left")
         .join(skipped, keys, "left")
         .withColumn("n_new", F.coalesce("n_new", F.lit(0)))
@@ -168,15 +182,15 @@ def assessed_runs(pages: DataFrame, entries: DataFrame, known: Known | None = No
 def land(log: DataFrame, feeds: DataFrame, workspace: str) -> Landed:
     """Parse and normalize a log of responses; `workspace` is a folder all executors share."""
     require_zoned(log, "started_at", "fetched_at")
-    pages = stage(fetched_pages(log, feeds), f"{workspace}/pages")
-    normalized = observation_log(pages)
-    entries = stage(normalized, f"{workspace}/entries")
+    responses = unpacked(stage(packed(read_responses(log)), f"{workspace}/responses"))
+    pages = stage(fetched_pages(responses, feeds), f"{workspace}/pages")
+    entries = stage(observation_log(responses, pages), f"{workspace}/entries")
     demoted = demote_degenerate(
         entries.filter(F.col("url_canonical").isNotNull()), "feed_id", "run_id"
     )
     everything = demoted.unionByName(entries.filter(F.col("url_canonical").isNull()))
     usable = demoted.select(*(c for c in OBSERVED if c not in TEXTS))
-    return Landed(log, feeds, pages, everything, usable)
+    return Landed(log, feeds, pages, responses, everything, usable)
 
 
 def settle(landed: Landed, known: Known | None = None) -> Ingested:
@@ -187,7 +201,7 @@ def settle(landed: Landed, known: Known | None = None) -> Ingested:
     return Ingested(
         entries=landed.entries,
         segments=summarize(deduplicated, placed),
-        contents=contents(landed.entries.filter(F.col("url_canonical").isNotNull())),
+        contents=contents(landed.responses.filter(F.col("url_canonical").isNotNull())),
         # Of duplicates on a page only the first is stored, so its guid and URL are kept.
         sightings=fold_sightings(deduplicated),
         runs=runs,

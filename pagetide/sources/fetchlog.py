@@ -28,16 +28,19 @@ def _decides() -> Column:
     return F.col("transport_error").isNull() & ~F.coalesce(retried, F.lit(False))
 
 
+def is_empty() -> Column:
+    """Has the response no content?"""
+    return F.coalesce(F.octet_length("body") == 0, F.lit(True))
+
+
 def classify_runs(log: DataFrame, slugs: DataFrame) -> DataFrame:
     """One row per run: status, http_status, error_message, validators and deciding attempt.
 
     `slugs` has (feed_id, slug); runs of other feeds are those of `unknown_feed_runs`. A run has
     as many attempts as were logged. An answer without status is an error. Bodies stay out of the aggregation: only their emptiness is
-    read, so no document is shuffled to classify its run.
+    read, so no document is shuffled to classify its run. A log that has `is_empty` needs no bodies.
     """
-    attempts = log.withColumn(
-        "is_empty", F.coalesce(F.octet_length("body") == 0, F.lit(True))
-    )
+    attempts = log if "is_empty" in log.columns else log.withColumn("is_empty", is_empty())
     answer = F.struct(
         "attempt", "http_status", "transport_error", "is_empty", "etag", "last_modified", "fetched_at"
     )

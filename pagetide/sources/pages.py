@@ -165,15 +165,18 @@ def _resolved(entries: DataFrame) -> DataFrame:
     return based.withColumn("url_original", resolve(F.col("base"), link)).drop("base", "own_base", "site")
 
 
-def explode_entries(parsed: DataFrame) -> DataFrame:
+def explode_entries(parsed: DataFrame, *, every_page: bool = False) -> DataFrame:
     """One row per entry of the parsed documents, with its position on the page.
 
     The outer form keeps the planner from testing for emptiness below the parser, which would
-    parse every document a second time.
+    parse every document a second time. With `every_page`, a page without entries is a row
+    without position, and all rows keep what their document is worth.
     """
-    kept = [c for c in parsed.columns if c not in ("items", "parse_error", "warning")]
+    kept = [c for c in parsed.columns if c != "items" and (every_page or c not in ("parse_error", "warning"))]
     exploded = parsed.select(*kept, F.posexplode_outer("items").alias("entry_pos", "item"))
-    return _resolved(exploded.filter(F.col("item").isNotNull()).select(*kept, "entry_pos", "item.*"))
+    if not every_page:
+        exploded = exploded.filter(F.col("item").isNotNull())
+    return _resolved(exploded.select(*kept, "entry_pos", "item.*"))
 
 
 def normalize_entries(entries: DataFrame) -> DataFrame:

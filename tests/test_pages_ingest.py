@@ -345,3 +345,11 @@ def test_streamed_ingestion_tells_the_same_story(spark, swept):
         upsert.stored_sightings(spark, state).collect(),
     )
     assert upsert.stored_sightings(spark, state).count() == 16
+
+
+def test_texts_stay_where_they_were_parsed(spark):
+    """Texts are read from the one pass over the log; no join or shuffle lies between."""
+    done = ingest(log_of(spark, *stories(spark)[:3]), feeds_of(spark, "sain", "casse", "relais"), shared_folder(spark, "t"))
+    plan = done.contents._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+    assert {r["title"] for r in done.contents.collect()} >= {"Une faille"}
