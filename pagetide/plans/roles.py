@@ -193,8 +193,12 @@ def document_log(spark: SparkSession, folder: str) -> DataFrame:
         .select(
             document_feed().alias("feed_id"),
             F.explode(shown_in).alias("run_id"),
-            F.struct(number.alias("doc_id"), item.alias("item")).alias("entry"),
+            "doc_id",
+            "lang",
+            "text",
         )
+        # items are made after the runs are known, so that a filter by run comes before
+        .select("feed_id", "run_id", F.struct(number.alias("doc_id"), item.alias("item")).alias("entry"))
         .groupBy("feed_id", "run_id")
         .agg(F.array_sort(F.collect_list("entry")).alias("entries"))
     )

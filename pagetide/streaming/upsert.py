@@ -2,7 +2,8 @@
 
 The state is what is known: articles, sightings and feed maxima, in buckets by URL or feed. A
 batch folds its own observations as the batch job does, reads the buckets of its URLs and
-feeds, merges, and writes these buckets anew. Runs are appended. Nothing is dropped as late: the
+feeds, merges, and writes these buckets anew. Articles name their content; the texts lie in a
+table of their own, to which a batch adds those of the contents it brought. Runs are appended. Nothing is dropped as late: the
 order that counts is the order of arrival, so there is no watermark.
 """
 
@@ -24,19 +25,24 @@ from pagetide.operators.observe import (
     merge_articles,
     merge_sightings,
     narrow,
+    packed,
+    perhaps_of,
     sighting_rows,
     summarize,
+    unpacked,
     with_pieces,
-    with_stored_texts,
+    with_texts,
 )
 from pagetide.plans.ingest import Known, land, settle, stage
 from pagetide.sources.fetchlog import updated_feeds
-from pagetide.streaming.buckets import BucketTable
+from pagetide.streaming.buckets import ROWS, BucketTable
 from pagetide.streaming.deltas import read_deltas, write_delta
 from pagetide.files import finished
 
 MAXIMA = T.StructType([T.StructField("feed_id", T.LongType()), T.StructField("max_published", T.TimestampType())])
 URL = ("url_canonical",)
+# Rows of a bucket of texts, which are wide.
+TEXT_ROWS = 25_000
 
 
 def _recorded(spark: SparkSession, state: str, table: str, schema: T.StructType | None) -> T.StructType:
@@ -50,7 +56,8 @@ def _recorded(spark: SparkSession, state: str, table: str, schema: T.StructType
 
 
 def _table(spark: SparkSession, state: str, name: str, schema: T.StructType | None = None) -> BucketTable:
-    return BucketTable(spark, f"{state}/{name}", _recorded(spark, state, name, schema), URL)
+    rows = TEXT_ROWS if name == "contents" else ROWS
+    return BucketTable(spark, f"{state}/{name}", _recorded(spark, state, name, schema), URL, rows)
 
 
 def _maxima(spark: SparkSession, state: str) -> BucketTable:
@@ -66,11 +73,11 @@ def _run(
     return writer.start()
 
 
-def updated_articles(stored: DataFrame, arrived: DataFrame, texts: DataFrame, workspace: str) -> DataFrame:
+def updated_articles(stored: DataFrame, arrived: DataFrame, batch: int) -> DataFrame:
     """Stored articles after a batch that folds to `arrived` (articles without texts, `opening_hash`).
 
     A stored article keeps its origin. Its content changes if the batch changed it inside, or
-    opened with another hash than the one stored. Only contents that win are looked up.
+    opened with another hash than the one stored. `content_batch` and `content_seq` name it.
     """
     new = arrived.select("url_canonical", F.struct(*(c for c in arrived.columns if c != "url_canonical")).alias("new"))
     old = stored.withColumn("__stored", F.lit(True))
@@ -78,24 +85,19 @@ def updated_articles(stored: DataFrame, arrived: DataFrame, texts: DataFrame, wo
     came, there = F.col("new").isNotNull(), F.col("__stored").isNotNull()
     changed_inside = ~F.col("new.content_seq").eqNullSafe(F.col("new.first_seq"))
     differs = ~F.col("new.opening_hash").eqNullSafe(F.col("content_hash"))
-    both = both.withColumn("__taken", came & (~there | changed_inside | differs))
-    taken = both.filter("__taken").select("url_canonical", "new.content_seq")
-    found = with_stored_texts(stage(taken, workspace), texts).withColumnRenamed("url_canonical", "__url")
-    for name in TEXTS:
-        found = found.withColumnRenamed(name, f"__{name}")
+    taken = came & (~there | changed_inside | differs)
 
     def first(name: str) -> Column:
         return F.when(there, F.col(name)).otherwise(F.col(f"new.{name}")).alias(name)
 
     def content(name: str, fresh: Column) -> Column:
-        return F.when(F.col("__taken"), fresh).otherwise(F.col(name)).alias(name)
+        return F.when(taken, fresh).otherwise(F.col(name)).alias(name)
 
-    return both.join(found.hint("shuffle_hash"), F.col("url_canonical") == F.col("__url"), "left").select(
+    return both.select(
         "url_canonical",
         *(first(c) for c in ("first_feed_id", "first_seq", "published_at", "date_source", "first_seen_at")),
-        *(content(c, F.col(f"__{c}")) for c in TEXTS),
-        content("content_hash", F.col("new.content_hash")),
-        content("updated_at", F.col("new.updated_at")),
+        *(content(c, F.col(f"new.{c}")) for c in ("content_seq", "content_hash", "updated_at")),
+        content("content_batch", F.lit(batch).cast("long")),
         F.coalesce("new.last_seen_at", "last_seen_at").alias("last_seen_at"),
         (F.coalesce("n_observations", F.lit(0)) + F.coalesce("new.n_observations", F.lit(0))).alias("n_observations"),
     )
@@ -110,11 +112,11 @@ def _folded(segments: DataFrame) -> DataFrame:
     return joined.withColumn("opening_hash", F.col("__opened.content_hash")).drop("__opened")
 
 
-def _article_schema(folded: DataFrame, texts: DataFrame) -> T.StructType:
-    kinds = {f.name: f.dataType for f in (*folded.schema, *texts.schema)}
+def _article_schema(folded: DataFrame) -> T.StructType:
+    kinds = {f.name: f.dataType for f in folded.schema} | {"content_batch": T.LongType()}
     names = (
         "url_canonical", "first_feed_id", "first_seq", "published_at", "date_source", "first_seen_at",
-        *TEXTS, "content_hash", "updated_at", "last_seen_at", "n_observations",
+        "content_seq", "content_hash", "updated_at", "content_batch", "last_seen_at", "n_observations",
     )
     return T.StructType([T.StructField(name, kinds[name]) for name in names])
 
@@ -125,13 +127,35 @@ def _store_folded(
     """Merge a batch into the buckets of its URLs. `segments` must be staged: they are read often."""
     spark = segments.sparkSession
     arrived = _folded(segments)
-    articles = _table(spark, state, "articles", _article_schema(arrived, texts))
+    articles = _table(spark, state, "articles", _article_schema(arrived))
     version, numbers = articles.touched(batch, segments)
-    updated = updated_articles(articles.read(version, numbers), arrived, texts, f"{state}/_work/batch={batch}/taken")
+    updated = updated_articles(articles.read(version, numbers), arrived, batch)
+    updated = stage(updated, f"{state}/_work/batch={batch}/articles")
+    # texts first: no version of the articles names a content that is not there
+    _store_contents(state, batch, segments, updated, texts)
     articles.write(batch, version, numbers, updated)
     _store_sightings(state, batch, segments, pieces, placed)
 
 
+def _store_contents(state: str, batch: int, segments: DataFrame, updated: DataFrame, texts: DataFrame) -> None:
+    """Add the texts of the contents that a batch brought, as pieces of the buckets of its URLs.
+
+    They travel once, to their buckets. A few that no article names may be among them; readers join
+    by name. When the pieces of a bucket are merged, only texts that articles still name are kept.
+    """
+    spark = segments.sparkSession
+    brought = updated.filter(F.col("content_batch") == batch).select("url_canonical", "content_seq")
+    fresh = packed(perhaps_of(brought, texts)).withColumn("content_batch", F.lit(batch).cast("long"))
+    table = _table(spark, state, "contents", fresh.schema)
+    version, numbers = table.touched(batch, segments)
+    full = version.many(numbers)
+    if full:
+        named = updated.select("url_canonical", F.col("content_seq").alias("seq"), "content_batch")
+        stored = table.read(version, full).join(named, ["url_canonical", "seq", "content_batch"], "left_semi")
+        fresh = fresh.unionByName(stored)
+    table.write(batch, version, numbers, fresh, added=numbers - full)
+
+
 def _store_sightings(
     state: str, batch: int, segments: DataFrame, pieces: DataFrame, placed: tuple[str, ...]
 ) -> None:
@@ -173,7 +197,14 @@ def fold_available(
 
 def stored_articles(spark: SparkSession, state: str) -> DataFrame:
     """Articles over all batches, in order of arrival."""
-    return _table(spark, state, "articles").current()
+    articles, contents_of = _table(spark, state, "articles"), _table(spark, state, "contents")
+    last = max(articles.versions(), default=-1)
+    texts = unpacked(contents_of.read(contents_of.version(last)))
+    found = with_texts(articles.read(articles.version(last)), texts, "content_batch")
+    return found.select(
+        "url_canonical", "first_feed_id", "first_seq", "published_at", "date_source", "first_seen_at",
+        *TEXTS, "content_hash", "updated_at", "last_seen_at", "n_observations",
+    )
 
 
 def stored_sightings(spark: SparkSession, state: str) -> DataFrame:
@@ -240,5 +271,6 @@ def sweep(spark: SparkSession, state: str, keep: int) -> None:
 
     Run it between triggers or from the stream's driver; the stream goes on.
     """
-    for table in (_table(spark, state, "articles"), _table(spark, state, "sightings"), _maxima(spark, state)):
-        table.sweep(keep)
+    for name in ("articles", "contents", "sightings"):
+        _table(spark, state, name).sweep(keep)
+    _maxima(spark, state).sweep(keep)

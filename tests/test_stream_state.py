@@ -205,3 +205,25 @@ def test_pieces_are_added_and_old_ones_not_written_again(spark):
     assert table.version(2).depth >= 1
     table.sweep(2)
     assert sorted(map(tuple, table.current().collect())) == sorted(rows)
+
+
+def test_texts_are_written_once(spark):
+    """A batch adds the texts of contents it brought; those that stand are neither read nor written again."""
+    rows = [
+        (seq, url, f"title {seq}", NOW + timedelta(hours=seq), version)
+        for seq, url, version in [(1, "a", "x"), (2, "b", "x"), (3, "c", "x"), (4, "a", "y"), (5, "b", "x"), (6, "d", "x")]
+    ]
+    log = spark.createDataFrame(rows, "seq long, url_canonical string, title string, seen_at timestamp, content_hash string").selectExpr(
+        "1L AS feed_id", "seq AS run_id", "seq", "seen_at", "url_canonical", "url_canonical AS url_original", "'g' AS guid", "title",
+        "'by' AS author", "concat('s', seq) AS raw_summary", "concat('s', seq % 2) AS summary_clean", "content_hash",
+        "seen_at AS published_at", "'published' AS date_source",
+    )
+    base = shared_folder(spark, "t")
+    for part in ("seq <= 3", "seq > 3"):
+        log.filter(part).coalesce(1).write.mode("append").parquet(f"{base}/log")
+        upsert.fold_available(spark, f"{base}/log", log.schema, f"{base}/state")
+    assert [spark.read.parquet(f"{base}/state/contents/rows/batch={n}").count() for n in (0, 1)] == [3, 2]
+    found = {r["url_canonical"]: (r["title"], r["raw_summary"], r["summary_clean"]) for r in upsert.stored_articles(spark, f"{base}/state").collect()}
+    assert found == {
+        "a": ("title 4", "s4", "s0"), "b": ("title 2", "s2", "s0"), "c": ("title 3", "s3", "s1"), "d": ("title 6", "s6", "s0")
+    }
