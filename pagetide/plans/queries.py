@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagetide.functions import dates, labels, markup, sql, text, urls
-from pagetide.operators import coverage, declare, observe, quality, reports, saturation, snapshot
+from pagetide.operators import coverage, declare, observe, quality, reports, saturation, sequences, snapshot
 from pagetide.plans import ingest, roles
 from pagetide.session import shared_folder
 from pagetide.sources import attempts as attempt_log
@@ -212,41 +212,30 @@ def run_new_seen(spark: SparkSession, folder: str) -> DataFrame:
     return observe.run_counts(roles.observations(spark, folder))
 
 
-def _run_maxima(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """Runs with their oldest reliable date, and the largest date each showed for the first time."""
-    # One row per feed, run and URL, written once: everything below is derived from it.
-    first = F.min(F.struct("seq", "published_at", "date_source")).alias("first")
-    oldest = F.min(F.when(F.col("date_source") != "fetched", F.col("published_at"))).alias("oldest")
-    log = ingest.stage(
-        roles.observations(spark, folder)
-        .groupBy("feed_id", "run_id", "url_canonical")
-        .agg(first, oldest)
-        .select("feed_id", "run_id", "url_canonical", "first.*", "oldest"),
-        shared_folder(spark, "prev-max"),
-    )
-    sighted = log.groupBy("url_canonical", "feed_id").agg(F.min_by("run_id", "seq").alias("run_id"))
+def _dated_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Runs with their oldest reliable date, and the largest date of the articles each showed."""
+    # What both passes read, written once; rows of a run and URL are too few to fold them before.
+    needed = ("feed_id", "run_id", "seq", "url_canonical", "published_at", "date_source")
+    log = ingest.stage(roles.observations(spark, folder).select(*needed), shared_folder(spark, "prev-max"))
     frozen = (
         log.groupBy("url_canonical")
         .agg(F.min_by(F.struct("published_at", "date_source"), "seq").alias("first"))
         .select("url_canonical", "first.*")
     )
-    runs = log.groupBy("feed_id", "run_id").agg(F.min("oldest").alias("oldest"))
-    return runs, saturation.newly_sighted_maximum(sighted, frozen)
+    return saturation.run_dates(log, frozen)
 
 
 def prev_max_by_run(spark: SparkSession, folder: str) -> DataFrame:
-    runs, maxima = _run_maxima(spark, folder)
-    by_year = runs.withColumn("year", F.floor(F.col("run_id") / 12))
-    before = saturation.previous_maximum(by_year, maxima, order="run_id", segment="year")
+    by_year = _dated_runs(spark, folder).withColumn("year", F.floor(F.col("run_id") / 12))
+    before = sequences.running_max_before(by_year, "feed_id", "year", "run_id", "run_max", "prev_max_published")
     return before.select("feed_id", "run_id", micros("prev_max_published"))
 
 
 def stream_feed_state(spark: SparkSession, folder: str) -> DataFrame:
     """The same runs, arriving in three parts; what was known of a feed is the stream's own state."""
     base = shared_folder(spark, "feed-state")
-    runs, maxima = _run_maxima(spark, folder)
     rows = ingest.stage(
-        runs.join(maxima, ["feed_id", "run_id"], "left").select(
+        _dated_runs(spark, folder).select(
             "feed_id", "run_id", F.col("run_id").alias("run_order"), "oldest", "run_max"
         ),
         f"{base}/rows",

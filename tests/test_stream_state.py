@@ -141,6 +141,40 @@ def test_values_per_feed(spark):
     assert got == wanted
 
 
+def test_feeds_share_slots(spark):
+    """However many feeds there are, the stream asks for few values; each feed still has its own."""
+    n, base = 3 * feed_state.SLOTS, shared_folder(spark, "t")
+    for batch in range(2):
+        date = F.timestamp_seconds(F.col("id") * 10 + batch)
+        runs = spark.range(n).select(
+            F.col("id").alias("feed_id"), F.lit(batch).cast("long").alias("run_id"), F.lit(batch).cast("long").alias("run_order"),
+            date.alias("oldest"), date.alias("run_max"),
+        )
+        runs.write.mode("append").parquet(f"{base}/landed")
+        feed_state.tell_available(spark, f"{base}/landed", f"{base}/state")
+    told = feed_state.told_runs(spark, f"{base}/state")
+    right = "CASE run_id WHEN 0 THEN prev_max_published IS NULL AND n_runs = 0 ELSE unix_seconds(prev_max_published) = feed_id * 10 AND n_runs = 1 AND NOT overlaps END"
+    assert (told.count(), told.filter(right).count()) == (2 * n, 2 * n)
+    stored = spark.read.format("statestore").option("stateVarName", "feeds").load(f"{base}/state/_checkpoint")
+    assert stored.count() <= feed_state.SLOTS
+
+
+def test_feed_state_keeps_longs_beside_null(spark):
+    """Dates and numbers that no float holds are told to the last digit, with NULL beside them."""
+    big, far = (1 << 53) + 1, 250_000_000_000_000_001
+    rows = [(1, big, 1, None, far), (1, big + 2, 2, None, None), (None, 5, 3, far, far), (None, None, None, far, None)]
+    base = shared_folder(spark, "t")
+    frame = spark.createDataFrame(rows, "feed_id long, run_id long, run_order long, oldest_us long, max_us long").selectExpr(
+        "feed_id", "run_id", "run_order", "timestamp_micros(oldest_us) AS oldest", "timestamp_micros(max_us) AS run_max"
+    )
+    frame.coalesce(1).write.parquet(f"{base}/landed")
+    feed_state.tell_available(spark, f"{base}/landed", f"{base}/state")
+    told = feed_state.told_runs(spark, f"{base}/state").selectExpr("feed_id", "run_id", "unix_micros(prev_max_published)", "overlaps", "n_runs")
+    assert set(map(tuple, told.collect())) == {
+        (1, big, None, None, 0), (1, big + 2, far, None, 1), (None, 5, None, None, 0), (None, None, far, True, 1)
+    }
+
+
 def test_resolved_links_of_nested_bases(spark):
     from pagetide.sources.pages import explode_entries, parse_documents
 
